@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclabel.functions.text import clean_words
@@ -69,6 +69,6 @@ def process_corpus(
     return Corpus(papers, vocab)
 
 
-def tag_by(rule: Column) -> Tagger:
-    """A tagger from a Column over ``word`` and ``pos``."""
-    return lambda tokens: tokens.withColumn("tag", rule)
+def tag_by(rule: str) -> Tagger:
+    """A tagger from a SQL expression over ``word`` and ``pos``."""
+    return lambda tokens: tokens.withColumn("tag", F.expr(rule))
