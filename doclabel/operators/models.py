@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclabel.functions.arrays import argmax, log_sum_exp, normalise, with_value
+from doclabel.operators.labels import MAX_BANK
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.splits import padded_sequence
+from doclabel.staging import stage
 
 
 @dataclass
@@ -54,35 +56,40 @@ def train_unigram(
     return UnigramModel(cells.select("label_id", "word_id", "key", "n"), labels, vocab.count())
 
 
-def class_scores(
-    docs: DataFrame,
-    model: UnigramModel,
-    vocab: DataFrame,
-    mode: str = "linear",
-    id_col: str = "paper_id",
-    words: str = "Abstract",
-) -> DataFrame:
-    """``(id_col, p)``: class probabilities of each word list, in label id order.
+@dataclass
+class Scorer:
+    """A unigram model made ready for scoring: one staged row per vocabulary word."""
 
-    ``linear`` weighs classes by the sum of P(word | class) over the words (null
-    without a known word); ``log`` is naive Bayes with equal priors.
-    """
+    by_word: DataFrame
+    smoothing: list[float]
+    mode: str
+
+
+def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear") -> Scorer:
+    """``linear`` weighs classes by the sum of P(word | class) over the words (null without
+    a known word); ``log`` is naive Bayes with equal priors."""
     if mode not in ("linear", "log"):
         raise ValueError("mode must be 'linear' or 'log'")
     gain = F.col("n") if mode == "linear" else F.log(F.col("n") + 1)
-    # One row per word: its classes with their gain, plus class -1 that counts the word itself.
-    per_word = model.cells.groupBy("key").agg(
-        F.collect_list(F.struct("label_id", gain.cast("double").alias("gain"))).alias("cells"),
-        F.sum("n").alias("freq"),
-    )
-    itself = F.array(F.struct(F.lit(-1).cast("int").alias("label_id"), F.lit(1.0).alias("gain")))
-    seen = F.coalesce(F.transform("cells", lambda c: F.struct(c["label_id"].cast("int").alias("label_id"), c["gain"].alias("gain"))),
-                      F.array().cast("array<struct<label_id:int,gain:double>>"))
-    keyed = vocab.select("key").join(per_word, "key", "left").select(
-        "key", F.concat(itself, seen).alias("cells"), F.coalesce("freq", F.lit(0)).alias("freq")
+    cell = F.struct(F.col("label_id").cast("int").alias("label_id"), gain.cast("double").alias("gain"))
+    per_word = model.cells.groupBy("key").agg(F.collect_list(cell).alias("cells"), F.sum("n").alias("freq"))
+    # Class -1 counts the word itself, whatever classes it was seen in.
+    itself = F.array(F.struct(F.lit(-1).alias("label_id"), F.lit(1.0).alias("gain")))
+    by_word = vocab.select("key").join(per_word, "key", "left").select(
+        "key",
+        F.when(F.col("cells").isNull(), itself).otherwise(F.concat(itself, "cells")).alias("cells"),
+        F.coalesce("freq", F.lit(0)).alias("freq"),
     )
+    totals = model.labels.orderBy("label_id").limit(MAX_BANK + 1).collect()
+    if len(totals) > MAX_BANK:
+        raise ValueError(f"a label bank holds at most {MAX_BANK} classes")
+    return Scorer(stage(by_word, "scorer"), [float(r["n_words"] + model.vocab_size) for r in totals], mode)
+
+
+def score_classes(docs: DataFrame, scorer: Scorer, id_col: str = "paper_id", words: str = "Abstract") -> DataFrame:
+    """``(id_col, p)``: class probabilities of each word list, in label id order."""
     tokens = docs.select(id_col, F.explode(words).alias("key"))
-    found = lookup_join(tokens, keyed, "key", weight="freq")
+    found = lookup_join(tokens, scorer.by_word, "key", weight="freq")
     sums = (
         found.select(id_col, F.explode("cells").alias("c"))
         .groupBy(id_col, F.col("c.label_id").alias("label_id"))
@@ -90,15 +97,26 @@ def class_scores(
         .groupBy(id_col)
         .agg(F.map_from_entries(F.collect_list(F.struct("label_id", "gain"))).alias("_sums"))
     )
-    smoothing = [r["n_words"] + model.vocab_size for r in model.labels.orderBy("label_id").collect()]
     joined = docs.select(id_col).join(sums, id_col, "left").withColumn(
         "_sums", F.coalesce("_sums", F.create_map().cast("map<int,double>"))
     )
-    return joined.select(id_col, _probabilities(F.col("_sums"), smoothing, mode).alias("p"))
+    return joined.select(id_col, _probabilities(F.col("_sums"), scorer.smoothing, scorer.mode).alias("p"))
+
+
+def class_scores(
+    docs: DataFrame,
+    model: UnigramModel,
+    vocab: DataFrame,
+    mode: str = "linear",
+    id_col: str = "paper_id",
+    words: str = "Abstract",
+) -> DataFrame:
+    """Prepare the model and score the word lists with it."""
+    return score_classes(docs, prepare_scorer(model, vocab, mode), id_col, words)
 
 
-def _probabilities(sums: Column, smoothing: list[int], mode: str) -> Column:
-    divisors = F.lit([float(s) for s in smoothing])
+def _probabilities(sums: Column, smoothing: list[float], mode: str) -> Column:
+    divisors = F.lit(smoothing)
     zero = F.lit(0.0)
 
     def score(divisor: Column, label: Column, known: Column) -> Column:

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from doclabel.functions.text import adjacent_pairs
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.ordering import with_dense_id
-from doclabel.operators.tokens import gather
+from doclabel.operators.tokens import Extent, corpus_extent, gather
 from doclabel.staging import stage
 
 # Share of the vocabulary size kept as phrases, decimals that decide ties.
 PHRASE_SHARE = 0.7
 TIE_DECIMALS = 9
+SKETCH_ACCURACY = 1000
 
 
 def phrase_word_stream(
-    df: DataFrame, vocab: DataFrame, id_col: str = "paper_id", words: str = "Abstract"
+    df: DataFrame,
+    vocab: DataFrame,
+    id_col: str = "paper_id",
+    words: str = "Abstract",
+    extent: Extent | None = None,
 ) -> DataFrame:
     """In-vocabulary words of the whole corpus as one stream, one ordered array per document.
 
@@ -25,10 +30,10 @@ def phrase_word_stream(
     ids (column ``stream``). The very last word of the corpus belongs to no pair
     start and is left out; documents without an in-vocabulary word have no row.
     """
-    ends = df.filter(F.size(words) > 0).agg(F.max_by(F.struct(id_col, F.size(words).alias("n")), id_col)).first()[0]
+    extent = extent or corpus_extent(df, id_col, words)
     tokens = df.select(id_col, F.posexplode(words).alias("pos", "key"))
-    if ends is not None:
-        tokens = tokens.filter((F.col(id_col) != ends[id_col]) | (F.col("pos") != ends["n"] - 1))
+    if extent.last_id is not None:
+        tokens = tokens.filter((F.col(id_col) != extent.last_id) | (F.col("pos") != extent.last_length - 1))
     known = lookup_join(tokens, vocab.select("key", "id", "freq"), "key", weight="freq")
     return gather(known, "id", id_col, name="stream")
 
@@ -79,13 +84,14 @@ def _information(zero_cells: str) -> Column:
         (n1 - n, p1 * (1 - p2)),
         (n, p1 * p2),
     ]
-    score, usable = None, (n1 > 0) & (n1 < total) & (n2 > 0) & (n2 < total)
+    smallest = F.least(*[count for count, _ in cells])
+    usable = (smallest > 0) if zero_cells == "drop" else (smallest >= 0)
+    score = F.lit(0.0)
     for count, product in cells:
         joint = count / total
-        term = F.when(count > 0, joint * F.log2(joint / F.when(usable, product))).otherwise(F.lit(0.0))
-        score = term if score is None else score + term
-        usable = usable & (count > 0 if zero_cells == "drop" else count >= 0)
-    return F.when(usable, score).otherwise(F.lit(0.0))
+        term = joint * F.log2(joint / product)
+        score = score + (term if zero_cells == "drop" else F.when(count > 0, term).otherwise(F.lit(0.0)))
+    return F.when(usable & (n1 > 0) & (n2 > 0) & (n1 < total) & (n2 < total), score).otherwise(F.lit(0.0))
 
 
 def mutual_information(counts: DataFrame, vocab: DataFrame, zero_cells: str = "drop") -> DataFrame:
@@ -116,12 +122,22 @@ def mutual_information(counts: DataFrame, vocab: DataFrame, zero_cells: str = "d
 
 
 def top_phrases(scored: DataFrame, n_phrases: int) -> DataFrame:
-    """The ``n_phrases`` pairs with the highest positive score, numbered in (w1, w2) order."""
-    ranked = with_dense_id(
-        scored.filter(F.col("mutual_info") > 0).withColumn("_score", F.round("mutual_info", TIE_DECIMALS)),
-        F.desc("_score"), "w1", "w2", name="_rank",
-    ).filter(F.col("_rank") < n_phrases)
+    """The ``n_phrases`` pairs with the highest positive score, numbered in (w1, w2) order.
+
+    A quantile sketch of the scores gives a cut that leaves little more than the
+    wanted pairs to sort; if it leaves too few, all pairs are sorted.
+    """
     columns = ["w1", "w2", "id", "tag1", "tag2", "mutual_info", "freq"]
+    score = F.floor(F.col("mutual_info") * 10**TIE_DECIMALS + F.lit(0.5))
+    informative = stage(scored.filter(F.col("mutual_info") > 0).withColumn("_score", score), "scored")
+    total = informative.count()
+    if n_phrases < total:
+        share = max(0.0, 1 - n_phrases / total - 2 / SKETCH_ACCURACY)
+        cut = informative.agg(F.percentile_approx("_score", share, SKETCH_ACCURACY)).first()[0]
+        likely = informative.filter(F.col("_score") >= cut)
+        if likely.count() >= n_phrases:
+            informative = likely
+    ranked = with_dense_id(informative, F.desc("_score"), "w1", "w2", name="_rank").filter(F.col("_rank") < n_phrases)
     return with_dense_id(ranked.drop("_rank", "_score"), "w1", "w2").select(*columns)
 
 
@@ -133,9 +149,10 @@ def build_phrases(
     zero_cells: str = "drop",
     id_col: str = "paper_id",
     words: str = "Abstract",
+    extent: Extent | None = None,
 ) -> DataFrame:
     """Phrases of a corpus: the best ``int(share * vocabulary size)`` pairs."""
-    stream = phrase_word_stream(df, vocab, id_col, words)
+    stream = phrase_word_stream(df, vocab, id_col, words, extent)
     if cross_document:
         stream = stage(stream, "stream")
     scored = mutual_information(pair_counts(stream, cross_document, id_col), vocab, zero_cells)

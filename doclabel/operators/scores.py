@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclabel.operators.lookup import lookup_join
 from doclabel.operators.ordering import with_dense_id
 from doclabel.operators.vocab import PROPER_NOUN, keep_keys
 from doclabel.staging import stage
@@ -29,7 +30,7 @@ def tf_idf_parts(cells: DataFrame, vocab: DataFrame, n_labels: int, label: str =
     in the score, so ``tf_sum`` holds the sum of n / max n only.
     """
     peaks = cells.groupBy(label).agg(F.max("n").alias("peak"))
-    per_word = cells.join(peaks, label).groupBy("id").agg(
+    per_word = lookup_join(cells, peaks, label).groupBy("id").agg(
         F.count("*").alias("doc_freq"), F.sum(F.col("n") / F.col("peak")).alias("tf_sum")
     )
     parts = vocab.join(per_word, "id", "left")
@@ -171,7 +172,7 @@ def information_gain(
     ).scalar()
     seen = (F.col("n") + 1) * F.col("unseen")
     corrections = (
-        cells.join(labels.select(label, "unseen"), label)
+        lookup_join(cells, labels.select(label, "unseen"), label)
         .groupBy("id")
         .agg(
             F.sum("n").alias("n_word"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,30 @@ def with_clean_words(df: DataFrame, text: str = "Abstract") -> DataFrame:
     return df.withColumn(text, clean_words(F.col(text)))
 
 
+@dataclass
+class Extent:
+    """Range of document ids, longest word list, and the last document that has words."""
+
+    low: int
+    high: int
+    longest: int
+    last_id: int | None
+    last_length: int | None
+
+
+def corpus_extent(df: DataFrame, id_col: str = "paper_id", words: str = "Abstract") -> Extent:
+    """One pass over the list lengths, no word is unfolded."""
+    length = F.greatest(F.size(words), F.lit(0))
+    row = df.agg(
+        F.min(id_col).alias("low"),
+        F.max(id_col).alias("high"),
+        F.max(length).alias("longest"),
+        F.max(F.when(length > 0, F.col(id_col))).alias("last_id"),
+        F.max_by(length, F.when(length > 0, F.col(id_col))).alias("last_length"),
+    ).first()
+    return Extent(row["low"] or 0, row["high"] or 0, row["longest"] or 0, row["last_id"], row["last_length"])
+
+
 def explode_words(df: DataFrame, *keep: str, words: str = "Abstract") -> DataFrame:
     """One row per word: ``(*keep, pos, word)``."""
     return df.select(*keep, F.posexplode(words).alias("pos", "word"))

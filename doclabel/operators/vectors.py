@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors as MLlibVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from doclabel.operators.vocab import as_sparse_arrays, multi_hot
 VECTOR_SIZE = 100
 WINDOW = 20
 N_WORDS = 25
-# MLlib keeps a columns x columns Gram matrix of the SVD on the driver.
+# MLlib's SVD returns its words x dim result to the driver: a bounded table.
 MAX_SVD_WORDS = 20_000
 
 
@@ -38,8 +39,6 @@ def train_word2vec(
         numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
         inputCol=words, outputCol="_doc_vector",
     ).fit(df.select(words))
-    from pyspark.ml.functions import vector_to_array
-
     vectors = model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
     return vectors.join(vocab.select(F.col("key").alias("word")), "word", "left_semi")
 

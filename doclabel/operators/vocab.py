@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclabel.operators.lookup import lookup_join
 from doclabel.operators.ordering import with_dense_id
+from doclabel.operators.tokens import Extent
 
 # Tags and limits that make a word suitable.
 SUITABLE_TAGS = ("NNP", "NN", "NNS", "JJ")
@@ -41,28 +43,36 @@ def vocab_filter(counts: DataFrame, **limits: int) -> DataFrame:
     return counts.filter(is_suitable(**limits))
 
 
-def _position_key(tagged: DataFrame, id_col: str) -> Column:
+def _position_key(extent: Extent, id_col: str) -> Column:
     """(document, position) as one value whose minimum a hash aggregate can keep.
 
-    Packed into a 64-bit integer when the measured ranges fit, else into a decimal.
+    Packed into a 64-bit integer when the ranges fit, else into a decimal.
     """
-    low, high, last = tagged.agg(F.min(id_col), F.max(id_col), F.max("pos")).first()
-    low, high, last = low or 0, high or 0, last or 0
-    pos_bits = max(1, int(last).bit_length())
-    if (high - low).bit_length() + pos_bits <= 62:
-        return F.shiftleft(F.col(id_col).cast("bigint") - F.lit(low).cast("bigint"), pos_bits) + F.col("pos")
+    pos_bits = max(1, int(extent.longest).bit_length())
+    low = F.lit(extent.low).cast("bigint")
+    if (extent.high - extent.low).bit_length() + pos_bits <= 62:
+        return F.shiftleft(F.col(id_col).cast("bigint") - low, pos_bits) + F.col("pos")
     wide = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)")
     return (wide + F.col("pos").cast("decimal(12,0)")).cast("decimal(38,0)")
 
 
-def build_vocab(tagged: DataFrame, id_col: str = "paper_id", **limits: int) -> DataFrame:
+def _tagged_extent(tagged: DataFrame, id_col: str) -> Extent:
+    low, high, last = tagged.agg(F.min(id_col), F.max(id_col), F.max("pos")).first()
+    return Extent(low or 0, high or 0, (last or 0) + 1, None, None)
+
+
+def build_vocab(
+    tagged: DataFrame, id_col: str = "paper_id", extent: Extent | None = None, **limits: int
+) -> DataFrame:
     """Vocabulary ``(key, id, tag, freq)`` from tagged words ``(id_col, pos, word, tag)``.
 
     Ids follow the first occurrence of a word's first surviving (word, tag)
     pair; tag and frequency are those of its surviving pair seen first latest.
+    ``extent`` saves a pass over the tokens if the range of ids is known.
     """
+    extent = extent or _tagged_extent(tagged, id_col)
     pairs = (
-        tagged.withColumn("_at", _position_key(tagged, id_col))
+        tagged.withColumn("_at", _position_key(extent, id_col))
         .groupBy("word", "tag")
         .agg(F.count("*").alias("freq"), F.min("_at").alias("_at"))
         .filter(is_suitable(**limits))
@@ -144,8 +154,8 @@ def sorted_by(container: DataFrame, attribute: str, descending: bool = True) ->
 
 def multi_hot(items: DataFrame, container: DataFrame, id_col: str = "paper_id", item: str = "key") -> DataFrame:
     """Sparse count vectors ``(id_col, id, n)`` of the items found in the container."""
-    counts = items.groupBy(id_col, F.col(item).alias("key")).agg(F.count("*").alias("n"))
-    return counts.join(container.select("key", "id"), "key").select(id_col, "id", "n")
+    found = lookup_join(items.select(id_col, F.col(item).alias("key")), container.select("key", "id"), "key")
+    return found.groupBy(id_col, "id").agg(F.count("*").alias("n"))
 
 
 def as_sparse_arrays(cells: DataFrame, id_col: str = "paper_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from doclabel.functions.text import clean_words
 from doclabel.operators.labels import clean_codes, drop_unusable
 from doclabel.operators.phrases import PHRASE_SHARE, build_phrases, phrases_to_vocab
-from doclabel.operators.tokens import select_in_vocab
+from doclabel.operators.tokens import corpus_extent, select_in_vocab
 from doclabel.operators.vocab import build_vocab, container_union
 from doclabel.staging import spread, stage
 
@@ -43,8 +43,9 @@ def build_phrase_vocab(
     ``tagger`` adds a ``tag`` column to tokens ``(id_col, pos, word)``.
     """
     tokens = sentences.select(id_col, F.posexplode(words).alias("pos", "word"))
-    vocab = build_vocab(tagger(tokens), id_col, **limits)
-    phrases = build_phrases(sentences, vocab, share, cross_document, id_col=id_col, words=words)
+    extent = corpus_extent(sentences, id_col, words)
+    vocab = build_vocab(tagger(tokens), id_col, extent, **limits)
+    phrases = build_phrases(sentences, vocab, share, cross_document, id_col=id_col, words=words, extent=extent)
     return container_union(vocab, phrases_to_vocab(phrases))
 
 

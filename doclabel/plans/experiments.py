@@ -22,7 +22,6 @@ def unigram_experiment(
     """Train on the first 80 %, score the rest: ``(id_col, best, p, y)`` per test paper."""
     split = stage(unigram_training_set(at_depth(processed, depth), id_col), "split")
     model = train_unigram(split.filter(F.col("split") == "train"), vocab, bank)
-    model.cells, model.labels = stage(model.cells, "cells"), stage(model.labels, "labels")
     test = split.filter(F.col("split") == "test")
     scored = class_scores(test, model, vocab, mode, id_col)
     _, truth = unigram_test_matrices(split, vocab, bank, id_col=id_col)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from doclabel.functions.text import clean_words
-from doclabel.operators.models import UnigramModel, class_scores
+from doclabel.operators.models import Scorer, score_classes
 from doclabel.operators.thresholds import DEFAULT_THRESHOLD, predict_thresholds
 from doclabel.operators.tokens import select_in_vocab
 
@@ -33,38 +33,36 @@ def stream_ingest(
 
 def label_papers(
     papers: DataFrame,
-    model: UnigramModel,
+    scorer: Scorer,
     vocab: DataFrame,
     thresholds: list[float] | float = DEFAULT_THRESHOLD,
-    mode: str = "linear",
     id_col: str = "paper_id",
     text: str = "Abstract",
 ) -> DataFrame:
     """Clean, select words, score classes and predict labels: ``(id_col, p, y_hat)``."""
     cleaned = papers.select(id_col, clean_words(F.col(text)).alias(text))
     selected = select_in_vocab(cleaned, vocab, id_col, text, weight="freq")
-    scored = class_scores(selected, model, vocab, mode, id_col, text)
-    return predict_thresholds(scored, thresholds)
+    return predict_thresholds(score_classes(selected, scorer, id_col, text), thresholds)
 
 
 def stream_label(
     stream: DataFrame,
-    model: UnigramModel,
+    scorer: Scorer,
     vocab: DataFrame,
     out: str,
     checkpoint: str,
     thresholds: list[float] | float = DEFAULT_THRESHOLD,
-    mode: str = "linear",
     id_col: str = "paper_id",
 ) -> StreamingQuery:
-    """Label every micro-batch with fitted tables.
+    """Label every micro-batch with a prepared model.
 
     A batch is written under its number and replaces an earlier attempt, so a
-    restarted stream leaves each paper labelled once.
+    restarted stream leaves each batch labelled once. Copies of a paper within a
+    batch are dropped first; run :func:`stream_ingest` before to drop all copies.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        labelled = label_papers(batch, model, vocab, thresholds, mode, id_col)
+        labelled = label_papers(batch.dropDuplicates([id_col]), scorer, vocab, thresholds, id_col)
         labelled.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import re
 
-from doclabel.functions.text import BRACKET_MATH, DASHES_APOSTROPHES, DOLLAR_MATH, NON_ALPHAS, SPACES
+from doclabel.functions.text import BRACKET_MATH, DASHES_APOSTROPHES, DOLLAR_MATH
 from doclabel.sources.label_bank import TWO_CHARACTER_CLASSES
 from suite.fixtures import CODES_SQL, LEXICON_TAG_SQL, TAG_SQL
 
 
+# White space spelled out by code point, independently of the engine's patterns.
+WHITESPACE = (
+    r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+NON_ALPHAS = f"[^a-zA-Z{WHITESPACE}]+"
+SPACES = f"[{WHITESPACE}]+"
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

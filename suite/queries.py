@@ -421,7 +421,7 @@ def _(spark, d):
 
 
 def bottom_sql(where: str) -> str:
-    return f"""SELECT key, count(*) OVER () - 1 - rk AS place, round(tfidf, 6) AS tfidf FROM (
+    return f"""SELECT key, count(*) OVER () - 1 - rk AS place, round(round(tfidf, 9), 6) AS tfidf FROM (
       SELECT *, row_number() OVER (ORDER BY round(tfidf, 9), id DESC) - 1 AS rk FROM tfidf_words WHERE {where}) WHERE rk < 200"""
 
 
@@ -431,7 +431,7 @@ def ranked_words(df):
 
 @query(
     "top_n_features",
-    """SELECT key, rk AS place, round(tfidf, 6) AS tfidf FROM (
+    """SELECT key, rk AS place, round(round(tfidf, 9), 6) AS tfidf FROM (
        SELECT *, row_number() OVER (ORDER BY round(tfidf, 9) DESC, id) - 1 AS rk FROM tfidf_words) WHERE rk < 200""",
 )
 def _(spark, d):
@@ -802,9 +802,7 @@ def class_rows(scored):
 
 def unigram_scores(spark, d, mode):
     corpus = fx.corpus(spark, d)
-    model = trained_unigram(spark, d)
-    model.cells, model.labels = stage(model.cells, "cells"), stage(model.labels, "labels")
-    return models.class_scores(corpus.papers, model, corpus.vocab, mode)
+    return models.class_scores(corpus.papers, trained_unigram(spark, d), corpus.vocab, mode)
 
 
 @query("predict_unigram", "SELECT paper_id, label_id, round(p, 6) AS p FROM uni_scores")
@@ -1074,11 +1072,10 @@ o.refresh()
 @query("stream_label", LABELS_SQL)
 def _(spark, d):
     corpus, bank = fx.corpus(spark, d), fx.bank(spark)
-    model = trained_unigram(spark, d)
-    model.cells, model.labels = stage(model.cells, "cells"), stage(model.labels, "labels")
+    scorer = models.prepare_scorer(trained_unigram(spark, d), corpus.vocab)
     out = scratch_path(spark, "labelled")
     jobs.stream_label(
-        paper_stream(spark, d), model, corpus.vocab, out, scratch_path(spark, "label-state"), thresholds=0.02
+        paper_stream(spark, d), scorer, corpus.vocab, out, scratch_path(spark, "label-state"), thresholds=0.02
     ).awaitTermination()
     # Overlapping pages label a paper twice, with the same result.
     labelled = spark.read.parquet(out).select("paper_id", "y_hat").dropDuplicates(["paper_id"])
