@@ -40,5 +40,4 @@ def split_codes(packed: Column) -> Column:
 
 def codes_at_depth(codes: Column, depth: int) -> Column:
     """Distinct prefixes of the given length, in order of first occurrence."""
-    check_depth(depth)
     return F.array_distinct(F.transform(codes, lambda code: F.substring(code, 1, depth)))
