@@ -2,8 +2,9 @@
 
 Token keys follow Zipf's law: one word may fill a third of the table. The keyed
 side is broadcast when its measured size allows it. Otherwise the heaviest keys
-(a fixed number of rows, hence bounded) are broadcast and only the long tail,
-in which no key is heavy, is shuffled.
+of the rows are joined by broadcast (their number and measured size are bounded)
+and only the long tail, in which no key is heavy, is shuffled. Which keys are
+heavy is told by a sample; it steers the plan, every row is joined either way.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doclabel.staging import stage
+
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 10_000
+SAMPLE = 0.01
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -35,31 +39,36 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
+def heavy_keys(rows: DataFrame, on: str, n: int, sample: float) -> DataFrame:
+    """The ``n`` most frequent keys of a sample of the rows, heaviest first."""
+    seen = rows.select(on).filter(F.col(on).isNotNull())
+    if sample < 1:
+        seen = seen.sample(sample, seed=0)
+    counted = seen.groupBy(on).agg(F.count("*").alias("_n"))
+    return counted.orderBy(F.desc("_n"), on).limit(n).select(on)
+
+
 def lookup_join(
     rows: DataFrame,
     keyed: DataFrame,
     on: str,
     how: str = "inner",
-    weight: str | None = None,
     broadcast_bytes: int | None = None,
     hot_keys: int = HOT_KEYS,
+    sample: float = SAMPLE,
 ) -> DataFrame:
-    """Join ``rows`` to ``keyed`` (one row per ``on``); ``how`` is inner or left.
-
-    ``weight`` names a column of ``keyed`` that tells how often a key occurs in
-    ``rows``; without it the occurrences are counted. It steers the plan only.
-    """
+    """Join ``rows`` to ``keyed`` (one row per ``on``); ``how`` is inner or left."""
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if measured_bytes(keyed) <= limit:
+    if measured_bytes(keyed) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return rows.join(F.broadcast(keyed), on, how)
-    if weight is None:
-        heavy = rows.groupBy(on).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), on)
-    else:
-        heavy = keyed.orderBy(F.desc(weight), on)
-    heavy = heavy.select(on).filter(F.col(on).isNotNull()).limit(hot_keys)
-    hot = keyed.join(F.broadcast(heavy), on, "left_semi")
+    heavy = stage(heavy_keys(rows, on, hot_keys, sample), "heavy")
+    hot = stage(keyed.join(F.broadcast(heavy), on, "left_semi"), "hot")
+    size = measured_bytes(hot)
+    if size > BROADCAST_BYTES and hot_keys > 1:
+        # Wide rows: keep as many of the heaviest keys as surely fit.
+        fewer = max(1, hot_keys * BROADCAST_BYTES // (2 * size))
+        return lookup_join(rows, keyed, on, how, broadcast_bytes, fewer, sample)
     hot_rows = rows.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(hot), on, how)
     tail_rows = rows.join(F.broadcast(heavy), on, "left_anti").join(keyed, on, how)
     return hot_rows.unionByName(tail_rows)

@@ -72,13 +72,12 @@ def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear")
         raise ValueError("mode must be 'linear' or 'log'")
     gain = F.col("n") if mode == "linear" else F.log(F.col("n") + 1)
     cell = F.struct(F.col("label_id").cast("int").alias("label_id"), gain.cast("double").alias("gain"))
-    per_word = model.cells.groupBy("key").agg(F.collect_list(cell).alias("cells"), F.sum("n").alias("freq"))
+    per_word = model.cells.groupBy("key").agg(F.collect_list(cell).alias("cells"))
     # Class -1 counts the word itself, whatever classes it was seen in.
     itself = F.array(F.struct(F.lit(-1).alias("label_id"), F.lit(1.0).alias("gain")))
     by_word = vocab.select("key").join(per_word, "key", "left").select(
         "key",
         F.when(F.col("cells").isNull(), itself).otherwise(F.concat(itself, "cells")).alias("cells"),
-        F.coalesce("freq", F.lit(0)).alias("freq"),
     )
     totals = model.labels.orderBy("label_id").limit(MAX_BANK + 1).collect()
     if len(totals) > MAX_BANK:
@@ -89,7 +88,7 @@ def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear")
 def score_classes(docs: DataFrame, scorer: Scorer, id_col: str = "paper_id", words: str = "Abstract") -> DataFrame:
     """``(id_col, p)``: class probabilities of each word list, in label id order."""
     tokens = docs.select(id_col, F.explode(words).alias("key"))
-    found = lookup_join(tokens, scorer.by_word, "key", weight="freq")
+    found = lookup_join(tokens, scorer.by_word, "key")
     sums = (
         found.select(id_col, F.explode("cells").alias("c"))
         .groupBy(id_col, F.col("c.label_id").alias("label_id"))

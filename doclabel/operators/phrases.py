@@ -34,7 +34,7 @@ def phrase_word_stream(
     tokens = df.select(id_col, F.posexplode(words).alias("pos", "key"))
     if extent.last_id is not None:
         tokens = tokens.filter((F.col(id_col) != extent.last_id) | (F.col("pos") != extent.last_length - 1))
-    known = lookup_join(tokens, vocab.select("key", "id", "freq"), "key", weight="freq")
+    known = lookup_join(tokens, vocab.select("key", "id"), "key")
     return gather(known, "id", id_col, name="stream")
 
 
@@ -66,12 +66,17 @@ def pair_counts(stream: DataFrame, cross_document: bool = True, id_col: str = "p
     return pairs.groupBy("id1", "id2").agg(F.count("*").alias("freq"))
 
 
+def with_words(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Add the words and tags ``(w1, w2, tag1, tag2)`` of pairs of ids."""
+    for side in ("1", "2"):
+        names = vocab.select(F.col("id").alias("id" + side), F.col("key").alias("w" + side), F.col("tag").alias("tag" + side))
+        pairs = lookup_join(pairs, names, "id" + side)
+    return pairs
+
+
 def context_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Pair counts with the words spelled out: ``(w1, w2, freq)``."""
-    first = vocab.select(F.col("id").alias("id1"), F.col("key").alias("w1"))
-    second = vocab.select(F.col("id").alias("id2"), F.col("key").alias("w2"))
-    named = lookup_join(lookup_join(counts, first, "id1"), second, "id2")
-    return named.select("w1", "w2", "freq")
+    return with_words(counts, vocab).select("w1", "w2", "freq")
 
 
 def _information(zero_cells: str) -> Column:
@@ -94,8 +99,8 @@ def _information(zero_cells: str) -> Column:
     return F.when(usable & (n1 > 0) & (n2 > 0) & (n1 < total) & (n2 < total), score).otherwise(F.lit(0.0))
 
 
-def mutual_information(counts: DataFrame, vocab: DataFrame, zero_cells: str = "drop") -> DataFrame:
-    """Score every observed pair: ``(id1, id2, w1, w2, tag1, tag2, freq, mutual_info)``.
+def mutual_information(counts: DataFrame, zero_cells: str = "drop") -> DataFrame:
+    """Score every observed pair: ``(id1, id2, freq, mutual_info)``.
 
     Marginals are those of the first position. ``zero_cells='drop'`` scores pairs
     with an empty cell 0; ``'limit'`` lets an empty cell add 0 (0 log 0 = 0).
@@ -103,31 +108,21 @@ def mutual_information(counts: DataFrame, vocab: DataFrame, zero_cells: str = "d
     if zero_cells not in ("drop", "limit"):
         raise ValueError("zero_cells must be 'drop' or 'limit'")
     counts = stage(counts, "pairs")
-    firsts = counts.groupBy(F.col("id1").alias("id")).agg(F.sum("freq").alias("n"))
-    words = stage(
-        vocab.select("id", "key", "tag").join(firsts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))),
-        "marginals",
-    )
-    total = counts.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
-
-    def side(k: int) -> DataFrame:
-        return words.select(
-            F.col("id").alias(f"id{k}"), F.col("key").alias(f"w{k}"), F.col("tag").alias(f"tag{k}"),
-            F.col("n").alias(f"n{k}"),
-        )
+    firsts = stage(counts.groupBy(F.col("id1").alias("id")).agg(F.sum("freq").alias("n")), "firsts")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scored = lookup_join(counts, firsts.select(F.col("id").alias("id1"), F.col("n").alias("n1")), "id1")
+    seconds = firsts.select(F.col("id").alias("id2"), F.col("n").alias("n2"))
+    scored = lookup_join(scored, seconds, "id2", how="left")
+    scored = scored.withColumn("n2", F.coalesce("n2", F.lit(0))).withColumn("total", F.lit(total).cast("bigint"))
+    return scored.select("id1", "id2", "freq", _information(zero_cells).alias("mutual_info"))
 
-    scored = lookup_join(lookup_join(counts, side(1), "id1"), side(2), "id2")
-    scored = scored.withColumn("total", F.lit(total).cast("bigint"))
-    return scored.select("id1", "id2", "w1", "w2", "tag1", "tag2", "freq", _information(zero_cells).alias("mutual_info"))
 
-
-def top_phrases(scored: DataFrame, n_phrases: int) -> DataFrame:
+def top_phrases(scored: DataFrame, vocab: DataFrame, n_phrases: int) -> DataFrame:
     """The ``n_phrases`` pairs with the highest positive score, numbered in (w1, w2) order.
 
     A quantile sketch of the scores gives a cut that leaves little more than the
-    wanted pairs to sort; if it leaves too few, all pairs are sorted.
+    wanted pairs to name and sort; if it leaves too few, all pairs are sorted.
     """
-    columns = ["w1", "w2", "id", "tag1", "tag2", "mutual_info", "freq"]
     score = F.floor(F.col("mutual_info") * 10**TIE_DECIMALS + F.lit(0.5))
     informative = stage(scored.filter(F.col("mutual_info") > 0).withColumn("_score", score), "scored")
     total = informative.count()
@@ -137,8 +132,10 @@ def top_phrases(scored: DataFrame, n_phrases: int) -> DataFrame:
         likely = informative.filter(F.col("_score") >= cut)
         if likely.count() >= n_phrases:
             informative = likely
-    ranked = with_dense_id(informative, F.desc("_score"), "w1", "w2", name="_rank").filter(F.col("_rank") < n_phrases)
-    return with_dense_id(ranked.drop("_rank", "_score"), "w1", "w2").select(*columns)
+    named = with_words(informative, vocab)
+    ranked = with_dense_id(named, F.desc("_score"), "w1", "w2", name="_rank").filter(F.col("_rank") < n_phrases)
+    columns = ["w1", "w2", "id", "tag1", "tag2", "mutual_info", "freq"]
+    return with_dense_id(ranked.drop("_rank", "_score", "id1", "id2"), "w1", "w2").select(*columns)
 
 
 def build_phrases(
@@ -155,8 +152,8 @@ def build_phrases(
     stream = phrase_word_stream(df, vocab, id_col, words, extent)
     if cross_document:
         stream = stage(stream, "stream")
-    scored = mutual_information(pair_counts(stream, cross_document, id_col), vocab, zero_cells)
-    return top_phrases(scored, int(share * vocab.count()))
+    scored = mutual_information(pair_counts(stream, cross_document, id_col), zero_cells)
+    return top_phrases(scored, vocab, int(share * vocab.count()))
 
 
 def phrases_to_vocab(phrases: DataFrame) -> DataFrame:

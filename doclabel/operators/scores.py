@@ -10,6 +10,9 @@ from doclabel.operators.ordering import with_dense_id
 from doclabel.operators.vocab import PROPER_NOUN, keep_keys
 from doclabel.staging import stage
 
+# Decimals that decide ties.
+TIE_DECIMALS = 9
+
 
 def label_word_counts(
     docs: DataFrame, vocab: DataFrame, label: str = "label", words: str = "Abstract"
@@ -56,10 +59,17 @@ def tfidf(vocab: DataFrame, docs: DataFrame, label: str = "label", words: str =
     return tfidf_from_parts(parts)
 
 
+def _sort_key(container: DataFrame, attribute: str) -> Column:
+    """Scores are compared after rounding: sums of floats depend on their order."""
+    if container.schema[attribute].dataType.typeName() in ("double", "float"):
+        return F.round(attribute, TIE_DECIMALS)
+    return F.col(attribute)
+
+
 def top_n(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
     """The ``n`` highest rows, ``place`` 0 first; ties: lower id first."""
     ranked = with_dense_id(
-        container.withColumn("_by", F.col(attribute)).withColumn("_id", F.col("id")), F.desc("_by"), "_id", name="place"
+        container.withColumn("_by", _sort_key(container, attribute)).withColumn("_id", F.col("id")), F.desc("_by"), "_id", name="place"
     )
     return ranked.filter(F.col("place") < n).select(*container.columns, "place")
 
@@ -67,7 +77,7 @@ def top_n(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
 def bottom_n(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
     """The ``n`` lowest rows, listed from high to low."""
     ranked = with_dense_id(
-        container.withColumn("_by", F.col(attribute)).withColumn("_id", F.col("id")), F.asc("_by"), F.desc("_id"),
+        container.withColumn("_by", _sort_key(container, attribute)).withColumn("_id", F.col("id")), F.asc("_by"), F.desc("_id"),
         name="_rank",
     ).filter(F.col("_rank") < n)
     last = ranked.agg(F.max("_rank")).scalar()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from doclabel.functions.text import clean_words, sample_words, whitespace_words, word_candidates
 from doclabel.operators.lookup import lookup_join
+from doclabel.staging import spread
 
 
 def with_clean_words(df: DataFrame, text: str = "Abstract") -> DataFrame:
@@ -68,14 +69,13 @@ def selected_tokens(
     *keep: str,
     words: str = "Abstract",
     keep_last: bool = False,
-    weight: str | None = None,
 ) -> DataFrame:
     """Words and phrases of each text that are in the vocabulary, one row each.
 
     ``vocab`` has one row per ``key``; its other columns come along.
     """
     candidates = df.select(*keep, F.posexplode(word_candidates(F.col(words), keep_last)).alias("pos", "key"))
-    return lookup_join(candidates, vocab, "key", weight=weight)
+    return lookup_join(candidates, vocab, "key")
 
 
 def gather(tokens: DataFrame, item: str, *by: str, order: str = "pos", name: str = "Abstract") -> DataFrame:
@@ -90,14 +90,12 @@ def select_in_vocab(
     id_col: str = "paper_id",
     words: str = "Abstract",
     keep_last: bool = False,
-    weight: str | None = None,
 ) -> DataFrame:
     """Rewrite each word list to the in-vocabulary words and phrases, in order.
 
     Texts without any such word stay, with an empty list.
     """
-    tokens = selected_tokens(df, vocab.select("key", *([weight] if weight else [])), id_col,
-                             words=words, keep_last=keep_last, weight=weight)
+    tokens = selected_tokens(df, vocab.select("key"), id_col, words=words, keep_last=keep_last)
     lists = gather(tokens, "key", id_col, name="_words")
     others = [c for c in df.columns if c != words]
     joined = df.select(*others).join(lists, id_col, "left")
@@ -114,6 +112,6 @@ def sample_selected_words(
     text: str = "Abstract",
 ) -> DataFrame:
     """Draw ``n_words`` in-vocabulary words of each text, with replacement."""
-    split = df.withColumn(text, whitespace_words(F.col(text)))
+    split = spread(df).withColumn(text, whitespace_words(F.col(text)))
     selected = select_in_vocab(split, vocab, id_col, text)
     return selected.withColumn(text, sample_words(F.col(text), F.col(id_col), n_words, seed))

@@ -75,4 +75,4 @@ class VocabModel(Model):
         self.vocab, self.id_col, self.words = vocab, id_col, words
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return select_in_vocab(dataset, self.vocab, self.id_col, self.words, weight="freq")
+        return select_in_vocab(dataset, self.vocab, self.id_col, self.words)

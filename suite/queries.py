@@ -14,7 +14,7 @@ from doclabel.plans import experiments, features, training
 from doclabel.plans.corpus import build_phrase_vocab, process_corpus
 from doclabel.plans.stages import AbstractCleaner, CodeCleaner, ColumnSelector
 from doclabel.sources import containers, harvest, tables
-from doclabel.staging import scratch_path, stage
+from doclabel.staging import scratch_path, spread, stage
 from doclabel.streaming import jobs
 from suite import fixtures as fx
 from suite import oracle as o
@@ -187,7 +187,7 @@ def _(spark, d):
 def text_query(name: str, function, sql: str):
     @query(name, f'SELECT paper_id, {sql} AS text FROM papers')
     def _(spark, d):
-        return fx.papers(spark, d).select("paper_id", function(F.col("Abstract")).alias("text"))
+        return spread(fx.papers(spark, d).select("paper_id", "Abstract")).select("paper_id", function(F.col("Abstract")).alias("text"))
 
 
 text_query("strip_math", text.strip_math, o.math_free('"Abstract"'))
@@ -201,7 +201,7 @@ text_query(
 
 @query("clean_words", "SELECT paper_id, array_to_string(w, ' ') AS text FROM words")
 def _(spark, d):
-    cleaned = AbstractCleaner().transform(fx.papers(spark, d))
+    cleaned = AbstractCleaner().transform(spread(fx.papers(spark, d).select("paper_id", "Abstract")))
     return cleaned.select("paper_id", joined("Abstract").alias("text"))
 
 
@@ -224,7 +224,7 @@ def _(spark, d):
        SELECT paper_id, string_agg(key, ' ' ORDER BY p) AS words FROM full_selected GROUP BY paper_id) s ON s.paper_id = w.paper_id""",
 )
 def _(spark, d):
-    chosen = tokens.select_in_vocab(fx.words(spark, d).select("paper_id", "Abstract"), fx.corpus(spark, d).vocab, weight="freq")
+    chosen = tokens.select_in_vocab(fx.words(spark, d).select("paper_id", "Abstract"), fx.corpus(spark, d).vocab)
     return chosen.select("paper_id", joined("Abstract").alias("words"))
 
 
@@ -353,7 +353,8 @@ def stream(spark, d):
 
 
 def scored_pairs(spark, d):
-    return phrases.mutual_information(phrases.pair_counts(stage(stream(spark, d), "stream")), fx.vocab(spark, d))
+    scored = phrases.mutual_information(phrases.pair_counts(stage(stream(spark, d), "stream")))
+    return phrases.with_words(scored, fx.vocab(spark, d))
 
 
 @query("phrase_word_stream", "SELECT paper_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids FROM stream GROUP BY paper_id")
@@ -399,7 +400,7 @@ def cells(spark, d):
 
 
 def tfidf(spark, d):
-    return stage(scores.tfidf(fx.corpus(spark, d).vocab, labelled(spark, d)).withColumn("tfidf", F.round("tfidf", 9)), "tfidf")
+    return stage(scores.tfidf(fx.corpus(spark, d).vocab, labelled(spark, d)), "tfidf")
 
 
 @query("label_word_counts", "SELECT id, label, n FROM cells")
@@ -426,7 +427,7 @@ def bottom_sql(where: str) -> str:
 
 
 def ranked_words(df):
-    return df.select("key", "place", rounded("tfidf", "tfidf"))
+    return df.select("key", "place", F.round(F.round("tfidf", 9), 6).alias("tfidf"))
 
 
 @query(
@@ -467,7 +468,7 @@ def language_texts(spark, d):
 
 
 def language_cells(spark, d):
-    split = language_texts(spark, d).withColumn("Abstract", text.whitespace_words(F.col("Abstract")))
+    split = spread(language_texts(spark, d)).withColumn("Abstract", text.whitespace_words(F.col("Abstract")))
     chosen = tokens.selected_tokens(split, fx.vocab(spark, d).select("key", "id"), "label")
     return stage(chosen.groupBy("id", "label").agg(F.count("*").alias("n")), "cells")
 
@@ -1010,9 +1011,8 @@ query("process_corpus", PROCESSED_SQL)(flagship)
 @query("tfidf_feature_selection", REDUCED_SQL)
 def _(spark, d):
     corpus = fx.corpus(spark, d)
-    tfidf_scores, _ = features.tfidf_feature_selection(corpus.papers, corpus.vocab, fx.bank(spark), fx.DEPTH, 5000)
-    rounded_scores = stage(tfidf_scores.withColumn("tfidf", F.round("tfidf", 9)), "tfidf")
-    return scores.reduce_vocab(corpus.vocab, rounded_scores, 5000)
+    _, reduced = features.tfidf_feature_selection(corpus.papers, corpus.vocab, fx.bank(spark), fx.DEPTH, 5000)
+    return reduced
 
 
 @query(

@@ -80,8 +80,8 @@ def test_lookup_join_on_skewed_keys_equals_plain_join(spark):
     right = spark.createDataFrame([("hot", 1, 400)] + [(f"w{i}", i, i) for i in range(0, 60, 2)], "key string, id bigint, freq bigint")
     for how in ("inner", "left"):
         plain = rows(left.join(right, "key", how).na.fill(-1), "n", "key", "id")
-        for weight in (None, "freq"):
-            split = lookup.lookup_join(left, right, "key", how, weight=weight, broadcast_bytes=0, hot_keys=3)
+        for sample in (1.0, 0.01):
+            split = lookup.lookup_join(left, right, "key", how, broadcast_bytes=0, hot_keys=3, sample=sample)
             assert rows(split.na.fill(-1), "n", "key", "id") == plain
         assert rows(lookup.lookup_join(left, right, "key", how).na.fill(-1), "n", "key", "id") == plain
 
@@ -89,7 +89,7 @@ def test_lookup_join_on_skewed_keys_equals_plain_join(spark):
 def test_tail_of_skewed_join_holds_no_hot_row(spark):
     left = spark.createDataFrame([(i, "hot") for i in range(50)] + [(99, "cold")], "n bigint, key string")
     right = spark.createDataFrame([("hot", 50), ("cold", 1)], "key string, freq bigint")
-    plan = lookup.lookup_join(left, right, "key", weight="freq", broadcast_bytes=0, hot_keys=1)
+    plan = lookup.lookup_join(left, right, "key", broadcast_bytes=0, hot_keys=1, sample=1.0)
     assert plan.count() == 51
     assert "LeftAnti" in plan._jdf.queryExecution().toString()
 
@@ -138,7 +138,7 @@ def test_mutual_information(spark, zero_cells):
     lists = [[rng.choice("abcdx") for _ in range(rng.randrange(12))] for _ in range(30)]
     words = container(spark, [(w, "NN", 9 - i) for i, w in enumerate("abcd")])
     stream = phrases.phrase_word_stream(corpus(spark, lists), words)
-    scored = phrases.mutual_information(phrases.pair_counts(stream), words, zero_cells).collect()
+    scored = phrases.with_words(phrases.mutual_information(phrases.pair_counts(stream), zero_cells), words).collect()
     want = brute_information(brute_pairs(lists, set("abcd"), True), "abcd", zero_cells)
     assert {(r["w1"], r["w2"]): pytest.approx(r["mutual_info"], abs=1e-12) for r in scored} == want
     assert all(r["mutual_info"] >= 0 for r in scored)
@@ -147,10 +147,13 @@ def test_mutual_information(spark, zero_cells):
 @pytest.mark.parametrize("n", [0, 1, 5, 40, 1000])
 def test_top_phrases_equals_full_sort(spark, n):
     rng = random.Random(n)
-    pairs = [(f"a{rng.randrange(30)}", f"b{i}", "NN", "JJ", 1, rng.choice([0.0, 0.25, 0.5, rng.random()])) for i in range(200)]
-    scored = spark.createDataFrame(pairs, "w1 string, w2 string, tag1 string, tag2 string, freq bigint, mutual_info double")
-    best = sorted((p for p in pairs if p[5] > 0), key=lambda p: (-round(p[5], 9), p[0], p[1]))[:n]
-    got = rows(phrases.top_phrases(scored, n), "id", "w1", "w2")
+    vocab = spark.createDataFrame([(f"k{i:03d}", (i * 37) % 230, "NN") for i in range(230)], "key string, id bigint, tag string")
+    key = {(i * 37) % 230: f"k{i:03d}" for i in range(230)}
+    pairs = [(rng.randrange(30), 30 + i, 1, rng.choice([0.0, 0.25, 0.5, rng.random()])) for i in range(200)]
+    scored = spark.createDataFrame(pairs, "id1 bigint, id2 bigint, freq bigint, mutual_info double")
+    named = [(key[a], key[b], score) for a, b, _, score in pairs if score > 0]
+    best = sorted(named, key=lambda p: (-round(p[2], 9), p[0], p[1]))[:n]
+    got = rows(phrases.top_phrases(scored, vocab, n), "id", "w1", "w2")
     assert got == [(i, a, b) for i, (a, b) in enumerate(sorted((p[0], p[1]) for p in best))]
 
 
