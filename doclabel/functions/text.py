@@ -72,9 +72,16 @@ def adjacent_pairs(items: Column) -> Column:
 
 
 def sample_words(words: Column, key: Column, n_words: int = 25, seed: int = 0) -> Column:
-    """``n_words`` drawn with replacement; the draw depends on ``key`` and ``seed`` only."""
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(n_words - 1)),
-        lambda k: F.get(words, F.pmod(F.xxhash64(key, k, F.lit(seed)), F.size(words)).cast("int")),
-    )
+    """``n_words`` drawn with replacement; the draw depends on ``key`` and ``seed`` only.
+
+    Draw k takes the word at md5("key:k:seed") (first 32 bits) modulo the length,
+    so any engine can repeat it.
+    """
+
+    def draw(k: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", key.cast("string"), k.cast("string"), F.lit(str(seed))))
+        number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+        return F.get(words, (number % F.size(words)).cast("int"))
+
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), draw)
     return F.when(F.size(words) > 0, drawn).otherwise(F.array().cast("array<string>"))

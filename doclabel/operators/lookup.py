@@ -55,14 +55,15 @@ def lookup_join(
     how: str = "inner",
     broadcast_bytes: int | None = None,
     hot_keys: int = HOT_KEYS,
-    sample: float = SAMPLE,
+    sample: float | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``keyed`` (one row per ``on``); ``how`` is inner or left."""
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     if measured_bytes(keyed) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return rows.join(F.broadcast(keyed), on, how)
-    heavy = stage(heavy_keys(rows, on, hot_keys, sample), "heavy")
+    share = SAMPLE if sample is None else sample
+    heavy = stage(heavy_keys(rows, on, hot_keys, share), "heavy")
     hot = stage(keyed.join(F.broadcast(heavy), on, "left_semi"), "hot")
     size = measured_bytes(hot)
     if size > BROADCAST_BYTES and hot_keys > 1:

@@ -20,8 +20,8 @@ N_STEPS = 50
 
 
 def shuffle_order(id_col: str = "paper_id", seed: int = SHUFFLE_SEED) -> list[Column]:
-    """Order key of a seeded shuffle; the same for any partitioning."""
-    return [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
+    """Order key of a seeded shuffle, md5("id:seed"); the same for any partitioning."""
+    return [F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), F.col(id_col)]
 
 
 def shuffle_seeded(df: DataFrame, id_col: str = "paper_id", seed: int = SHUFFLE_SEED) -> DataFrame:

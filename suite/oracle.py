@@ -159,6 +159,12 @@ TABLES = {
     "score_best": "SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, c) AS place FROM score_cells",
     "word_vectors": """SELECT key AS word, list_transform(range(8), lambda k: (((id * 31 + k * 17) % 101) / 101.0)::FLOAT) AS vector
       FROM vocab WHERE id % 5 <> 0""",
+    "vec_keys": "SELECT word AS key, 0 AS id FROM word_vectors",
+    "vec_selected": selection_sql("raw_tok", "vec_keys"),
+    "shuffled": "SELECT doc_id AS paper_id, row_number() OVER (ORDER BY md5(doc_id || ':73'), doc_id) - 1 AS position FROM documents",
+    "samples": """SELECT paper_id, y, CASE WHEN rk < n - least(n * 10 // 100, 1000) THEN 'train' ELSE 'test' END AS split FROM (
+      SELECT c.paper_id, b.id AS y, row_number() OVER (ORDER BY md5(c.paper_id || ':73'), c.paper_id) - 1 AS rk, count(*) OVER () AS n
+      FROM (SELECT paper_id, arg_min(code, pos) AS code FROM codes GROUP BY paper_id) c JOIN bank b ON b.key = c.code)""",
     "bench_keys": f"""SELECT word AS key, row_number() OVER (ORDER BY min(item_id * 10000000 + pos)) - 1 AS place
       FROM ({tokens_sql(f"(SELECT item_id, {clean_words('text')} AS w FROM benchmark)", 'item_id', 'w')}) GROUP BY word""",
     "records": f"""SELECT 'math/' || lpad(doc_id::VARCHAR, 7, '0') AS "arXiv_id", 'On ' || lang || ' ' || source AS "Title",
@@ -168,6 +174,12 @@ TABLES = {
 }
 
 
+def drawn_sql(selected: str, n: int, seed: int) -> str:
+    """``n`` words per document drawn with replacement from its selected words."""
+    return f"""SELECT paper_id, k, ws[(('0x' || substr(md5(paper_id || ':' || k || ':{seed}'), 1, 8))::BIGINT % len(ws)) + 1] AS word
+      FROM (SELECT paper_id, list(key ORDER BY p) AS ws FROM {selected} GROUP BY paper_id) CROSS JOIN (SELECT unnest(range({n})) AS k)"""
+
+
 def class_scores_sql(cells: str, docs: str, tokens: str, mode: str) -> str:
     """Class probabilities ``(paper_id, label_id, p)`` for every document and class."""
     value = "(s + m) / (n_c + v)" if mode == "linear" else "s - m * ln(n_c + v)"

@@ -46,6 +46,17 @@ def numbers(column):
     return F.array_join(F.transform(column, lambda x: x.cast("int").cast("string")), ",")
 
 
+SEQUENCE_SQL = """SELECT t.paper_id, t.pos, v.vector, row_number() OVER (PARTITION BY t.paper_id ORDER BY t.pos) - 1 AS step
+  FROM tok t JOIN word_vectors v ON v.word = t.word WHERE t.pos < 50"""
+
+
+def logits_sql(sequence: str, by: str) -> str:
+    """Mean vector of each sequence times the fixed matrix: ``(by, c, z)``."""
+    return f"""SELECT {by}, c, sum(x * ((r * 13 + c * 7) % 101) / 101.0) AS z FROM (
+        SELECT {by}, r, avg(x) AS x FROM (SELECT {by}, unnest(range(8)) AS r, unnest(vector)::DOUBLE AS x FROM ({sequence})) GROUP BY {by}, r
+      ) CROSS JOIN (SELECT unnest(range(61)) AS c) GROUP BY {by}, c"""
+
+
 # --- sources and sinks ---------------------------------------------------------
 
 RECORD_COLUMNS = '"arXiv_id", "Title", "Authors", "Date", "MSCs", "Abstract"'
@@ -228,7 +239,11 @@ def _(spark, d):
     return chosen.select("paper_id", joined("Abstract").alias("words"))
 
 
-@query("sample_words")
+@query(
+    "sample_words",
+    f"""SELECT p.paper_id, coalesce(s.words, '') AS words FROM papers p LEFT JOIN (
+        SELECT paper_id, string_agg(word, ' ' ORDER BY k) AS words FROM ({o.drawn_sql('raw_selected', 25, 7)}) GROUP BY paper_id) s ON s.paper_id = p.paper_id""",
+)
 def _(spark, d):
     texts = fx.papers(spark, d).select("paper_id", "Abstract")
     drawn = tokens.sample_selected_words(texts, fx.vocab(spark, d).select("key"), 25, 7)
@@ -618,7 +633,7 @@ def _(spark, d):
     return splits.split_80_10_10(documents(spark, d))
 
 
-@query("shuffle_seeded")
+@query("shuffle_seeded", "SELECT s.paper_id, d.lang, s.position FROM shuffled s JOIN documents d ON d.doc_id = s.paper_id")
 def _(spark, d):
     return splits.shuffle_seeded(documents(spark, d))
 
@@ -680,10 +695,6 @@ def _(spark, d):
     return splits.with_sequence_length(fx.words(spark, d)).select("paper_id", "length")
 
 
-SEQUENCE_SQL = """SELECT t.paper_id, t.pos, v.vector, row_number() OVER (PARTITION BY t.paper_id ORDER BY t.pos) - 1 AS step
-  FROM tok t JOIN word_vectors v ON v.word = t.word WHERE t.pos < 50"""
-
-
 @query(
     "padded_sequence",
     f"""SELECT w.paper_id, g.step, round(coalesce(s.vector[1], 0)::DOUBLE, 6) AS first, round(coalesce(s.vector[8], 0)::DOUBLE, 6) AS last,
@@ -704,7 +715,12 @@ def cleaned_papers(spark, d):
     return labels.clean_codes(fx.words(spark, d), fx.bank(spark), 2).filter(F.size("MSCs") > 0)
 
 
-@query("rnn_training_set")
+@query(
+    "rnn_training_set",
+    f"""SELECT s.paper_id, len(w.w)::INTEGER AS length, coalesce(e.n, 0)::INTEGER AS effective_length, s.y, s.split, 50 AS steps
+        FROM samples s JOIN words w ON w.paper_id = s.paper_id
+        LEFT JOIN (SELECT paper_id, count(*) AS n FROM ({SEQUENCE_SQL}) GROUP BY paper_id) e ON e.paper_id = s.paper_id""",
+)
 def _(spark, d):
     samples = training.rnn_training_set(cleaned_papers(spark, d), fx.word_vectors(spark, d), fx.bank(spark), fx.VECTOR_DIM)
     return samples.select("paper_id", "length", "effective_length", "y", "split", F.size("x").alias("steps"))
@@ -777,7 +793,12 @@ def _(spark, d):
     )
 
 
-@query("doc_vector_concat")
+@query(
+    "doc_vector_concat",
+    f"""SELECT p.paper_id, 200 AS dim, round(coalesce(s.total, 0), 4) AS total FROM papers p LEFT JOIN (
+        SELECT paper_id, sum(list_sum(v.vector::DOUBLE[])) AS total FROM ({o.drawn_sql('vec_selected', 25, 7)}) d
+        JOIN word_vectors v ON v.word = d.word GROUP BY paper_id) s ON s.paper_id = p.paper_id""",
+)
 def _(spark, d):
     texts = fx.papers(spark, d).select("paper_id", "Abstract")
     made = vectors.doc_vector_concat(texts, fx.word_vectors(spark, d), fx.VECTOR_DIM, seed=7)
@@ -839,13 +860,6 @@ def filled_sequences(spark, d):
     return splits.padded_sequence(base, fx.word_vectors(spark, d), fx.VECTOR_DIM)
 
 
-def logits_sql(sequence: str, by: str) -> str:
-    """Mean vector of each sequence times the fixed matrix: ``(by, c, z)``."""
-    return f"""SELECT {by}, c, sum(x * ((r * 13 + c * 7) % 101) / 101.0) AS z FROM (
-        SELECT {by}, r, avg(x) AS x FROM (SELECT {by}, unnest(range(8)) AS r, unnest(vector)::DOUBLE AS x FROM ({sequence})) GROUP BY {by}, r
-      ) CROSS JOIN (SELECT unnest(range(61)) AS c) GROUP BY {by}, c"""
-
-
 @query(
     "score_sequences",
     f"""SELECT w.paper_id, c.c AS label_id, round(coalesce(l.z, 0), 6) AS logit FROM words w CROSS JOIN (SELECT unnest(range(61)) AS c) c
@@ -1026,11 +1040,19 @@ def _(spark, d):
     return scored.select("paper_id", "best", rounded(F.array_max("p"), "p"))
 
 
-@query("sequence_experiment")
+@query(
+    "sequence_experiment",
+    f"""SELECT split, round(avg(CASE WHEN better < 3 THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM (
+        SELECT s.paper_id, s.split, count(*) FILTER (l.z > own.z) AS better FROM samples s
+        LEFT JOIN ({logits_sql(SEQUENCE_SQL, 'paper_id')}) own ON own.paper_id = s.paper_id AND own.c = s.y
+        LEFT JOIN ({logits_sql(SEQUENCE_SQL, 'paper_id')}) l ON l.paper_id = s.paper_id
+        GROUP BY s.paper_id, s.split) GROUP BY split""",
+)
 def _(spark, d):
-    return experiments.sequence_experiment(
+    quality = experiments.sequence_experiment(
         cleaned_papers(spark, d), fx.word_vectors(spark, d), fx.bank(spark), fx.linear_model, fx.VECTOR_DIM
     )
+    return quality.withColumn("accuracy", F.round("accuracy", 9))
 
 
 # --- streams --------------------------------------------------------------------------------------
