@@ -15,6 +15,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from doclabel.session import get_session
 from suite import fixtures as fx
 from suite.queries import QUERIES
 
@@ -36,12 +37,10 @@ def seconds(spark: SparkSession, name: str) -> float:
 
 def main() -> None:
     wanted = sys.argv[1:] or HEADLINE
-    spark = (
-        SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
-        .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    )
+    spark = get_session("bench", f"local[{CPUS}]", **{
+        "spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g",
+    })
     spark.sparkContext.setLogLevel("ERROR")
     fx.vocab(spark, SF_DIR), fx.corpus(spark, SF_DIR), fx.word_vectors(spark, SF_DIR), fx.harvest_pages(spark, SF_DIR)
     timings = {name: round(statistics.median(seconds(spark, name) for _ in range(RUNS)), 3) for name in wanted}

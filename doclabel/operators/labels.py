@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclabel.functions.codes import codes_at_depth, split_codes
+from doclabel.operators.lookup import lookup_join
 from doclabel.operators.vocab import keep_keys
 
 # Fixed value: fewest selected words of a usable text.
@@ -58,7 +59,7 @@ def explode_labels(df: DataFrame, bank: DataFrame, codes: str = "MSCs") -> DataF
 def describe_codes(df: DataFrame, bank: DataFrame, code: str = "MSCs") -> DataFrame:
     """Add ``label_id`` and ``description`` of a single-code column; unknown codes give nulls."""
     details = bank.select(F.col("key").alias(code), F.col("id").alias("label_id"), "description")
-    return df.join(details, code, "left")
+    return lookup_join(df, details, code, how="left")
 
 
 def select_labels(df: DataFrame, bank: DataFrame, selection: list[str], codes: str = "MSCs"):
@@ -83,7 +84,7 @@ def primary_label(df: DataFrame, bank: DataFrame, codes: str = "MSCs", name: str
 
 def label_index(df: DataFrame, bank: DataFrame, code: str = "code", name: str = "y") -> DataFrame:
     """Add the class index of a single-code column."""
-    return df.join(bank.select(F.col("key").alias(code), F.col("id").alias(name)), code)
+    return lookup_join(df, bank.select(F.col("key").alias(code), F.col("id").alias(name)), code)
 
 
 def multi_label_vector(df: DataFrame, bank: DataFrame, codes: str = "MSCs", name: str = "y") -> DataFrame:

@@ -42,10 +42,11 @@ def train_unigram(
     docs: DataFrame, vocab: DataFrame, bank: DataFrame, words: str = "Abstract", codes: str = "MSCs"
 ) -> UnigramModel:
     """Count words per class; a paper counts for each of its codes, unknown ones are skipped."""
+    classes = bank.select(F.col("key").alias("code"), F.col("id").alias("label_id"))
+    # Classes are joined map-side: the word lists stay where they are, however common a class is.
+    labelled = lookup_join(docs.select(F.explode(codes).alias("code"), words), classes, "code")
     counts = (
-        docs.select(F.explode(codes).alias("code"), words)
-        .join(bank.select(F.col("key").alias("code"), F.col("id").alias("label_id")), "code")
-        .select("label_id", F.explode(words).alias("key"))
+        labelled.select("label_id", F.explode(words).alias("key"))
         .groupBy("key", "label_id")
         .agg(F.count("*").alias("n"))
     )

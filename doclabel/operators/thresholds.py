@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclabel.functions.arrays import argmax, one_hot, with_value
+from doclabel.staging import stage
 
 # Grid sizes, thresholds before fitting, decimals that decide ties.
 GRID_PER_CLASS = 50
@@ -47,7 +48,8 @@ def counts_on_grid(scores: DataFrame, grid: int) -> DataFrame:
     histogram = cells.groupBy("class_id", bucket.alias("b")).agg(
         F.sum(F.col("c.y").cast("bigint")).alias("pos"), F.count("*").alias("n")
     )
-    # One row per class with its buckets (at most grid + 1), spread over the whole grid.
+    # At most grid + 1 rows per class: stored, so that the scores are read once.
+    histogram = stage(histogram, "histogram")
     classes = histogram.groupBy("class_id").agg(F.sum("pos").alias("positives"))
     zero = F.lit(0).cast("bigint")
     empty = classes.select("class_id", F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("b"), zero.alias("pos"), zero.alias("n"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
+from pyspark import StorageLevel
+from pyspark.ml.feature import CountVectorizerModel, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors as MLlibVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclabel.functions.text import whitespace_words
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.tokens import sample_selected_words, select_in_vocab
-from doclabel.operators.vocab import as_sparse_arrays, multi_hot
-from doclabel.staging import spread
+from doclabel.operators.vocab import multi_hot
+from doclabel.staging import spread, stage
 
 # Fixed values of the original models.
 VECTOR_SIZE = 100
@@ -54,20 +55,19 @@ def train_svd_vectors(
     words is bounded. The largest entry of each singular vector is positive.
     """
     spark = df.sparkSession
-    size = vocab.count()
-    if size > MAX_SVD_WORDS:
+    names = [r["key"] for r in vocab.select("key", "id").orderBy("id").limit(MAX_SVD_WORDS + 1).collect()]
+    if len(names) > MAX_SVD_WORDS:
         raise ValueError(f"reduce the vocabulary to at most {MAX_SVD_WORDS} words before the SVD")
     selected = select_in_vocab(df.select(id_col, words), vocab, id_col, words)
-    cells = multi_hot(selected.select(id_col, F.explode(words).alias("key")), vocab, id_col)
-    rows = as_sparse_arrays(cells, id_col).select("indices", "counts").rdd.map(
-        lambda r: MLlibVectors.sparse(size, r["indices"], [float(n) for n in r["counts"]])
-    )
-    basis = RowMatrix(rows, numCols=size).computeSVD(dim, computeU=False).V.toArray()
+    counter = CountVectorizerModel.from_vocabulary(names, inputCol=words, outputCol="counts")
+    # Every iteration of the solver reads the rows again, so they are stored once.
+    counts = stage(counter.transform(selected).select("counts"), "counts").persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(counts, "counts"), numCols=len(names))
+    basis = matrix.computeSVD(dim, computeU=False).V.toArray()
+    counts.unpersist()
     basis = basis * [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in basis.T]
-    by_id = spark.createDataFrame(
-        [(i, [float(x) for x in row]) for i, row in enumerate(basis)], "id bigint, vector array<float>"
-    )
-    return vocab.select("id", F.col("key").alias("word")).join(by_id, "id").select("word", "vector")
+    found = [(name, [float(x) for x in row]) for name, row in zip(names, basis)]
+    return spark.createDataFrame(found, "word string, vector array<float>")
 
 
 def vector_lookup(words: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -51,3 +51,11 @@ def test_one_word_fills_a_third_of_the_corpus(spark, monkeypatch):
     plain = scored()
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", 300)
     assert scored() == plain and len(plain) == 60
+
+
+def test_word_lists_are_not_shuffled_by_class(spark, sf_dir):
+    from suite.queries import QUERIES
+
+    for name in ("label_word_counts", "train_unigram"):
+        text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(MSCs" not in text and "hashpartitioning(code" not in text
