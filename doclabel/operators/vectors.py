@@ -14,7 +14,7 @@ from doclabel.functions.text import whitespace_words
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.tokens import sample_selected_words, select_in_vocab
 from doclabel.operators.vocab import multi_hot
-from doclabel.staging import spread, stage
+from doclabel.staging import stage
 
 # Fixed values of the original models.
 VECTOR_SIZE = 100
@@ -99,6 +99,6 @@ def doc_vector_counts(
     df: DataFrame, container: DataFrame, id_col: str = "paper_id", text: str = "Abstract"
 ) -> DataFrame:
     """Sparse count vectors ``(id_col, id, n)`` of the selected words of each raw text."""
-    split = spread(df.select(id_col, text)).withColumn(text, whitespace_words(F.col(text)))
+    split = df.select(id_col, text).withColumn(text, whitespace_words(F.col(text)))
     selected = select_in_vocab(split, container, id_col, text)
     return multi_hot(selected.select(id_col, F.explode(text).alias("key")), container, id_col)

@@ -13,7 +13,7 @@ from doclabel.operators.labels import clean_codes, drop_unusable
 from doclabel.operators.phrases import PHRASE_SHARE, build_phrases, phrases_to_vocab
 from doclabel.operators.tokens import corpus_extent, select_in_vocab
 from doclabel.operators.vocab import build_vocab, container_union
-from doclabel.staging import spread, stage
+from doclabel.staging import stage
 
 Tagger = Callable[[DataFrame], DataFrame]
 
@@ -63,7 +63,7 @@ def process_corpus(
 
     The cleaned words are staged once: vocabulary, phrases and rewriting all read them.
     """
-    cleaned = stage(clean_papers(spread(raw.select(id_col, text, codes)), bank, depth, text, codes), "cleaned")
+    cleaned = stage(clean_papers(raw.select(id_col, text, codes), bank, depth, text, codes), "cleaned")
     vocab = build_phrase_vocab(cleaned, tagger, share, id_col, text)
     labelled = cleaned.filter(F.size(codes) > 0)
     papers = drop_unusable(select_in_vocab(labelled, vocab, id_col, text), codes, text)

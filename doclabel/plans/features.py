@@ -10,7 +10,6 @@ from doclabel.operators import scores
 from doclabel.operators.labels import describe_codes, explode_labels
 from doclabel.operators.tokens import selected_tokens
 from doclabel.sources.tables import at_depth
-from doclabel.staging import spread
 
 
 def tfidf_feature_selection(
@@ -27,7 +26,7 @@ def information_gain(
     texts: DataFrame, vocab: DataFrame, text: str = "Abstract", label: str = "label", normalized: bool = False
 ) -> DataFrame:
     """Information gain of the vocabulary over raw texts with one label each."""
-    split = spread(texts.select(label, text)).withColumn(text, whitespace_words(F.col(text)))
+    split = texts.select(label, text).withColumn(text, whitespace_words(F.col(text)))
     tokens = selected_tokens(split, vocab.select("key", "id"), label, words=text)
     cells = tokens.groupBy("id", label).agg(F.count("*").alias("n"))
     return scores.information_gain(texts, cells, vocab, label, normalized)

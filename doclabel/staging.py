@@ -39,10 +39,11 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition inputs that have fewer splits than the cluster has cores.
+    """Repartition a freshly read table that has fewer splits than there are cores.
 
-    A corpus of many files already has more splits than cores and passes
-    through untouched; only a few large row groups are redistributed.
+    A corpus of many files has more splits than cores and passes through
+    untouched; only a few large row groups are redistributed. Call it right
+    after reading: counting the splits of a scan runs nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -69,6 +69,11 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers read for heavy text work: one large row group is spread over the cores."""
+    return spread(papers(spark, sf_dir))
+
+
 def bank(spark: SparkSession) -> DataFrame:
     return default_bank(spark)
 
@@ -76,7 +81,7 @@ def bank(spark: SparkSession) -> DataFrame:
 @stored
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers with clean words and packed codes."""
-    cleaned = spread(papers(spark, sf_dir)).withColumn("Abstract", clean_words(F.col("Abstract")))
+    cleaned = raw_texts(spark, sf_dir).withColumn("Abstract", clean_words(F.col("Abstract")))
     return stage(cleaned, "words")
 
 
@@ -94,7 +99,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored
 def corpus(spark: SparkSession, sf_dir: str):
     """Processed papers at depth 2 and the vocabulary with phrases, stored."""
-    result = process_corpus(papers(spark, sf_dir), bank(spark), TAGGER, DEPTH)
+    result = process_corpus(raw_texts(spark, sf_dir), bank(spark), TAGGER, DEPTH)
     result.vocab = stage(result.vocab, "vocab")
     result.papers = stage(result.papers, "processed")
     return result

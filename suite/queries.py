@@ -198,7 +198,7 @@ def _(spark, d):
 def text_query(name: str, function, sql: str):
     @query(name, f'SELECT paper_id, {sql} AS text FROM papers')
     def _(spark, d):
-        return spread(fx.papers(spark, d).select("paper_id", "Abstract")).select("paper_id", function(F.col("Abstract")).alias("text"))
+        return fx.raw_texts(spark, d).select("paper_id", function(F.col("Abstract")).alias("text"))
 
 
 text_query("strip_math", text.strip_math, o.math_free('"Abstract"'))
@@ -212,7 +212,7 @@ text_query(
 
 @query("clean_words", "SELECT paper_id, array_to_string(w, ' ') AS text FROM words")
 def _(spark, d):
-    cleaned = AbstractCleaner().transform(spread(fx.papers(spark, d).select("paper_id", "Abstract")))
+    cleaned = AbstractCleaner().transform(fx.raw_texts(spark, d))
     return cleaned.select("paper_id", joined("Abstract").alias("text"))
 
 
@@ -245,7 +245,7 @@ def _(spark, d):
         SELECT paper_id, string_agg(word, ' ' ORDER BY k) AS words FROM ({o.drawn_sql('raw_selected', 25, 7)}) GROUP BY paper_id) s ON s.paper_id = p.paper_id""",
 )
 def _(spark, d):
-    texts = fx.papers(spark, d).select("paper_id", "Abstract")
+    texts = fx.raw_texts(spark, d).select("paper_id", "Abstract")
     drawn = tokens.sample_selected_words(texts, fx.vocab(spark, d).select("key"), 25, 7)
     return drawn.select("paper_id", joined("Abstract").alias("words"))
 
@@ -479,11 +479,11 @@ def _(spark, d):
 
 
 def language_texts(spark, d):
-    return fx.table(spark, d, "documents").select(F.col("lang").alias("label"), F.col("text").alias("Abstract"))
+    return spread(fx.table(spark, d, "documents").select(F.col("lang").alias("label"), F.col("text").alias("Abstract")))
 
 
 def language_cells(spark, d):
-    split = spread(language_texts(spark, d)).withColumn("Abstract", text.whitespace_words(F.col("Abstract")))
+    split = language_texts(spark, d).withColumn("Abstract", text.whitespace_words(F.col("Abstract")))
     chosen = tokens.selected_tokens(split, fx.vocab(spark, d).select("key", "id"), "label")
     return stage(chosen.groupBy("id", "label").agg(F.count("*").alias("n")), "cells")
 
@@ -800,14 +800,14 @@ def _(spark, d):
         JOIN word_vectors v ON v.word = d.word GROUP BY paper_id) s ON s.paper_id = p.paper_id""",
 )
 def _(spark, d):
-    texts = fx.papers(spark, d).select("paper_id", "Abstract")
+    texts = fx.raw_texts(spark, d).select("paper_id", "Abstract")
     made = vectors.doc_vector_concat(texts, fx.word_vectors(spark, d), fx.VECTOR_DIM, seed=7)
     return made.select("paper_id", F.size("vector").alias("dim"), rounded(arrays.array_sum(F.col("vector").cast("array<double>")), "total", 4))
 
 
 @query("doc_vector_counts", "SELECT paper_id, id, count(*) AS n FROM raw_selected GROUP BY paper_id, id")
 def _(spark, d):
-    return vectors.doc_vector_counts(fx.papers(spark, d).select("paper_id", "Abstract"), fx.vocab(spark, d))
+    return vectors.doc_vector_counts(fx.raw_texts(spark, d).select("paper_id", "Abstract"), fx.vocab(spark, d))
 
 
 # --- classifiers ------------------------------------------------------------------------------
@@ -1015,7 +1015,7 @@ PROCESSED_SQL = """SELECT p.paper_id, c.codes, s.words FROM processed p
 
 
 def flagship(spark, d):
-    papers = process_corpus(fx.papers(spark, d), fx.bank(spark), fx.TAGGER, fx.DEPTH).papers
+    papers = process_corpus(fx.raw_texts(spark, d), fx.bank(spark), fx.TAGGER, fx.DEPTH).papers
     return papers.select("paper_id", joined("MSCs", "|").alias("codes"), joined("Abstract").alias("words"))
 
 
