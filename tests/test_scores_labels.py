@@ -74,7 +74,9 @@ def test_information_gain_of_texts_skips_the_last_word(spark, data):
     assert [r["gain"] for r in by_text] == pytest.approx([r["gain"] for r in by_list])
 
 
-def test_top_and_bottom(spark):
+@pytest.mark.parametrize("small_top", [10_000, 0])
+def test_top_and_bottom(spark, monkeypatch, small_top):
+    monkeypatch.setattr(scores, "SMALL_TOP", small_top)
     rows = [(f"k{i}", i, tag, 0.0, v) for i, (tag, v) in enumerate([("NN", 3.0), ("NNP", 1.0), ("NN", 3.0), ("NN", 2.0), ("NNP", 5.0)])]
     c = spark.createDataFrame(rows, "key string, id bigint, tag string, idf double, tfidf double")
 
