@@ -16,11 +16,9 @@ def with_dense_id(df: DataFrame, *order: Column | str, name: str = "id") -> Data
     The rows are range-sorted and staged once; each row keeps its place within
     its partition, and only one count per partition visits the driver.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [c for c in df.columns if c != name]
     placed = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(
             *columns,
@@ -30,9 +28,10 @@ def with_dense_id(df: DataFrame, *order: Column | str, name: str = "id") -> Data
     )
     placed = stage(placed, "ordered")
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    starts, total = [0] * parts, 0
-    for part in range(parts):
-        starts[part] = total
+    # AQE may merge neighbouring ranges of a small table; their order stays.
+    starts, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(total)
         total += sizes.get(part, 0)
     start = F.get(F.lit(starts).cast("array<bigint>"), F.col("_part"))
     return placed.select(*columns, (start + F.col("_place")).alias(name))
