@@ -52,7 +52,7 @@ SEQUENCE_SQL = """SELECT t.paper_id, t.pos, v.vector, row_number() OVER (PARTITI
 
 def logits_sql(sequence: str, by: str) -> str:
     """Mean vector of each sequence times the fixed matrix: ``(by, c, z)``."""
-    return f"""SELECT {by}, c, sum(x * ((r * 13 + c * 7) % 101) / 101.0) AS z FROM (
+    return f"""SELECT {by}, c, round(sum(x * ((r * 13 + c * 7) % 101) / 101.0), 9) AS z FROM (
         SELECT {by}, r, avg(x) AS x FROM (SELECT {by}, unnest(range(8)) AS r, unnest(vector)::DOUBLE AS x FROM ({sequence})) GROUP BY {by}, r
       ) CROSS JOIN (SELECT unnest(range(61)) AS c) GROUP BY {by}, c"""
 
