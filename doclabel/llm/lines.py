@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclabel.llm.common import WHITE, ascii_lower, drop_table, with_key
+from doclabel.llm.common import WHITE, ascii_lower, drop_table, fresh, with_key
 from doclabel.staging import stage
 
 MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 10, 1, 4, 2
@@ -70,6 +70,25 @@ class LineRuns:
                 drop_table(old)
 
 
+def dropped_places(keyed: DataFrame, key: str, min_docs: int, min_chars: int, batches: int, fanout: int) -> DataFrame:
+    """(key, drops): the sorted places of a document's lines whose key is found in ``min_docs`` documents and more."""
+    lines = stage(hashed_lines(keyed, key, min_chars), "lines")
+    index = LineRuns(min_docs, fanout)
+    for batch in range(batches):
+        index.add(lines.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == batch).select(*HASH, key))
+    frequent = stage(index.closed(), "frequent")
+    # Spark joins the frequent keys map-side if their files are small, else it sorts and splits hot keys.
+    return lines.join(frequent, HASH).groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("drops"))
+
+
+def _kept_text(lines: Column, drops: Column) -> Column:
+    """The lines between dropped places, joined again: linear in the lines."""
+    before = lambda j: F.when(j > 0, F.get(drops, j - 1)).otherwise(-1)
+    until = lambda j: F.coalesce(F.get(drops, j), F.size(lines))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(drops)), lambda j: F.slice(lines, before(j) + 2, until(j) - before(j) - 1))
+    return F.array_join(F.when(F.size(drops) > 0, F.flatten(pieces)).otherwise(lines), "\n")
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Drop all lines whose key is found in at least ``min_docs`` documents.
 
@@ -82,18 +101,29 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     table gives an empty result. Other columns are ignored, whatever their names.
     """
     keyed = with_key(docs, "_key", "text")
-    lines = stage(hashed_lines(keyed, "_key", min_chars), "lines")
-    index = LineRuns(min_docs, fanout)
-    for batch in range(batches):
-        index.add(lines.filter(F.pmod(F.xxhash64("_key"), F.lit(batches)) == batch).select(*HASH, "_key"))
-    frequent = stage(index.closed(), "frequent")
-    # Spark joins the frequent keys map-side if their files are small, else it sorts and splits hot keys.
-    drops = lines.join(frequent, HASH).groupBy("_key").agg(F.sort_array(F.collect_list("pos")).alias("drops"))
+    drops = dropped_places(keyed, "_key", min_docs, min_chars, batches, fanout)
     rows = keyed.join(drops, "_key", "left").select(
         "_key", "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.coalesce("drops", F.array().cast("array<int>")).alias("drops"))
-    # The kept lines are the pieces between dropped places: linear in the lines.
-    before = lambda j: F.when(j > 0, F.get("drops", j - 1)).otherwise(-1)
-    until = lambda j: F.coalesce(F.get("drops", j), F.size("lines"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("drops")), lambda j: F.slice("lines", before(j) + 2, until(j) - before(j) - 1))
-    kept = F.when(F.size("drops") > 0, F.flatten(pieces)).otherwise(F.col("lines"))
-    return rows.select("doc_id", "_key", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("bigint").alias("n_lines"), F.size("drops").cast("bigint").alias("n_dropped"))
+    return rows.select(
+        "doc_id", "_key", _kept_text(F.col("lines"), F.col("drops")).alias("text"),
+        F.size("lines").cast("bigint").alias("n_lines"), F.size("drops").cast("bigint").alias("n_dropped"))
+
+
+def dedup_texts(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """``docs`` with frequent lines dropped from ``text``, all other columns unchanged.
+
+    Texts without a frequent line stay as they are. A column ``n_chars`` is set to
+    the new length where a text changed. Rows whose text loses all lines with a
+    word stay, with what is left.
+    """
+    key, found = fresh(docs, "_key"), fresh(docs, "_drops")
+    keyed = with_key(docs, key, *[c for c in docs.columns if c != "doc_id"])
+    drops = dropped_places(keyed, key, min_docs, min_chars, batches, fanout).withColumnRenamed("drops", found)
+    split = fresh(docs, "_lines")
+    rows = keyed.join(drops, key, "left").withColumn(split, F.when(F.col(found).isNotNull(), F.split("text", "\n")))
+    text = F.when(F.col(found).isNotNull(), _kept_text(F.col(split), F.col(found))).otherwise(F.col("text"))
+    out = rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(found))
+    if "n_chars" in docs.columns:
+        size = F.when(F.col(found).isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", size)
+    return out.select(docs.columns)

@@ -112,7 +112,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def _collect_features(rows: DataFrame) -> np.ndarray:
+def _collect_features(rows: DataFrame, most: int) -> np.ndarray:
     """Statistics of a bounded sample of texts, in an order that does not depend on partitions."""
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,8 @@ def _collect_features(rows: DataFrame) -> np.ndarray:
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    got = rows.mapInArrow(stats, "doc_id bigint, x array<double>").toPandas()
+    # Rows that repeat an id may exceed the sample; their statistics, not their texts, are cut then.
+    got = rows.mapInArrow(stats, "doc_id bigint, x array<double>").limit(most).toPandas()
     if not len(got):
         return np.zeros((0, len(NAMES)))
     got["first"] = got["x"].map(lambda x: tuple(x))
@@ -151,11 +152,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Sco
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     trusted = _share(known.filter("quality = 1").select("doc_id"), sample, F.col("doc_id"))
     ids = trusted.limit(2 * sample)
-    positive = texts.join(F.broadcast(ids), "doc_id", "left_semi").limit(4 * sample)
+    positive = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     # The unlabelled sample is drawn by id first, so that only its own texts are read on.
     drawn = _share(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti"), sample, F.col("doc_id"))
-    unlabelled = texts.join(F.broadcast(drawn.limit(2 * sample)), "doc_id", "left_semi").limit(4 * sample)
-    return fit_nnpu(_collect_features(positive), _collect_features(unlabelled), prior)
+    unlabelled = texts.join(F.broadcast(drawn.limit(2 * sample)), "doc_id", "left_semi")
+    return fit_nnpu(_collect_features(positive, 4 * sample), _collect_features(unlabelled, 4 * sample), prior)
 
 
 def score_quality(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:

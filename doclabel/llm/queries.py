@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclabel.llm import decontaminate, lines, mixing, neardup, quality, repeats, tokens
+from doclabel.llm import decontaminate, licenses, lines, mixing, neardup, pages, quality, repeats, rules, tokens
 from doclabel.llm.common import with_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,16 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return found.select(
+        "doc_id", "n_words", F.size(names).cast("bigint").alias("n_licenses"), F.array_join(names, ",").alias("licenses"),
+        F.size("matches").cast("bigint").alias("n_windows"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
+
+
 @register
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +76,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge_quality(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
 @register
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
@@ -127,6 +148,33 @@ t AS (SELECT source, z, CASE WHEN v.level IS NULL OR cap <= v.level * w THEN cap
 SELECT doc_id, size, z AS source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
 FROM (SELECT d.*, t.z, t.target, CASE WHEN t.z > 0 THEN t.target / t.z ELSE 0.0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)"""
 
+def _template_rows() -> str:
+    """The templates with the shingle size, window width and stride that their words give."""
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        words = len(re.findall(r"[0-9A-Za-z]+", text))
+        size = min(licenses.SHINGLE, words)
+        width, stride = licenses.window_of(words - size + 1)
+        rows.append(f"('{name}', '{text}', {size}, {width}, {stride})")
+    return ", ".join(rows)
+
+
+ORACLES["op4_license_scans"] = rf"""
+WITH t(license, text, size, width, stride) AS (VALUES {_template_rows()}),
+tw AS (SELECT *, regexp_extract_all(translate(text, {_UP}, {_LOW}), {_WORDS}) AS w FROM t),
+tg AS (SELECT DISTINCT license, size, width, stride, array_to_string(w[i : i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM tw)),
+tn AS (SELECT license, count(*) AS n FROM tg GROUP BY license),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), {_WORDS}) AS w FROM documents),
+dg AS (SELECT doc_id, size, i - 1 AS i, array_to_string(w[i : i + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) >= size)),
+h AS (SELECT doc_id, license, i, g, width, stride FROM dg JOIN tg USING (g, size)),
+x AS (SELECT doc_id, license, g, unnest(range(greatest(0, (i - width + stride) // stride), i // stride + 1)) AS k FROM h),
+c AS (SELECT doc_id, license, k, count(DISTINCT g) AS m FROM x GROUP BY 1, 2, 3),
+m AS (SELECT doc_id, license, m::DOUBLE / n AS c FROM c JOIN tn USING (license) WHERE 100 * m >= 75 * n),
+r AS (SELECT doc_id, count(DISTINCT license) AS n_licenses, array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, count(*) AS n_windows, max(c) AS containment FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses,
+  coalesce(n_windows, 0)::BIGINT AS n_windows, coalesce(containment, 0.0)::DOUBLE AS containment FROM d LEFT JOIN r USING (doc_id)"""
+
 ORACLES["op9_line_dedup"] = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
