@@ -56,20 +56,28 @@ def lookup_join(
     broadcast_bytes: int | None = None,
     hot_keys: int = HOT_KEYS,
     sample: float | None = None,
+    size: int | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``keyed`` (one row per ``on``); ``how`` is inner or left."""
+    """Join ``rows`` to ``keyed`` (one row per ``on``); ``how`` is inner or left.
+
+    ``size`` is the measured size of ``keyed``, if it is known: a stored table is
+    measured once and not at every join.
+    """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if measured_bytes(keyed) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+    if (measured_bytes(keyed) if size is None else size) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return rows.join(F.broadcast(keyed), on, how)
     share = SAMPLE if sample is None else sample
     heavy = stage(heavy_keys(rows, on, hot_keys, share), "heavy")
+    if measured_bytes(heavy) > BROADCAST_BYTES:  # huge keys: nothing is small enough to send around
+        return rows.join(keyed, on, how)
     hot = stage(keyed.join(F.broadcast(heavy), on, "left_semi"), "hot")
-    size = measured_bytes(hot)
-    if size > BROADCAST_BYTES and hot_keys > 1:
+    found = measured_bytes(hot)
+    if found > BROADCAST_BYTES and hot_keys > 1:
         # Wide rows: keep as many of the heaviest keys as surely fit.
-        fewer = max(1, hot_keys * BROADCAST_BYTES // (2 * size))
-        return lookup_join(rows, keyed, on, how, broadcast_bytes, fewer, sample)
-    hot_rows = rows.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(hot), on, how)
+        fewer = max(1, hot_keys * BROADCAST_BYTES // (2 * found))
+        return lookup_join(rows, keyed, on, how, broadcast_bytes, fewer, sample, size)
+    hot_side = F.broadcast(hot) if found <= BROADCAST_BYTES else hot
+    hot_rows = rows.join(F.broadcast(heavy), on, "left_semi").join(hot_side, on, how)
     tail_rows = rows.join(F.broadcast(heavy), on, "left_anti").join(keyed, on, how)
     return hot_rows.unionByName(tail_rows)

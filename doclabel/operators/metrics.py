@@ -28,10 +28,10 @@ def mean_fbeta(by_class: DataFrame) -> DataFrame:
     return by_class.agg(F.avg("f_beta").alias("mean_f_beta"))
 
 
-def top_k_accuracy(df: DataFrame, k: int = N_GUESSES, p: str = "p", label: str = "label") -> DataFrame:
-    """Share of rows whose true class has fewer than ``k`` better-scored classes."""
+def top_k_accuracy(df: DataFrame, k: int = N_GUESSES, p: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """Share of rows whose true class has fewer than ``k`` better-scored classes; one row per value of ``by``."""
     hit = (rank_of(F.col(p), F.col(label)) < k).cast("double")
-    return df.agg(F.avg(hit).alias("accuracy"))
+    return df.groupBy(*(by or [])).agg(F.avg(hit).alias("accuracy"))
 
 
 def top_k_label_mass(df: DataFrame, k: int = N_GUESSES, p: str = "p", weights: str = "y") -> DataFrame:

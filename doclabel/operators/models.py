@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclabel.functions.arrays import argmax, log_sum_exp, normalise, with_value
-from doclabel.operators.labels import MAX_BANK
-from doclabel.operators.lookup import lookup_join
-from doclabel.operators.splits import padded_sequence
+from doclabel.operators.lookup import lookup_join, measured_bytes
 from doclabel.staging import stage
 
 
@@ -59,11 +59,16 @@ def train_unigram(
 
 @dataclass
 class Scorer:
-    """A unigram model made ready for scoring: one staged row per vocabulary word."""
+    """A unigram model made ready for scoring: one staged row per vocabulary word.
+
+    ``gains`` is a sparse vector: place 0 counts the word itself, place 1 + label
+    id holds what the word adds to the class. ``size`` is the table's measured size.
+    """
 
     by_word: DataFrame
     smoothing: list[float]
     mode: str
+    size: int
 
 
 def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear") -> Scorer:
@@ -71,36 +76,36 @@ def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear")
     a known word); ``log`` is naive Bayes with equal priors."""
     if mode not in ("linear", "log"):
         raise ValueError("mode must be 'linear' or 'log'")
+    totals = model.labels.select("n_words").orderBy("label_id").collect()  # one number per class
+    places = len(totals) + 1
+
+    @F.udf(VectorUDT())
+    def sparse(labels, gains):
+        return Vectors.sparse(places, [0, *(i + 1 for i in labels)], [1.0, *gains])
+
     gain = F.col("n") if mode == "linear" else F.log(F.col("n") + 1)
     cell = F.struct(F.col("label_id").cast("int").alias("label_id"), gain.cast("double").alias("gain"))
-    per_word = model.cells.groupBy("key").agg(F.collect_list(cell).alias("cells"))
-    # Class -1 counts the word itself, whatever classes it was seen in.
-    itself = F.array(F.struct(F.lit(-1).alias("label_id"), F.lit(1.0).alias("gain")))
-    by_word = vocab.select("key").join(per_word, "key", "left").select(
-        "key",
-        F.when(F.col("cells").isNull(), itself).otherwise(F.concat(itself, "cells")).alias("cells"),
-    )
-    totals = model.labels.orderBy("label_id").limit(MAX_BANK + 1).collect()
-    if len(totals) > MAX_BANK:
-        raise ValueError(f"a label bank holds at most {MAX_BANK} classes")
-    return Scorer(stage(by_word, "scorer"), [float(r["n_words"] + model.vocab_size) for r in totals], mode)
+    per_word = model.cells.groupBy("key").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    cells = F.coalesce("cells", F.array().cast("array<struct<label_id: int, gain: double>>"))
+    # One call per vocabulary word, when the model is prepared.
+    by_word = vocab.select("key").join(per_word, "key", "left").select("key", cells.alias("cells"))
+    by_word = stage(by_word.select("key", sparse("cells.label_id", "cells.gain").alias("gains")), "scorer")
+    return Scorer(by_word, [float(r["n_words"] + model.vocab_size) for r in totals], mode, measured_bytes(by_word))
 
 
 def score_classes(docs: DataFrame, scorer: Scorer, id_col: str = "paper_id", words: str = "Abstract") -> DataFrame:
-    """``(id_col, p)``: class probabilities of each word list, in label id order."""
+    """``(id_col, p)``: class probabilities of each word list, in label id order.
+
+    Every word brings one sparse vector, and the vectors of a document are added up.
+    """
     tokens = docs.select(id_col, F.explode(words).alias("key"))
-    found = lookup_join(tokens, scorer.by_word, "key")
-    sums = (
-        found.select(id_col, F.explode("cells").alias("c"))
-        .groupBy(id_col, F.col("c.label_id").alias("label_id"))
-        .agg(F.sum("c.gain").alias("gain"))
-        .groupBy(id_col)
-        .agg(F.map_from_entries(F.collect_list(F.struct("label_id", "gain"))).alias("_sums"))
-    )
-    joined = docs.select(id_col).join(sums, id_col, "left").withColumn(
-        "_sums", F.coalesce("_sums", F.create_map().cast("map<int,double>"))
-    )
-    return joined.select(id_col, _probabilities(F.col("_sums"), scorer.smoothing, scorer.mode).alias("p"))
+    found = lookup_join(tokens, scorer.by_word, "key", size=scorer.size)
+    added = found.groupBy(id_col).agg(Summarizer.metrics("sum").summary(F.col("gains")).alias("_s"))
+    sums = added.select(id_col, vector_to_array("_s.sum").alias("_sums"))
+    joined = docs.select(id_col).join(sums, id_col, "left")
+    sums_or_none = F.coalesce("_sums", F.array_repeat(F.lit(0.0), len(scorer.smoothing) + 1))
+    return joined.select(id_col, sums_or_none.alias("_sums")).select(
+        id_col, _probabilities(F.col("_sums"), scorer.smoothing, scorer.mode).alias("p"))
 
 
 def class_scores(
@@ -116,23 +121,14 @@ def class_scores(
 
 
 def _probabilities(sums: Column, smoothing: list[float], mode: str) -> Column:
-    divisors = F.lit(smoothing)
-    zero = F.lit(0.0)
-
-    def score(divisor: Column, label: Column, known: Column) -> Column:
-        own = F.coalesce(F.try_element_at(sums, label), zero)
-        if mode == "linear":
-            return (own + known) / divisor
-        return own - known * F.log(divisor)
-
-    raw = with_value(
-        F.coalesce(F.try_element_at(sums, F.lit(-1)), zero),
-        lambda known: F.transform(divisors, lambda d, label: score(d, label, known)),
-    )
+    """From the added gains (place 0: known words, then one per class)."""
+    known = F.get(sums, F.lit(0))
+    own = F.slice(sums, 2, len(smoothing))
+    pairs = F.zip_with(own, F.lit(smoothing), lambda gain, divisor: (gain + known) / divisor if mode == "linear" else gain - known * F.log(divisor))
     if mode == "linear":
-        return with_value(raw, normalise)
+        return with_value(pairs, normalise)
     return with_value(
-        raw, lambda scores: with_value(log_sum_exp(scores), lambda z: F.transform(scores, lambda s: F.exp(s - z)))
+        pairs, lambda scores: with_value(log_sum_exp(scores), lambda z: F.transform(scores, lambda s: F.exp(s - z)))
     )
 
 
@@ -185,7 +181,7 @@ def score_sequences(
     score = predict_batch_udf(
         make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
         input_tensor_shapes=[[n_steps, dim]],
-    )
+    ).asNondeterministic()  # the model runs once per row, whatever filters follow
     return df.withColumn("_flat", F.flatten(x)).withColumn(name, score("_flat")).drop("_flat")
 
 
@@ -200,16 +196,19 @@ def prefix_predictions(
     id_col: str = "paper_id",
     words: str = "Abstract",
 ) -> DataFrame:
-    """Predicted class after each of the first words: ``(id_col, n_words, word, key, description)``."""
-    prefixes = df.select(
-        id_col, words,
-        F.explode(F.when(F.size(words) > 0, F.sequence(F.lit(1), F.least(F.lit(view_length), F.size(words))))).alias("n_words"),
-    ).select(
-        id_col, "n_words", F.element_at(words, F.col("n_words")).alias("word"),
-        F.slice(words, F.lit(1), F.col("n_words")).alias(words),
-        F.concat_ws(":", id_col, "n_words").alias("_prefix"),
-    )
-    filled = padded_sequence(prefixes, vectors, dim, n_steps, "_prefix", words)
+    """Predicted class after each known word: ``(id_col, n_words, word, key, description)``.
+
+    Only the first ``view_length`` words count, and of these only those that have
+    a vector; ``n_words`` numbers them from 1. Every word is looked up once, every
+    prefix scored once, and the classes are joined without a shuffle if they are few.
+    """
+    viewed = df.select(id_col, F.posexplode(F.slice(words, 1, min(view_length, n_steps))).alias("_pos", "word"))
+    found = lookup_join(viewed, vectors.select("word", "vector"), "word")
+    known = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_pos", "word", "vector"))).alias("_known"))
+    prefixes = known.select(id_col, "_known", F.explode(F.sequence(F.lit(1), F.size("_known"))).alias("n_words"))
+    steps = F.transform(F.slice("_known", F.lit(1), F.col("n_words")), lambda s: s["vector"])
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), dim), F.lit(n_steps) - F.col("n_words"))
+    filled = prefixes.select(id_col, "n_words", F.get("_known", F.col("n_words") - 1)["word"].alias("word"), F.concat(steps, zeros).alias("x"))
     scored = score_sequences(filled, make_predict_fn, n_steps, dim)
     best = scored.select(id_col, "n_words", "word", argmax(F.col("logits")).alias("id"))
-    return best.join(bank, "id").select(id_col, "n_words", "word", "key", "description")
+    return lookup_join(best, bank, "id").select(id_col, "n_words", "word", "key", "description")

@@ -12,8 +12,6 @@ from doclabel.staging import stage
 
 # Decimals that decide ties.
 TIE_DECIMALS = 9
-# Up to this many rows a top-k is merged from the partitions' own top-k rows.
-SMALL_TOP = 10_000
 
 
 def label_word_counts(
@@ -68,22 +66,17 @@ def _sort_key(container: DataFrame, attribute: str) -> Column:
     return F.col(attribute)
 
 
-def _first_rows(rows: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first ``n`` rows if these are few, else all rows, still to be ranked."""
-    return rows.orderBy(*order).limit(n) if n <= SMALL_TOP else rows
-
-
 def top_n(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
     """The ``n`` highest rows, ``place`` 0 first; ties: lower id first."""
     keyed = container.withColumn("_by", _sort_key(container, attribute)).withColumn("_id", F.col("id"))
-    ranked = with_dense_id(_first_rows(keyed, n, F.desc("_by"), F.asc("_id")), F.desc("_by"), "_id", name="place")
+    ranked = with_dense_id(keyed, F.desc("_by"), "_id", name="place")
     return ranked.filter(F.col("place") < n).select(*container.columns, "place")
 
 
 def bottom_n(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
     """The ``n`` lowest rows, listed from high to low."""
     keyed = container.withColumn("_by", _sort_key(container, attribute)).withColumn("_id", F.col("id"))
-    ranked = with_dense_id(_first_rows(keyed, n, F.asc("_by"), F.desc("_id")), F.asc("_by"), F.desc("_id"), name="_rank")
+    ranked = with_dense_id(keyed, F.asc("_by"), F.desc("_id"), name="_rank")
     ranked = ranked.filter(F.col("_rank") < n)
     last = ranked.agg(F.max("_rank")).scalar()
     return ranked.withColumn("place", last - F.col("_rank")).select(*container.columns, "place")

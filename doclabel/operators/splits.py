@@ -15,7 +15,6 @@ from doclabel.operators.ordering import before, boundaries, with_dense_id
 # Fixed values of the original experiments.
 SHUFFLE_SEED = 73
 TAIL_PERCENT = 10
-TAIL_LIMIT = 1000
 N_STEPS = 50
 
 
@@ -51,9 +50,10 @@ def split_80_10_10(df: DataFrame, id_col: str = "paper_id") -> DataFrame:
     )
 
 
-def split_tail(df: DataFrame, order: list[Column], limit: int = TAIL_LIMIT) -> DataFrame:
-    """The last min(10 % of n, ``limit``) rows are ``test``; with fewer than 10 rows none."""
-    return _split(df, order, ["train", "test"], lambda n: [n - min(n * TAIL_PERCENT // 100, limit)])
+def split_tail(df: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+    """The last 10 % of the rows, at most ``limit`` if given, are ``test``; with fewer than 10 rows none."""
+    share = lambda n: n * TAIL_PERCENT // 100
+    return _split(df, order, ["train", "test"], lambda n: [n - (share(n) if limit is None else min(share(n), limit))])
 
 
 def slice_train(df: DataFrame, start: int, stop: int, id_col: str = "paper_id") -> DataFrame:

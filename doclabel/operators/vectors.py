@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import CountVectorizerModel, Word2Vec
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from doclabel.functions.text import whitespace_words
 from doclabel.operators.lookup import lookup_join
-from doclabel.operators.tokens import sample_selected_words, select_in_vocab
+from doclabel.operators.tokens import gather, sample_selected_words, select_in_vocab
 from doclabel.operators.vocab import multi_hot
 from doclabel.staging import stage
 
@@ -20,8 +21,10 @@ from doclabel.staging import stage
 VECTOR_SIZE = 100
 WINDOW = 20
 N_WORDS = 25
-# MLlib's SVD returns its words x dim result to the driver: a bounded table.
-MAX_SVD_WORDS = 20_000
+# MLlib's Word2Vec holds two arrays of vocabulary x dim floats on the driver.
+MAX_WORD2VEC_BYTES = 2 << 30
+PARTITIONS = 8
+OVERSAMPLE, POWER_STEPS = 8, 4
 
 
 def train_word2vec(
@@ -33,41 +36,94 @@ def train_word2vec(
     min_count: int = 5,
     max_iter: int = 1,
     seed: int = 0,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
+    max_sentence: int = 1000,
+    max_bytes: int = MAX_WORD2VEC_BYTES,
+    id_col: str = "paper_id",
 ) -> DataFrame:
-    """Word vectors ``(word, vector)`` of the vocabulary words, trained by MLlib."""
+    """Word vectors ``(word, vector)`` of the vocabulary words, trained by MLlib.
+
+    Texts are reduced to the vocabulary first, so the trainer's arrays on the
+    driver have the vocabulary's size, which is checked against ``max_bytes``.
+    The result depends on ``partitions``, never on the number of cores. Words met
+    fewer than ``min_count`` times get no vector (the trainer's own default), and
+    texts are cut into sentences of ``max_sentence`` words.
+    """
+    needed = 8 * dim * vocab.count()
+    if needed > max_bytes:
+        raise ValueError(f"training holds {needed} bytes on the driver, more than {max_bytes}: reduce the vocabulary or the dimension")
+    tokens = lookup_join(df.select(id_col, F.posexplode(words).alias("pos", "key")), vocab.select("key"), "key")
     model = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter, seed=seed,
-        numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
-        inputCol=words, outputCol="_doc_vector",
-    ).fit(df.select(words))
+        numPartitions=partitions, maxSentenceLength=max_sentence, inputCol=words, outputCol="_doc_vector",
+    ).fit(gather(tokens, "key", id_col, name=words).select(words))
     vectors = model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
     return vectors.join(vocab.select(F.col("key").alias("word")), "word", "left_semi")
 
 
+def _added(cells: DataFrame, keyed: DataFrame, on: str, by: str) -> DataFrame:
+    """Sum of n times the vector of ``on``, per ``by``: ``(by, v)``."""
+    total = lookup_join(cells, keyed, on).groupBy(by).agg(Summarizer.metrics("sum").summary(F.col("v"), F.col("n")).alias("s"))
+    return total.select(by, F.col("s.sum").alias("v"))
+
+
+def _gram(block: DataFrame, width: int) -> np.ndarray:
+    """The small width x width matrix of inner products of a block's columns."""
+    rows = MLUtils.convertVectorColumnsFromML(block.select("v"), "v")
+    return RowMatrix(rows, numCols=width).computeGramianMatrix().toArray()
+
+
+def _times(block: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """Each row's vector times a small matrix."""
+    columns = F.lit([[float(x) for x in column] for column in matrix.T])
+    product = F.transform(columns, lambda c: F.aggregate(F.zip_with("a", c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    return block.select(key, vector_to_array("v").alias("a")).select(key, array_to_vector(product).alias("v"))
+
+
+def _orthonormal(block: DataFrame, key: str, width: int) -> DataFrame:
+    """The block with orthonormal columns, through its small Gram matrix (directions without weight become zero)."""
+    values, basis = np.linalg.eigh(_gram(block, width))
+    strong = values > max(values.max(), 0.0) * 1e-13
+    return _times(block, key, basis * np.where(strong, 1 / np.sqrt(np.where(strong, values, 1.0)), 0.0))
+
+
 def train_svd_vectors(
-    df: DataFrame, vocab: DataFrame, dim: int, id_col: str = "paper_id", words: str = "Abstract"
+    df: DataFrame,
+    vocab: DataFrame,
+    dim: int,
+    id_col: str = "paper_id",
+    words: str = "Abstract",
+    oversample: int = OVERSAMPLE,
+    power_steps: int = POWER_STEPS,
+    seed: int = 0,
 ) -> DataFrame:
-    """Word vectors from the first ``dim`` left singular vectors of the word x text counts.
+    """Word vectors ``(word, vector)``: the first ``dim`` left singular vectors of the word x text counts.
 
-    The texts are the rows of a distributed sparse matrix, whose right singular
-    vectors are the wanted ones. Reduce the vocabulary first: the number of its
-    words is bounded. The largest entry of each singular vector is positive.
+    Randomised subspace iteration: the counts meet a random block keyed by text,
+    and the block is multiplied to and fro, with its columns made orthonormal by
+    the small matrix of their inner products, the only thing the driver sees.
+    Vocabulary, texts and result stay distributed. The vectors are those of the
+    ``dim`` largest singular values, the largest entry of each positive.
     """
-    spark = df.sparkSession
-    names = [r["key"] for r in vocab.select("key", "id").orderBy("id").limit(MAX_SVD_WORDS + 1).collect()]
-    if len(names) > MAX_SVD_WORDS:
-        raise ValueError(f"reduce the vocabulary to at most {MAX_SVD_WORDS} words before the SVD")
+    width = dim + oversample
     selected = select_in_vocab(df.select(id_col, words), vocab, id_col, words)
-    counter = CountVectorizerModel.from_vocabulary(names, inputCol=words, outputCol="counts")
-    # Every iteration of the solver reads the rows again, so they are stored once.
-    counts = stage(counter.transform(selected).select("counts"), "counts").persist(StorageLevel.MEMORY_AND_DISK)
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(counts, "counts"), numCols=len(names))
-    basis = matrix.computeSVD(dim, computeU=False).V.toArray()
-    counts.unpersist()
-    basis = basis * [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in basis.T]
-    found = [(name, [float(x) for x in row]) for name, row in zip(names, basis)]
-    return spark.createDataFrame(found, "word string, vector array<float>")
+    cells = selected.select(id_col, F.explode(words).alias("word")).groupBy(id_col, "word").agg(F.count("*").cast("double").alias("n"))
+    cells = stage(cells, "counts")
+    draws = F.array(*[F.xxhash64(F.col(id_col), F.lit(j), F.lit(seed)) / F.lit(float(1 << 63)) for j in range(width)])
+    drawn = cells.select(id_col).distinct().select(id_col, array_to_vector(draws).alias("v"))
+    block = stage(_added(cells, drawn, id_col, "word"), "block")
+    for _ in range(power_steps):
+        texts = stage(_added(cells, _orthonormal(block, "word", width), "word", id_col), "block")
+        block = stage(_added(cells, _orthonormal(texts, id_col, width), id_col, "word"), "block")
+    basis = stage(_orthonormal(block, "word", width), "basis")
+    # In the subspace the problem is small: singular vectors of basis' counts from their Gram matrix.
+    _, turned = np.linalg.eigh(_gram(stage(_added(cells, basis, "word", id_col), "block"), width))
+    found = stage(_times(basis, "word", turned[:, ::-1][:, :dim]), "vectors").select("word", vector_to_array("v").alias("a"))
+    peaks = found.agg(*[F.max_by(F.get("a", F.lit(j)), F.struct(F.abs(F.get("a", F.lit(j))), "word")).alias(f"p{j}") for j in range(dim)]).first()
+    signs = F.lit([1.0 if (peaks[f"p{j}"] or 0.0) >= 0 else -1.0 for j in range(dim)])
+    vectors = found.select("word", F.zip_with("a", signs, lambda x, s: (x * s).cast("float")).alias("vector"))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return vocab.select(F.col("key").alias("word")).join(vectors, "word", "left").select("word", F.coalesce("vector", zeros).alias("vector"))
 
 
 def vector_lookup(words: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -47,8 +47,4 @@ def sequence_experiment(
     """Top-k accuracy of a given sequence model per split."""
     samples = rnn_training_set(at_depth(processed, depth), vectors, bank, dim, n_steps, id_col=id_col)
     scored = score_sequences(samples, make_predict_fn, n_steps, dim)
-    train = top_k_accuracy(scored.filter(F.col("split") == "train"), k, "logits", "y")
-    test = top_k_accuracy(scored.filter(F.col("split") == "test"), k, "logits", "y")
-    return train.select(F.lit("train").alias("split"), "accuracy").unionByName(
-        test.select(F.lit("test").alias("split"), "accuracy")
-    )
+    return top_k_accuracy(scored, k, "logits", "y", by=["split"])

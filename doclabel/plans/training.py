@@ -49,17 +49,19 @@ def rnn_training_set(
     n_steps: int = splits.N_STEPS,
     selection: list[str] | None = None,
     id_col: str = "paper_id",
+    test_limit: int | None = None,
 ) -> DataFrame:
     """Sequence samples ``(id_col, x, length, effective_length, y, split)``.
 
     Papers whose first code is in the bank (restricted to ``selection``) are
-    shuffled with a fixed seed and the tail of that order is the test set.
+    shuffled with a fixed seed and the tail of that order, 10 % or at most
+    ``test_limit`` rows, is the test set.
     """
     papers = processed
     if selection is not None:
         papers, bank = labels.select_labels(papers, bank, selection)
     papers = labels.label_index(labels.primary_label(papers, bank), bank)
-    papers = splits.split_tail(papers, splits.shuffle_order(id_col))
+    papers = splits.split_tail(papers, splits.shuffle_order(id_col), test_limit)
     papers = splits.with_sequence_length(papers.select(id_col, "Abstract", "y", "split"))
     filled = splits.padded_sequence(papers, vectors, dim, n_steps, id_col)
     return filled.select(id_col, "x", "length", "effective_length", "y", "split")

@@ -11,24 +11,34 @@ from doclabel.operators.models import Scorer, score_classes
 from doclabel.operators.thresholds import DEFAULT_THRESHOLD, predict_thresholds
 from doclabel.operators.tokens import select_in_vocab
 
-# How late a copy of a record may arrive; it bounds the ids kept in state.
-LATENESS = "30 days"
+# Fixed value: Spark's state store that keeps keys on disk (and in the checkpoint), not on the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def deduplicated(stream: DataFrame, id_col: str = "paper_id", ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
-    """One row per paper although the pages overlap."""
-    return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([id_col])
+def deduplicated(stream: DataFrame, id_col: str = "paper_id") -> DataFrame:
+    """One row per paper, the first to arrive, although the pages overlap.
 
+    There is no watermark: a page may be of any age and arrive in any order, and
+    a copy may follow after any time. State holds one key per paper.
+    """
+    return stream.dropDuplicates([id_col])
 
-def stream_ingest(
-    stream: DataFrame, out: str, checkpoint: str, id_col: str = "paper_id", ts: str = "ts", lateness: str = LATENESS
-) -> StreamingQuery:
-    """Append each paper once to a parquet table; takes all files landed so far, then stops."""
-    return (
-        deduplicated(stream, id_col, ts, lateness)
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+
+def stream_ingest(stream: DataFrame, out: str, checkpoint: str, id_col: str = "paper_id") -> StreamingQuery:
+    """Append each paper once to a parquet table; takes all files landed so far, then stops.
+
+    The first start of a checkpoint chooses the state store; later ones go on with it.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.streaming.stateStore.providerClass")
+    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        return (
+            deduplicated(stream, id_col).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def label_papers(

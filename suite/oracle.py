@@ -153,16 +153,17 @@ TABLES = {
     "uni_cells_train": """SELECT c.label_id, t.id AS word_id, t.key, count(*) AS n FROM ptok t JOIN pcodes c USING (paper_id)
       JOIN split8020 s USING (paper_id) WHERE s.split = 'train' GROUP BY ALL""",
     # scores
-    "score_cells": """SELECT vec_id, label, c, exp(5 * x) / sum(exp(5 * x)) OVER (PARTITION BY vec_id) AS p,
+    "score_cells": """SELECT vec_id, label, c, x / sum(x) OVER (PARTITION BY vec_id) AS p,
       CASE WHEN c = label OR (vec_id % 4 = 0 AND c = (label + 3) % 10) THEN 1 ELSE 0 END AS y
-      FROM (SELECT vec_id, label, unnest(range(10)) AS c, unnest(embedding[1:10])::DOUBLE AS x FROM embeddings)""",
+      FROM (SELECT vec_id, any_value(label) AS label, i % 10 AS c, sum(exp(5 * x)) AS x FROM (
+        SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id, i % 10)""",
     "score_best": "SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, c) AS place FROM score_cells",
     "word_vectors": """SELECT key AS word, list_transform(range(8), lambda k: (((id * 31 + k * 17) % 101) / 101.0)::FLOAT) AS vector
       FROM vocab WHERE id % 5 <> 0""",
     "vec_keys": "SELECT word AS key, 0 AS id FROM word_vectors",
     "vec_selected": selection_sql("raw_tok", "vec_keys"),
     "shuffled": "SELECT doc_id AS paper_id, row_number() OVER (ORDER BY md5(doc_id || ':73'), doc_id) - 1 AS position FROM documents",
-    "samples": """SELECT paper_id, y, CASE WHEN rk < n - least(n * 10 // 100, 1000) THEN 'train' ELSE 'test' END AS split FROM (
+    "samples": """SELECT paper_id, y, CASE WHEN rk < n - n * 10 // 100 THEN 'train' ELSE 'test' END AS split FROM (
       SELECT c.paper_id, b.id AS y, row_number() OVER (ORDER BY md5(c.paper_id || ':73'), c.paper_id) - 1 AS rk, count(*) OVER () AS n
       FROM (SELECT paper_id, arg_min(code, pos) AS code FROM codes GROUP BY paper_id) c JOIN bank b ON b.key = c.code)""",
     "bench_keys": f"""SELECT word AS key, row_number() OVER (ORDER BY min(item_id * 10000000 + pos)) - 1 AS place

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -640,7 +641,7 @@ def _(spark, d):
 
 @query("split_tail", f"SELECT paper_id, lang, CASE WHEN rk < n - least(n * 10 // 100, 1000) THEN 'train' ELSE 'test' END AS split FROM {RANKED_DOCS}")
 def _(spark, d):
-    return splits.split_tail(documents(spark, d), [F.col("paper_id")])
+    return splits.split_tail(documents(spark, d), [F.col("paper_id")], limit=1000)
 
 
 @query(
@@ -765,18 +766,44 @@ def _(spark, d):
 # --- vectors ---------------------------------------------------------------------------------
 
 
-@query("train_word2vec")
+@query(
+    "train_word2vec",
+    """SELECT v.key AS word, 16 AS dim FROM full_vocab v JOIN (SELECT id, count(*) AS n FROM ptok GROUP BY id) t USING (id) WHERE n >= 5""",
+)
 def _(spark, d):
+    # The stored texts hold vocabulary words only; every one met five times gets a vector.
     trained = vectors.train_word2vec(fx.corpus(spark, d).papers, fx.corpus(spark, d).vocab, dim=16)
     return trained.select("word", F.size("vector").alias("dim"))
 
 
-@query("train_svd_vectors")
+SVD_DIM = 4
+
+
+@query(
+    "train_svd_vectors",
+    f"""SELECT v.key AS word, {SVD_DIM} AS dim, true AS orthonormal, true AS dominant FROM vocab v""",
+)
 def _(spark, d):
-    corpus = fx.corpus(spark, d)
-    reduced = scores.reduce_vocab(corpus.vocab, tfidf(spark, d), 2000)
-    trained = vectors.train_svd_vectors(fx.words(spark, d), reduced, 4)
-    return trained.select("word", F.size("vector").alias("dim"))
+    """Every word of the vocabulary with its vector; orthonormal columns, and a residual that says they span the first singular vectors."""
+    corpus, vocab = fx.words(spark, d), fx.vocab(spark, d)
+    trained = stage(vectors.train_svd_vectors(corpus, vocab, SVD_DIM), "svd")
+    parts = [F.sum(F.get("vector", F.lit(i)).cast("double") * F.get("vector", F.lit(j))).alias(f"g{i}{j}") for i in range(SVD_DIM) for j in range(SVD_DIM)]
+    gram = trained.agg(*parts).first()
+    orthonormal = all(abs(gram[f"g{i}{j}"] - (i == j)) < 1e-4 for i in range(SVD_DIM) for j in range(SVD_DIM))
+    return trained.select("word", F.size("vector").alias("dim"), F.lit(orthonormal).alias("orthonormal"), F.lit(svd_residual(corpus, vocab, trained) < 1e-2).alias("dominant"))
+
+
+def svd_residual(corpus, vocab, trained) -> float:
+    """How far counts x counts' leaves the span of the vectors: |A A' u - s s u| / s s, the largest of all columns."""
+    selected = tokens.select_in_vocab(corpus.select("paper_id", "Abstract"), vocab)
+    cells = stage(selected.select("paper_id", F.explode("Abstract").alias("word")).groupBy("paper_id", "word").agg(F.count("*").alias("n")), "cells")
+    long = trained.select("word", F.posexplode("vector").alias("j", "x"))
+    texts = cells.join(long, "word").groupBy("paper_id", "j").agg(F.sum(F.col("n") * F.col("x")).alias("y"))
+    back = stage(cells.join(texts, "paper_id").groupBy("word", "j").agg(F.sum(F.col("n") * F.col("y")).alias("z")), "back")
+    both = long.join(back, ["word", "j"], "left").select("j", "x", F.coalesce("z", F.lit(0.0)).alias("z"))
+    value = both.groupBy("j").agg(F.sum(F.col("x") * F.col("z")).alias("s"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    # |z - s u|^2 = z z - s^2 for a unit vector u.
+    return value.agg(F.max(F.sqrt(F.greatest(F.col("zz") - F.col("s") * F.col("s"), F.lit(0.0))) / F.col("s"))).first()[0]
 
 
 @query(
@@ -839,20 +866,30 @@ def _(spark, d):
 
 def trained_mlp(spark, d):
     emb = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.col("label").alias("y"))
-    return emb, models.train_mlp(emb, [16], 64, 10, max_iter=20)
+    return emb, models.train_mlp(emb.filter("vec_id % 5 <> 0"), [16], 64, 10, max_iter=30)
 
 
-@query("train_mlp")
+@query("train_mlp", "SELECT count(*) AS held_out, true AS better FROM embeddings WHERE vec_id % 5 = 0")
 def _(spark, d):
+    """Held-out rows, and whether the network names their class more often than the most frequent class would."""
     emb, model = trained_mlp(spark, d)
-    scored = models.predict_mlp(emb, model)
-    return metrics.top_k_accuracy(scored.withColumn("label", F.col("y").cast("int")), 1)
+    held_out = emb.filter("vec_id % 5 = 0")
+    majority = emb.filter("vec_id % 5 <> 0").groupBy("y").count().orderBy(F.desc("count"), "y").first()["y"]
+    scored = models.predict_mlp(held_out, model).withColumn("label", F.col("y").cast("int"))
+    accuracy = metrics.top_k_accuracy(scored, 1).first()["accuracy"]
+    return held_out.agg(F.count("*").alias("held_out"), F.avg((F.col("y") == majority).cast("double")).alias("base")).select(
+        "held_out", (F.lit(accuracy) > F.col("base")).alias("better"))
 
 
-@query("predict_mlp")
+@query("predict_mlp", "SELECT vec_id, 10 AS classes, 1.0 AS total, true AS best_is_predicted FROM embeddings")
 def _(spark, d):
+    """Class probabilities, and whether the largest belongs to the class that the model itself predicts."""
     emb, model = trained_mlp(spark, d)
-    return models.predict_mlp(emb, model).select("vec_id", rounded(arrays.array_sum(F.col("p")), "total", 4))
+    own = model.transform(emb.select("vec_id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))).select("vec_id", "prediction")
+    scored = models.predict_mlp(emb, model).join(own, "vec_id")
+    return scored.select(
+        "vec_id", F.size("p").alias("classes"), rounded(arrays.array_sum(F.col("p")), "total", 4),
+        (F.get("p", F.col("prediction").cast("int")) == F.array_max("p")).alias("best_is_predicted"))
 
 
 def filled_sequences(spark, d):
@@ -873,12 +910,14 @@ def _(spark, d):
 
 @query(
     "prefix_predictions",
-    f"""SELECT t.paper_id, (t.pos + 1)::INTEGER AS n_words, t.word, b.key, b.description FROM tok t
-        LEFT JOIN (SELECT paper_id, n_words, arg_min(c, rk) AS c FROM (
+    f"""SELECT * FROM (WITH known AS (SELECT t.paper_id, t.word, v.vector, row_number() OVER (PARTITION BY t.paper_id ORDER BY t.pos) AS n_words
+          FROM tok t JOIN word_vectors v ON v.word = t.word WHERE t.pos < 15),
+        best AS (SELECT paper_id, n_words, arg_min(c, rk) AS c FROM (
             SELECT *, row_number() OVER (PARTITION BY paper_id, n_words ORDER BY round(z, 9) DESC, c) AS rk FROM (
-              {logits_sql('SELECT t.paper_id, n.n_words, v.vector FROM tok t JOIN (SELECT unnest(range(1, 16)) AS n_words) n ON t.pos < n.n_words JOIN word_vectors v ON v.word = t.word', 'paper_id, n_words')}
-            )) GROUP BY paper_id, n_words) l ON l.paper_id = t.paper_id AND l.n_words = t.pos + 1
-        JOIN bank b ON b.id = coalesce(l.c, 0) WHERE t.pos < 15""",
+              {logits_sql('SELECT k.paper_id, n.n_words, k.vector FROM known k JOIN known n ON n.paper_id = k.paper_id AND k.n_words <= n.n_words', 'paper_id, n_words')}
+            )) GROUP BY paper_id, n_words)
+        SELECT k.paper_id, k.n_words::INTEGER AS n_words, k.word, b.key, b.description
+        FROM known k JOIN best USING (paper_id, n_words) JOIN bank b ON b.id = best.c)""",
 )
 def _(spark, d):
     return models.prefix_predictions(
@@ -1059,15 +1098,15 @@ def _(spark, d):
 
 
 def landed_pages(spark, d) -> str:
-    """Papers as ten files; neighbouring files overlap by a tenth."""
+    """Papers as ten files in shuffled order: neighbouring pages overlap by a tenth, dates span some years, old pages land late."""
     path = scratch_path(spark, "landed")
-    papers = fx.papers(spark, d).withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(paper_id AS int), 0)"))
+    papers = fx.papers(spark, d).withColumn("ts", F.expr("timestamp'2010-01-01 00:00:00' + make_interval(0, 0, 0, cast((paper_id * 37) % 5000 AS int), 0, 0, 0)"))
     total = papers.count()
     size = max(1, (total + 9) // 10)
     page = F.floor(F.col("paper_id") / size)
     again = F.when((F.col("paper_id") % size < size // 10) & (page > 0), F.array(page, page - 1)).otherwise(F.array(page))
-    pages = papers.withColumn("page", F.explode(again)).repartitionByRange(10, "page").drop("page")
-    pages.write.parquet(path)
+    pages = papers.withColumn("page", F.explode(again)).withColumn("page", F.pmod(F.col("page") * 7 + 3, F.lit(10)))
+    pages.repartitionByRange(10, "page").drop("page").write.parquet(path)
     return path
 
 

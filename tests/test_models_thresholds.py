@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from doclabel.functions import arrays
 from doclabel.operators import metrics, models, thresholds
+from suite.queries import QUERIES
 
 WORDS = ["a", "b", "c", "d"]
 PAPERS = [(1, ["a", "a", "b"], ["X"]), (2, ["b", "c", "zz"], ["X", "Y"]), (3, ["c", "c", "d"], ["Y", "unknown"])]
@@ -79,6 +80,16 @@ def test_prefix_predictions(spark):
     papers = spark.createDataFrame([(1, ["a", "b", "q"]), (2, [])], "paper_id bigint, Abstract array<string>")
     got = models.prefix_predictions(papers, known, bank, lambda: lambda x: x.sum(axis=1), 2, n_steps=4, view_length=2)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, "a", "X", "first"), (1, 2, "b", "Y", "second")]
+    # Words without a vector give no row; the number counts known words.
+    papers = spark.createDataFrame([(1, ["q", "b", "q", "a", "b"]), (2, ["q"])], "paper_id bigint, Abstract array<string>")
+    got = models.prefix_predictions(papers, known, bank, lambda: lambda x: x.sum(axis=1), 2, n_steps=4, view_length=4)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, "b", "Y", "second"), (1, 2, "a", "Y", "second")]
+
+
+def test_prefixes_are_scored_once_and_classes_joined_in_place(spark, sf_dir):
+    plan = QUERIES["prefix_predictions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert not any("Exchange hashpartitioning(id#" in line for line in plan.splitlines())
 
 
 def test_activations(spark):

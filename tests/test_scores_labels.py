@@ -74,9 +74,7 @@ def test_information_gain_of_texts_skips_the_last_word(spark, data):
     assert [r["gain"] for r in by_text] == pytest.approx([r["gain"] for r in by_list])
 
 
-@pytest.mark.parametrize("small_top", [10_000, 0])
-def test_top_and_bottom(spark, monkeypatch, small_top):
-    monkeypatch.setattr(scores, "SMALL_TOP", small_top)
+def test_top_and_bottom(spark):
     rows = [(f"k{i}", i, tag, 0.0, v) for i, (tag, v) in enumerate([("NN", 3.0), ("NNP", 1.0), ("NN", 3.0), ("NN", 2.0), ("NNP", 5.0)])]
     c = spark.createDataFrame(rows, "key string, id bigint, tag string, idf double, tfidf double")
 
@@ -195,7 +193,9 @@ def test_svd_vectors_are_orthonormal_and_span_the_counts(spark):
 
 
 def test_word2vec_keeps_vocabulary_words(spark):
-    papers = spark.createDataFrame([(["a", "b", "c"] * 5,)] * 10, "Abstract array<string>")
+    papers = spark.createDataFrame([(i, ["a", "b", "c"] * 5) for i in range(10)], "paper_id bigint, Abstract array<string>")
     vocab = spark.createDataFrame([("a",), ("c",)], "key string")
     trained = vectors.train_word2vec(papers, vocab, dim=7, partitions=1).collect()
     assert {r["word"] for r in trained} == {"a", "c"} and all(len(r["vector"]) == 7 for r in trained)
+    with pytest.raises(ValueError, match="reduce the vocabulary"):
+        vectors.train_word2vec(papers, vocab, dim=7, max_bytes=100)

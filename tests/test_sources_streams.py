@@ -121,9 +121,23 @@ def test_stream_ingest_keeps_each_paper_once(spark, tmp_path):
     assert sorted(r["paper_id"] for r in got.collect()) == list(range(23))
 
 
+def test_late_pages_and_late_copies(spark, tmp_path):
+    """An old page comes three batches late, a copy a year later; every id is kept once."""
+    landed, day = str(tmp_path / "landed"), lambda ids, start: [(i, f"text {i}", start + k) for k, i in enumerate(ids)]
+    pages = [day(range(0, 5), 200), day(range(3, 8), 300), day(range(8, 10), 500), day(range(10, 15), 0), day([0, 14], 900)]
+    for page in pages:
+        df = spark.createDataFrame(page, "paper_id bigint, Abstract string, day int").withColumn("ts", F.timestamp_seconds(F.col("day") * 86_400))
+        df.coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["paper_id"] for r in got) == list(range(15))
+    assert {r["day"] for r in got if r["paper_id"] in (0, 14)} == {200, 4}
+
+
 def test_stream_of_xml_pages(spark, pages, tmp_path):
-    stream = harvest.stream_oai_records(spark, pages, maxFilesPerTrigger="2").withColumn("ts", F.to_timestamp("Date"))
-    jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), "arXiv_id", lateness="3000 days").awaitTermination()
+    stream = harvest.stream_oai_records(spark, pages, maxFilesPerTrigger="2")
+    jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), "arXiv_id").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
 
 
