@@ -9,26 +9,25 @@ from pyspark.sql import types as T
 from doclabel.functions.codes import codes_at_depth, split_codes
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.vocab import keep_keys
+from doclabel.staging import stage
 
 # Fixed value: fewest selected words of a usable text.
 MIN_WORDS = 10
-# Bound on the number of classes, which are handled as literals.
-MAX_BANK = 20_000
+# Banks up to this number of classes are compared as literals (one hash set); larger ones are joined.
+LITERAL_BANK = 20_000
 
 
 def bank_keys(bank: DataFrame) -> list[str]:
-    """Keys of a label bank in id order; a bank is a bounded table of classes."""
-    rows = bank.select("id", "key").orderBy("id").limit(MAX_BANK + 1).collect()
-    if len(rows) > MAX_BANK:
-        raise ValueError(f"a label bank holds at most {MAX_BANK} classes")
-    return [row["key"] for row in rows]
+    """Keys of a label bank in id order: one string per class."""
+    return [row["key"] for row in bank.select("id", "key").orderBy("id").collect()]
 
 
-def code_length(keys: list[str]) -> int:
-    lengths = {len(key) for key in keys}
+def code_length(bank: DataFrame) -> int:
+    """The common length of a bank's codes; at most two lengths visit the driver."""
+    lengths = bank.select(F.char_length("key").alias("n")).distinct().limit(2).collect()
     if len(lengths) != 1:
         raise ValueError("the codes of a bank must have one common length")
-    return lengths.pop()
+    return lengths[0]["n"]
 
 
 def as_code_list(df: DataFrame, codes: str = "MSCs") -> DataFrame:
@@ -39,9 +38,18 @@ def as_code_list(df: DataFrame, codes: str = "MSCs") -> DataFrame:
 
 
 def valid_codes(df: DataFrame, bank: DataFrame, codes: str = "MSCs") -> DataFrame:
-    """Keep the codes that are in the bank, in order."""
-    known = bank_keys(bank)
-    return df.withColumn(codes, F.filter(codes, lambda code: code.isin(known)))
+    """Keep the codes that are in the bank, in order; a bank of any size will do."""
+    if bank.count() <= LITERAL_BANK:
+        known = bank_keys(bank)
+        return df.withColumn(codes, F.filter(codes, lambda code: code.isin(known)))
+    numbered = stage(df.withColumn("_row", F.monotonically_increasing_id()), "coded")
+    items = numbered.select("_row", F.posexplode(codes).alias("_pos", "key"))
+    found = lookup_join(items, bank.select("key").distinct(), "key")
+    kept = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "key"))), lambda x: x["key"])
+    lists = found.groupBy("_row").agg(kept.alias("_codes"))
+    empty = F.when(F.col(codes).isNotNull(), F.array().cast("array<string>"))
+    joined = numbered.join(lists, "_row", "left")
+    return joined.withColumn(codes, F.coalesce("_codes", empty)).select(df.columns)
 
 
 def clean_codes(df: DataFrame, bank: DataFrame, depth: int, codes: str = "MSCs") -> DataFrame:
@@ -52,7 +60,7 @@ def clean_codes(df: DataFrame, bank: DataFrame, depth: int, codes: str = "MSCs")
 
 def explode_labels(df: DataFrame, bank: DataFrame, codes: str = "MSCs") -> DataFrame:
     """One row per paper and distinct valid code; the bank decides the code length."""
-    cleaned = clean_codes(df, bank, code_length(bank_keys(bank)), codes)
+    cleaned = clean_codes(df, bank, code_length(bank), codes)
     return cleaned.withColumn(codes, F.explode(codes))
 
 
@@ -78,8 +86,8 @@ def drop_unusable(df: DataFrame, codes: str = "MSCs", words: str = "Abstract", m
 
 def primary_label(df: DataFrame, bank: DataFrame, codes: str = "MSCs", name: str = "code") -> DataFrame:
     """Add the first code; keep papers whose first code is in the bank."""
-    first = F.get(codes, F.lit(0))
-    return df.filter(first.isin(bank_keys(bank))).withColumn(name, first)
+    own = df.withColumn(name, F.get(codes, F.lit(0)))
+    return lookup_join(own, bank.select(F.col("key").alias(name)), name).select(*df.columns, name)
 
 
 def label_index(df: DataFrame, bank: DataFrame, code: str = "code", name: str = "y") -> DataFrame:

@@ -88,13 +88,15 @@ def harvest_range(records: DataFrame, start: str | None = None, end: str | None
 
 
 def harvest_union(pages: DataFrame, id_col: str = "arXiv_id", latest: str | None = None) -> DataFrame:
-    """One row per paper over (cumulative) pages; with ``latest`` the row with the highest value.
+    """One row per paper over (cumulative) pages; with ``latest`` a row with the highest value.
 
-    Copies of a paper are identical without ``latest``, so any one is kept by a
-    hash aggregate with map-side combine; a row with many copies is no hot spot.
+    Copies of a paper are identical without ``latest``, so any one is kept. With
+    it, the highest value per paper is found on two narrow columns, and whole
+    records of that value alone go on. Copies are combined before the shuffle, so a
+    paper with many of them is no hot spot.
     """
-    others = [c for c in pages.columns if c != id_col]
-    if latest is None:
-        return pages.dropDuplicates([id_col]).select(*pages.columns)
-    best = pages.groupBy(id_col).agg(F.max(F.struct(latest, *[c for c in others if c != latest])).alias("_best"))
-    return best.select(id_col, "_best.*").select(*pages.columns)
+    if latest is not None:
+        best = pages.groupBy(id_col).agg(F.max(latest).alias("_best"))
+        kept = pages.join(best, id_col, "left")
+        pages = kept.filter(F.col(latest).eqNullSafe(F.col("_best"))).select(*pages.columns)
+    return pages.dropDuplicates([id_col]).select(*pages.columns)

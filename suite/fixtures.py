@@ -179,3 +179,22 @@ def harvest_pages(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "pages")
     write_oai_pages(spread(with_authors(spark, sf_dir)), path)
     return path
+
+
+@stored
+def cumulative_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Three saved pages, each with all records of the page before it: a third, two thirds, all of the documents.
+
+    From the second page on, records carry a later date and a new title where the
+    document number is even, as revised papers do.
+    """
+    path = scratch_path(spark, "cumulative")
+    pages = spread(with_authors(spark, sf_dir)).withColumn("n", F.substring("arXiv_id", 6, 7).cast("int"))
+    for page in (1, 2, 3):
+        revised = (F.col("n") % 2 == 0) & F.lit(page > 1)
+        rows = pages.filter(F.col("n") % 3 < page).withColumns({
+            "Title": F.when(revised, F.concat("Title", F.lit(" (revised)"))).otherwise(F.col("Title")),
+            "Date": F.when(revised, F.date_add(F.col("Date").cast("date"), 400).cast("string")).otherwise(F.col("Date")),
+        })
+        write_oai_pages(rows.drop("n").coalesce(4), f"{path}/page{page}")
+    return f"{path}/page*"

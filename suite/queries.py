@@ -90,12 +90,22 @@ def _(spark, d):
     return harvest.harvest_range(records, "2010-06-01", "2012-03-31")
 
 
-@query("harvest_union", f"SELECT {RECORD_COLUMNS} FROM records")
+REVISED_SQL = """SELECT "arXiv_id", CASE WHEN n % 2 = 0 THEN "Title" || ' (revised)' ELSE "Title" END AS "Title", "Authors",
+  CASE WHEN n % 2 = 0 THEN ("Date"::DATE + 400)::DATE::VARCHAR ELSE "Date" END AS "Date", "MSCs", "Abstract"
+  FROM (SELECT *, substr("arXiv_id", 6)::INTEGER AS n FROM records)"""
+
+
+@query("harvest_union", 'SELECT "arXiv_id", "Authors", "MSCs", "Abstract" FROM records')
+def _(spark, d):
+    # What no page revises is the same in all copies of a record, on one, two or three pages.
+    pages = harvest.read_oai_records(spark, fx.cumulative_pages(spark, d))
+    return harvest.harvest_union(pages.drop("Title", "Date"))
+
+
+@query("harvest_union_latest", f"SELECT {RECORD_COLUMNS} FROM ({REVISED_SQL})")
 def _(spark, d):
-    # Saved pages are cumulative: every later one repeats the records before it.
-    page = harvest.read_oai_records(spark, fx.harvest_pages(spark, d))
-    pages = page.unionByName(page).unionByName(page)
-    return harvest.harvest_union(pages)
+    # Every later page repeats the records before it, some of them revised: the latest date wins.
+    return harvest.harvest_union(harvest.read_oai_records(spark, fx.cumulative_pages(spark, d)), latest="Date")
 
 
 def stored_papers(spark, d) -> str:

@@ -65,6 +65,20 @@ def test_class_scores(spark, unigram, mode):
         assert got[number] == pytest.approx(list(raw / raw.sum()))
 
 
+def test_thousands_of_classes(spark):
+    """Scores of 6,000 classes from sparse gains, against plain arithmetic."""
+    k = 6000
+    bank = spark.createDataFrame([(f"c{i}", i, "") for i in range(k)], "key string, id int, description string")
+    papers = spark.createDataFrame([(["a", "b"], ["c5"]), (["b", "b", "c"], ["c5999"]), (["c"], ["c0"])], "Abstract array<string>, MSCs array<string>")
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate("abc")], "key string, id bigint")
+    scorer = models.prepare_scorer(models.train_unigram(papers, vocab, bank), vocab)
+    row = models.score_classes(spark.createDataFrame([(1, ["b", "c", "c"])], "paper_id bigint, Abstract array<string>"), scorer).first()
+    n = np.zeros((k, 3))
+    n[5], n[5999], n[0] = [1, 1, 0], [0, 2, 1], [0, 0, 1]
+    raw = ((n + 1) / (n.sum(1, keepdims=True) + 3)) @ [0, 1, 2]
+    assert row["p"] == pytest.approx(list(raw / raw.sum()))
+
+
 def test_mlp_beats_majority(spark):
     rng = np.random.default_rng(0)
     rows = [([float(x) for x in rng.normal(3 * (i % 2), 0.5, 3)], i % 2) for i in range(80)]

@@ -100,6 +100,15 @@ def test_label_expansion(spark):
     assert sorted(got) == [("input_1", "a"), ("input_1", "b"), ("input_2", "c")]
 
 
+def test_large_banks_are_joined(spark, bank, monkeypatch):
+    papers = spark.createDataFrame([(1, "14|05|99|14"), (2, ""), (3, "05"), (4, None)], "paper_id bigint, MSCs string")
+    by_literal = sorted(labels.clean_codes(papers, bank, 2).collect())
+    monkeypatch.setattr(labels, "LITERAL_BANK", 0)
+    assert sorted(labels.clean_codes(papers, bank, 2).collect()) == by_literal
+    with pytest.raises(ValueError, match="common length"):
+        labels.code_length(bank.union(spark.createDataFrame([("141", 3, "")], bank.schema)))
+
+
 def test_codes(spark, bank):
     papers = spark.createDataFrame([(1, "14B13|05C15|14A10|99X99"), (2, ""), (3, "05A05")], "paper_id bigint, MSCs string")
     cleaned = {r["paper_id"]: r["MSCs"] for r in CodeCleaner(bank, 2).transform(papers).collect()}
