@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import doclabel
 from doclabel.functions.arrays import normalise
 from doclabel.functions.text import clean_words
 from doclabel.operators.ordering import with_dense_id
 from doclabel.operators.vocab import build_vocab
 from doclabel.plans.corpus import process_corpus, tag_by
 from doclabel.sources.harvest import write_oai_pages
+from doclabel.session import ship_package
 from doclabel.sources.label_bank import default_bank
 from doclabel.staging import scratch_path, spread, stage
 
@@ -131,6 +134,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic word vectors for most vocabulary words."""
+    for folder in (Path(doclabel.__file__).parent, Path(__file__).parent):  # the model below runs in Python workers
+        ship_package(spark, folder.resolve())
     entry = lambda k: ((F.col("id") * 31 + k * 17) % 101 / F.lit(101.0)).cast("float")
     vectors = vocab(spark, sf_dir).filter(F.col("id") % 5 != 0)
     return stage(
