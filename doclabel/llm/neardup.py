@@ -23,7 +23,8 @@ from doclabel.staging import stage
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4  # 64 permutations; a pair at 0.75 shares no band with a chance of about 5 in a million
-LEADERS = 4  # further leaders of a bucket in one round
+LEADERS = 4  # further leaders of a bucket in one round,
+MANY_LEADERS, MEDIUM_BUCKET = 32, 1000  # more of them in buckets of this size at most, and all members at once in buckets of up to MANY_LEADERS
 GROUP_BYTES, BLOCK = 1 << 20, 1 << 14
 _INSIDE, _LOW = word_table(b" \t\n\x0b\x0c\r")
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(64)]
@@ -149,49 +150,113 @@ def _rooted(rows: DataFrame, on: str, roots: DataFrame | None) -> DataFrame:
     return rows.join(found, on, "left").withColumn("root", F.coalesce("_root", on)).drop("_root")
 
 
+def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
+    """(shingle, key), one row for each shingle of each text."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), size))
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            shingles = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            for at in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles[at : at + (1 << 18)]), pa.array(keys[at : at + (1 << 18)])], ["shingle", "key"])
+
+    return texts.select("key", "text").mapInArrow(unfold, "shingle bigint, key bigint")
+
+
+def partner_limits(texts: DataFrame, sizes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Limits (key, n, high), and the pairs (a, b) of texts that share a shingle found in at most three of ``texts``.
+
+    A pair outside the second table shares no such rare shingle. If m of n are
+    not rare, a partner of size k then has at most m / (n + k - m), so a partner
+    of more than ``high`` = m / percent - n + m shingles cannot reach the similarity.
+    """
+    found = shingle_rows(texts, size).groupBy("shingle").agg(F.count("*").alias("df"), F.min("key").alias("x"), F.max("key").alias("z"), F.bit_xor("key").alias("all"))
+    middle = F.when(F.col("df") == 3, F.col("all").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("z")))
+    # Texts that share one rare shingle mostly share many: one row per group of texts.
+    rare = stage(found.filter("df <= 3").select("df", "x", "z", middle.alias("y")).groupBy("df", "x", "y", "z").agg(F.count("*").alias("n")), "rare")
+    own = rare.select(F.col("x").alias("key"), "n").unionAll(rare.filter("df > 1").select("z", "n")).unionAll(rare.filter("df = 3").select("y", "n"))
+    shared = F.col("n_shingles") - F.coalesce("r", F.lit(0))
+    high = F.floor(shared * 100 / percent) - F.col("n_shingles") + shared
+    limits = sizes.join(own.groupBy("key").agg(F.sum("n").alias("r")), "key", "left").select("key", F.col("n_shingles").alias("n"), high.cast("bigint").alias("high"))
+    three = rare.filter("df = 3")
+    pairs = rare.filter("df > 1").select(F.col("x").alias("a"), F.col("z").alias("b")).unionAll(three.select("x", "y")).unionAll(three.select("y", "z"))
+    return limits, pairs.distinct()
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    pairs = pairs.distinct()
+    return stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
 def link_classes(reps: DataFrame, texts_of, size: int, percent: int) -> DataFrame | None:
-    """Components (node, root) of class representatives (key, n_shingles, buckets); None without any candidates.
+    """Components (node, root) of class representatives (key, n_shingles, buckets); None without any link.
 
     ``texts_of(keys)`` gives (key, text) of the candidates. Round one compares
     the least member of each bucket with the others. Members that are not in the
-    component of their bucket's least member then become leaders, a few per
-    bucket and round, and are compared with the members of other components, so
-    every pair that shares a bucket is either tested or already connected.
+    component of their bucket's least member then become leaders, some per bucket
+    and round, and are compared with the members of other components. Pairs that
+    their sizes and rare shingles rule out are not compared; every other pair that
+    shares a bucket is tested or already connected in the end.
     """
     rows = stage(reps.select("key", F.explode("buckets").alias("bucket")), "bands")
-    heads = rows.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    open_ = stage(rows.join(heads, "bucket").select("bucket", "key", "head", F.lit(False).alias("led")), "open")
-    if open_.isEmpty():
+    # Bands of near copies often hold the very same members: one such bucket serves for all.
+    heads = (
+        rows.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("m1"), F.bit_xor(F.xxhash64("key", F.lit("m"))).alias("m2"))
+        .filter("n > 1").groupBy("head", "n", "m1", "m2").agg(F.min("bucket").alias("bucket"))
+        .select("bucket", "head", F.when(F.col("n") <= MANY_LEADERS, 0).when(F.col("n") <= MEDIUM_BUCKET, MANY_LEADERS).otherwise(LEADERS).alias("slots"))
+    )
+    members = stage(rows.join(heads, "bucket").select("bucket", "key", "head", "slots"), "members")
+    if members.isEmpty():
         return None
-    sizes = stage(reps.join(open_.select("key").distinct(), "key", "left_semi").select("key", "n_shingles"), "candidates")
+    sizes = stage(reps.join(members.select("key").distinct(), "key", "left_semi").select("key", "n_shingles"), "candidates")
     texts = stage(texts_of(sizes.select("key")), "texts")
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    pairs = open_.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    first = members.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+    for side in ("a", "b"):
+        first = first.join(sizes.select(F.col("key").alias(side), F.col("n_shingles").alias(f"n{side}")), side)
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    tested = _untested(first.filter(fits).select("a", "b"), None)
+    links = stage(confirmed(tested, texts, size, percent), "links")
+    roots = None if links.isEmpty() else components(links)
+
+    def placed(open_: DataFrame) -> DataFrame:
+        return _rooted(_rooted(open_, "head", roots).withColumnRenamed("root", "home"), "key", roots)
+
+    outside = (F.col("root") != F.col("home")) & (F.col("key") != F.col("head"))
+    now = stage(placed(members), "placed")
+    now = now.join(now.filter(outside).select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "head", "slots")
+    limits, special = partner_limits(texts.join(now.select("key").distinct(), "key", "left_semi"), sizes, size, percent)
+    limits = stage(limits, "limits")
+    for side in ("a", "b"):
+        special = _rooted(special, side, roots).withColumnRenamed("root", f"r{side}")
+        special = special.join(sizes.select(F.col("key").alias(side), F.col("n_shingles").alias(f"n{side}")), side)
+    special = special.filter((F.col("ra") != F.col("rb")) & fits).select("a", "b")
+    now = now.join(limits, "key")
+    least = now.groupBy("bucket").agg(F.min("n").alias("least"))
+    # A member whose partners would have to be smaller than all of the bucket need not lead.
+    open_ = stage(now.join(least, "bucket").select("bucket", "key", "head", "slots", "n", "high", (F.col("high") < F.col("least")).alias("led")), "open")
     while True:
-        pairs = pairs.distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("key").alias(side), F.col("n_shingles").alias(f"n{side}")), side)
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).alias("fits")  # else they cannot reach the similarity
-        pairs = stage(pairs.filter(fits).select("a", "b"), "pairs") if tested is None else stage(pairs.filter(fits).select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
+        slot = F.when(F.col("slots") == 0, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.greatest("slots", F.lit(1))))
+        leaders = placed(open_).filter(outside & ~F.col("led")).groupBy("bucket", slot.alias("slot")).agg(F.min("key").alias("lead"))
+        leaders = leaders.join(limits.select(F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("high").alias("lead_high")), "lead")
+        leaders = stage(_rooted(leaders.drop("slot"), "lead", roots).withColumnRenamed("root", "lead_root"), "leaders")
+        if leaders.isEmpty() and special is None:
+            return roots
+        possible = (F.col("n") <= F.col("lead_high")) & (F.col("lead_n") <= F.col("high")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
+        rooted = _rooted(open_, "key", roots)
+        met = rooted.join(leaders, (rooted["bucket"] == leaders["bucket"]) & (F.col("root") != F.col("lead_root")) & possible)
+        met = met.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
+        pairs = _untested(met if special is None else met.unionAll(special), tested)
+        special = None
+        tested = tested.unionAll(pairs)
         found = stage(confirmed(pairs, texts, size, percent), "links")
         if not found.isEmpty():
-            links = found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(links)
-        placed = _rooted(_rooted(open_, "head", roots).withColumnRenamed("root", "home"), "key", roots)
-        outside = (F.col("root") != F.col("home")) & ~F.col("led") & (F.col("key") != F.col("head"))
-        leaders = placed.filter(outside).groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("slot")).agg(F.min("key").alias("lead"))
-        leaders = _rooted(leaders.select("bucket", "lead"), "lead", roots).withColumnRenamed("root", "lead_root")
-        leaders = stage(leaders, "leaders")
-        if leaders.isEmpty():
-            return roots
-        still = placed.join(leaders.select("bucket").distinct(), "bucket", "left_semi")
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else None
+            roots = components(found if known is None else found.unionAll(known))
+        still = open_.join(leaders.select("bucket").distinct(), "bucket", "left_semi")
         picked = leaders.select("bucket", F.col("lead").alias("key"), F.lit(True).alias("now"))
-        open_ = stage(still.join(picked, ["bucket", "key"], "left").select("bucket", "key", "head", "root", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "open")
-        pairs = open_.join(leaders, "bucket").filter("root <> lead_root").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
-        open_ = open_.drop("root")
+        open_ = stage(still.join(picked, ["bucket", "key"], "left").select("bucket", "key", "head", "slots", "n", "high", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "open")
+        open_ = open_.withColumn("slots", F.col("slots") * 8)  # fewer are left, and all must have their turn
 
 
 def near_duplicates(keyed: DataFrame, key: str, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
