@@ -23,8 +23,8 @@ from doclabel.staging import stage
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4  # 64 permutations; a pair at 0.75 shares no band with a chance of about 5 in a million
-LEADERS = 4  # further leaders of a bucket in one round,
-MANY_LEADERS, MEDIUM_BUCKET = 32, 1000  # more of them in buckets of this size at most, and all members at once in buckets of up to MANY_LEADERS
+LEADERS = 16  # further leaders of a bucket in one round,
+MANY_LEADERS, MEDIUM_BUCKET = 64, 1000  # more of them in buckets of this size at most, and all members at once in buckets of up to MANY_LEADERS
 GROUP_BYTES, BLOCK = 1 << 20, 1 << 14
 _INSIDE, _LOW = word_table(b" \t\n\x0b\x0c\r")
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(64)]
@@ -204,7 +204,7 @@ def link_classes(reps: DataFrame, texts_of, size: int, percent: int) -> DataFram
     heads = (
         rows.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("m1"), F.bit_xor(F.xxhash64("key", F.lit("m"))).alias("m2"))
         .filter("n > 1").groupBy("head", "n", "m1", "m2").agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "head", F.when(F.col("n") <= MANY_LEADERS, 0).when(F.col("n") <= MEDIUM_BUCKET, MANY_LEADERS).otherwise(LEADERS).alias("slots"))
+        .select("bucket", "head", F.when(F.col("n") <= MANY_LEADERS, 0).when(F.col("n") <= MEDIUM_BUCKET, MANY_LEADERS).otherwise(LEADERS).cast("bigint").alias("slots"))
     )
     members = stage(rows.join(heads, "bucket").select("bucket", "key", "head", "slots"), "members")
     if members.isEmpty():
@@ -234,17 +234,17 @@ def link_classes(reps: DataFrame, texts_of, size: int, percent: int) -> DataFram
     now = now.join(limits, "key")
     least = now.groupBy("bucket").agg(F.min("n").alias("least"))
     # A member whose partners would have to be smaller than all of the bucket need not lead.
-    open_ = stage(now.join(least, "bucket").select("bucket", "key", "head", "slots", "n", "high", (F.col("high") < F.col("least")).alias("led")), "open")
+    led = F.col("high") < F.col("least")
+    open_ = now.join(least, "bucket").select("bucket", "key", "head", "slots", "n", "high", led.alias("led"))
     while True:
+        here = stage(placed(open_), "open")
         slot = F.when(F.col("slots") == 0, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.greatest("slots", F.lit(1))))
-        leaders = placed(open_).filter(outside & ~F.col("led")).groupBy("bucket", slot.alias("slot")).agg(F.min("key").alias("lead"))
-        leaders = leaders.join(limits.select(F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("high").alias("lead_high")), "lead")
-        leaders = stage(_rooted(leaders.drop("slot"), "lead", roots).withColumnRenamed("root", "lead_root"), "leaders")
+        lead = [F.min("key").alias("lead"), *(F.min_by(c, "key").alias(f"lead_{c}") for c in ("n", "high", "root"))]
+        leaders = stage(here.filter(outside & ~F.col("led")).groupBy("bucket", slot.alias("slot")).agg(*lead).drop("slot"), "leaders")
         if leaders.isEmpty() and special is None:
             return roots
         possible = (F.col("n") <= F.col("lead_high")) & (F.col("lead_n") <= F.col("high")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
-        rooted = _rooted(open_, "key", roots)
-        met = rooted.join(leaders, (rooted["bucket"] == leaders["bucket"]) & (F.col("root") != F.col("lead_root")) & possible)
+        met = here.join(leaders, (here["bucket"] == leaders["bucket"]) & (F.col("root") != F.col("lead_root")) & possible)
         met = met.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
         pairs = _untested(met if special is None else met.unionAll(special), tested)
         special = None
@@ -253,10 +253,11 @@ def link_classes(reps: DataFrame, texts_of, size: int, percent: int) -> DataFram
         if not found.isEmpty():
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else None
             roots = components(found if known is None else found.unionAll(known))
-        still = open_.join(leaders.select("bucket").distinct(), "bucket", "left_semi")
+        still = here.join(leaders.select("bucket").distinct(), "bucket", "left_semi")
         picked = leaders.select("bucket", F.col("lead").alias("key"), F.lit(True).alias("now"))
-        open_ = stage(still.join(picked, ["bucket", "key"], "left").select("bucket", "key", "head", "slots", "n", "high", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "open")
-        open_ = open_.withColumn("slots", F.col("slots") * 8)  # fewer are left, and all must have their turn
+        done = (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")
+        # Fewer are left each time, and all must have their turn.
+        open_ = still.join(picked, ["bucket", "key"], "left").select("bucket", "key", "head", F.least(F.col("slots") * 64, F.lit(1 << 40)).alias("slots"), "n", "high", done)
 
 
 def near_duplicates(keyed: DataFrame, key: str, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
