@@ -65,12 +65,14 @@ def lookup_join(
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if (measured_bytes(keyed) if size is None else size) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+    if (size := measured_bytes(keyed) if size is None else size) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return rows.join(F.broadcast(keyed), on, how)
     share = SAMPLE if sample is None else sample
     heavy = stage(heavy_keys(rows, on, hot_keys, share), "heavy")
-    if measured_bytes(heavy) > BROADCAST_BYTES:  # huge keys: nothing is small enough to send around
-        return rows.join(keyed, on, how)
+    width = measured_bytes(heavy)
+    if width > BROADCAST_BYTES:  # long keys: send fewer of them around, or none
+        fewer = hot_keys * BROADCAST_BYTES // (2 * width)
+        return lookup_join(rows, keyed, on, how, broadcast_bytes, fewer, sample, size) if fewer else rows.join(keyed, on, how)
     hot = stage(keyed.join(F.broadcast(heavy), on, "left_semi"), "hot")
     found = measured_bytes(hot)
     if found > BROADCAST_BYTES and hot_keys > 1:
