@@ -5,14 +5,17 @@ its text and its number of tags; the ratios are smoothed with a Gaussian over
 neighbouring lines and split into two clusters. The lines of the upper cluster
 say where the page has its content; the region is the innermost element that
 holds most of them, and its blocks, also the short ones, are the text. Elements
-that are boilerplate by their kind, role or name are left out throughout.
+that are boilerplate by their kind, role or name are left out throughout; a name
+says nothing where its elements hold most of the upper cluster.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from doclabel.session import ship_package
 
-SIGMA, SHARE = 1.0, 0.7
+SIGMA, SHARE, MOST = 1.0, 0.7, 0.5
 
 # Elements without readable text, boilerplate elements, elements that end a line, and names of boilerplate.
 SILENT = frozenset("script style template noscript head title iframe object svg math canvas audio video select datalist textarea button map".split())
@@ -34,28 +37,38 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "copyright disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo "
     "promoted recommended related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription topbar toolbar widget".split())
+# Words that leave a name of boilerplate what it is: site-footer, comments-area.
+AROUND = frozenset(
+    "area articles bar block bottom box button buttons container content foot form global head header icon icons inner item items label left link links list main media "
+    "module outer panel posts primary right secondary section site slot stories text title toggle top unit wrap wrapper".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _END_OF = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
+@lru_cache(4096)
+def _names_boilerplate(token: str) -> bool:
+    """The whole class or id names boilerplate: has-sidebar and page-with-comments name what has it."""
+    words = {w.lower() for w in _WORD.findall(token)}
+    return bool(words & NAMES) and words <= NAMES | AROUND
+
+
 class Element:
-    """A container on the way from the page to a line."""
+    """A container on the way from the page to a line; ``names`` are those of its classes and id that name boilerplate."""
 
-    __slots__ = ("tag", "parent", "dropped", "named", "depth", "weight")
+    __slots__ = ("tag", "parent", "dropped", "names", "depth", "weight")
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, named: bool):
-        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+    def __init__(self, tag: str, parent: Element | None, dropped: bool, names: frozenset[str]):
+        self.tag, self.parent, self.dropped, self.names = tag, parent, dropped, names
         self.depth = parent.depth + 1 if parent else 0
         self.weight = 0.0
 
 
 class Lines(HTMLParser):
-    """Collects lines: (element, text, tags, characters in links). ``names`` False ignores class and id."""
+    """Collects lines: (element, text, tags, characters in links)."""
 
-    def __init__(self, names: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.names = names
-        self.here = Element("", None, False, False)
+        self.here = Element("", None, False, frozenset())
         self.lines: list[tuple[Element, str, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -68,22 +81,21 @@ class Lines(HTMLParser):
             self.lines.append((self.here, text, self.tags, self.linked))
         self.text, self.tags, self.linked = [], 0, 0
 
-    def _boilerplate(self, tag: str, attrs) -> tuple[bool, bool]:
-        """Left out for its kind or role; left out for its name."""
+    def _boilerplate(self, tag: str, attrs) -> tuple[bool, frozenset[str]]:
+        """Left out for its kind or role; its names of boilerplate."""
         given = {k: v or "" for k, v in attrs}
         if tag in BOILERPLATE or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true":
-            return True, False
+            return True, frozenset()
         if "display:none" in given.get("style", "").replace(" ", "").lower():
-            return True, False
+            return True, frozenset()
         inside = self.here
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
         if tag == "header":
-            return inside is None, False
-        if not self.names or tag in ("html", "body", "main", "article"):
-            return False, False
-        words = {w.lower() for w in _WORD.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-        return False, bool(words & NAMES)
+            return inside is None, frozenset()
+        if tag in ("html", "body", "main", "article"):
+            return False, frozenset()
+        return False, frozenset(t for t in [*given.get("class", "").split(), given.get("id", "")] if _names_boilerplate(t))
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
@@ -111,12 +123,12 @@ class Lines(HTMLParser):
                         self.here = near.parent
                         break
                     near = near.parent
-            kind, named = self._boilerplate(tag, attrs)
-            self.here = Element(tag, self.here, self.here.dropped or kind, self.here.named or named)
+            kind, names = self._boilerplate(tag, attrs)
+            self.here = Element(tag, self.here, self.here.dropped or kind, names)
         elif tag not in VOID and attrs and tag in BLOCKS:
-            kind, named = self._boilerplate(tag, attrs)
-            if kind or named:  # a paragraph that is a notice: an element of its own until the next block
-                self.here = Element(tag, self.here, self.here.dropped or kind, self.here.named or named)
+            kind, names = self._boilerplate(tag, attrs)
+            if kind or names:  # a paragraph that is a notice: an element of its own until the next block
+                self.here = Element(tag, self.here, self.here.dropped or kind, names)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -194,28 +206,61 @@ def _links_only(lines) -> set[int]:
     return {n for of in lists.values() if len(of) > 1 and all(lines[n][3] >= 0.9 * len(lines[n][1].replace(" ", "")) for n in of) for n in of}
 
 
+def _around(element: Element | None) -> Iterator[Element]:
+    """The element and all it lies in."""
+    while element is not None:
+        yield element
+        element = element.parent
+
+
+def _upper(lines, good: list[bool], sigma: float) -> list[int]:
+    """The good lines in the upper cluster of smoothed ratios."""
+    if not any(good):
+        return []
+    ratios = smoothed([math.log1p(len(text) / max(1, tags)) if ok else 0.0 for (_, text, tags, _), ok in zip(lines, good)], sigma)
+    border = threshold([r for r, ok in zip(ratios, good) if ok])
+    return [n for n, (r, ok) in enumerate(zip(ratios, good)) if ok and r > border]
+
+
+def _named(lines, good: list[bool], sigma: float) -> list[bool]:
+    """Good lines that are left out for a name.
+
+    A name does not count for an element that holds most of the upper lines, nor
+    for elements of that name which hold most of them together. Where an article
+    or main has lines without such names, the upper lines are those inside.
+    """
+    marked = [ok and any(e.tag in ("article", "main") for e in _around(line[0])) for line, ok in zip(lines, good)]
+    plain = any(ok and not any(e.names for e in _around(line[0])) for line, ok in zip(lines, marked))
+    upper = _upper(lines, marked if plain else good, sigma)
+    named = [[e for e in _around(line[0]) if e.names] if ok else [] for line, ok in zip(lines, good)]
+    sizes = {n: len(lines[n][1]) for n in upper}
+    most = MOST * sum(sizes.values())
+    held, together = Counter(), Counter()
+    for n, size in sizes.items():
+        held.update({e: size for e in named[n]})
+    for n, size in sizes.items():
+        together.update({name: size for name in {name for e in named[n] if held[e] <= most for name in e.names}})
+    counts = {e: held[e] <= most and any(together[name] <= most for name in e.names) for of in named for e in of}
+    return [any(counts[e] for e in of) for of in named]
+
+
 def main_text(page: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     """Blocks of the content region in page order, one per line; empty if there is none."""
-    found = Lines().finish(page)
-    if found and all(e.dropped or e.named for e, _, _, _ in found):
-        found = Lines(names=False).finish(page)  # names that cover all of the page say nothing
-    menus = _links_only(found)
-    lines = [(line, not (line[0].dropped or line[0].named or n in menus)) for n, line in enumerate(found)]
-    if not any(good for _, good in lines):
+    lines = Lines().finish(page)
+    menus = _links_only(lines)
+    good = [not line[0].dropped and n not in menus for n, line in enumerate(lines)]
+    good = [ok and not named for ok, named in zip(good, _named(lines, good, sigma))]
+    upper = _upper(lines, good, sigma)
+    if not upper:
         return ""
-    ratios = smoothed([math.log1p(len(text) / max(1, tags)) if good else 0.0 for (_, text, tags, _), good in lines], sigma)
-    border = threshold([r for r, (_, good) in zip(ratios, lines) if good])
     root, children = None, {}
-    for r, ((element, text, _, _), good) in zip(ratios, lines):
-        if good and r > border:
-            near = element
-            while near is not None:
-                near.weight += len(text)
-                if near.parent is None:
-                    root = near
-                else:
-                    children.setdefault(id(near.parent), {})[id(near)] = near
-                near = near.parent
+    for n in upper:
+        for near in _around(lines[n][0]):
+            near.weight += len(lines[n][1])
+            if near.parent is None:
+                root = near
+            else:
+                children.setdefault(id(near.parent), {})[id(near)] = near
     region, path = root, [root]
     while children.get(id(region)):
         largest = max(children[id(region)].values(), key=lambda e: e.weight)
@@ -232,7 +277,7 @@ def main_text(page: str, sigma: float = SIGMA, share: float = SHARE) -> str:
             element = element.parent
         return element is region
 
-    return "\n".join(line[1] for line, good in lines if good and inside(line[0]))
+    return "\n".join(line[1] for line, ok in zip(lines, good) if ok and inside(line[0]))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

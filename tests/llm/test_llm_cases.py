@@ -324,6 +324,25 @@ def test_pages_of_other_kinds(spark):
     assert pages.extract_text(df.filter("page_id = 99")).count() == 0
 
 
+LONG = "A long paragraph of the article that tells its story in many plain words and goes on and on."
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "page-with-comments", "elementor-widget", "sidebar-left", "widget"])
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_names_on_the_content_of_pages(name, attribute):
+    """What has a sidebar, or holds most of the page, is no sidebar; the sidebar in it is."""
+    page = f"""<body><div class="site-title">My site</div><div {attribute}="{name}"><div class="entry"><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>
+      <div class="sidebar"><p>Sidebar text that has nothing to do with it.</p></div><div class="site-footer">Imprint and more</div></div></body>"""
+    assert pages.main_text(page) == f"Title\n{LONG}\nShort.\n{LONG}"
+
+
+def test_names_that_cover_the_page_together():
+    posts = "".join(f'<div class="reply"><p>{LONG} {n}</p></div>' for n in range(9))
+    want = "\n".join(f"{LONG} {n}" for n in range(9))
+    assert pages.main_text(f"<div>Forum</div><div class=list>{posts}</div><div class=ad><p>{LONG}</p></div>") == want
+    assert pages.main_text(f"<div class=ad>{LONG}</div><article><h1>Title</h1><p>Brief.</p></article>") == "Title\nBrief."
+
+
 def test_text_to_tag_clusters():
     values = pages.smoothed([0, 0, 9, 9, 9, 0], 1.0)
     assert len(values) == 6 and values[3] > pages.threshold(values) > values[0]
