@@ -4,7 +4,8 @@ The standard parser's events are cut into lines at block elements. Each line has
 its text and its number of tags; the ratios are smoothed with a Gaussian over
 neighbouring lines and split into two clusters. The lines of the upper cluster
 say where the page has its content; the region is the innermost element that
-holds most of them, and its blocks, also the short ones, are the text. Elements
+holds all of them and the headings before them, and its blocks, also the short
+ones, are the text. Elements
 that are boilerplate by their kind, role or name are left out throughout; a name
 says nothing where its elements hold most of the upper cluster.
 """
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from doclabel.session import ship_package
 
-SIGMA, SHARE, MOST = 1.0, 0.7, 0.5
+SIGMA, MOST = 1.0, 0.5
 
 # Elements without readable text, boilerplate elements, elements that end a line, and names of boilerplate.
 SILENT = frozenset("script style template noscript head title iframe object svg math canvas audio video select datalist textarea button map".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTAINERS = frozenset("html body main article section div header figure blockquote details table tbody thead tfoot tr td th ul ol li dl dd dt center".split()) | BOILERPLATE
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 hr pre address hgroup figcaption summary caption legend option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
@@ -55,21 +57,22 @@ def _names_boilerplate(token: str) -> bool:
 class Element:
     """A container on the way from the page to a line; ``names`` are those of its classes and id that name boilerplate."""
 
-    __slots__ = ("tag", "parent", "dropped", "names", "depth", "weight")
+    __slots__ = ("tag", "parent", "dropped", "names", "depth")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool, names: frozenset[str]):
         self.tag, self.parent, self.dropped, self.names = tag, parent, dropped, names
         self.depth = parent.depth + 1 if parent else 0
-        self.weight = 0.0
 
 
 class Lines(HTMLParser):
-    """Collects lines: (element, text, tags, characters in links)."""
+    """Collects lines: (element, text, tags, characters in links), and the numbers of those that are headings."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.here = Element("", None, False, frozenset())
         self.lines: list[tuple[Element, str, int, int]] = []
+        self.headings: set[int] = set()
+        self.heading = False
         self.text: list[str] = []
         self.tags = self.linked = 0
         self.silent: list[str] = []
@@ -78,6 +81,8 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
+            if self.heading:
+                self.headings.add(len(self.lines))
             self.lines.append((self.here, text, self.tags, self.linked))
         self.text, self.tags, self.linked = [], 0, 0
 
@@ -109,7 +114,7 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._end_line()
-            self.in_link = False
+            self.in_link, self.heading = False, tag in HEADINGS
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
@@ -145,6 +150,7 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._end_line()
+            self.heading = False
             near = self.here
             while near is not None and near.tag != tag:
                 near = near.parent
@@ -213,6 +219,11 @@ def _around(element: Element | None) -> Iterator[Element]:
         element = element.parent
 
 
+def _marked(element: Element) -> Element | None:
+    """The outermost article or main around."""
+    return next(reversed([e for e in _around(element) if e.tag in ("article", "main")]), None)
+
+
 def _upper(lines, good: list[bool], sigma: float) -> list[int]:
     """The good lines in the upper cluster of smoothed ratios."""
     if not any(good):
@@ -229,7 +240,7 @@ def _named(lines, good: list[bool], sigma: float) -> list[bool]:
     for elements of that name which hold most of them together. Where an article
     or main has lines without such names, the upper lines are those inside.
     """
-    marked = [ok and any(e.tag in ("article", "main") for e in _around(line[0])) for line, ok in zip(lines, good)]
+    marked = [ok and _marked(line[0]) is not None for line, ok in zip(lines, good)]
     plain = any(ok and not any(e.names for e in _around(line[0])) for line, ok in zip(lines, marked))
     upper = _upper(lines, marked if plain else good, sigma)
     named = [[e for e in _around(line[0]) if e.names] if ok else [] for line, ok in zip(lines, good)]
@@ -244,33 +255,45 @@ def _named(lines, good: list[bool], sigma: float) -> list[bool]:
     return [any(counts[e] for e in of) for of in named]
 
 
-def main_text(page: str, sigma: float = SIGMA, share: float = SHARE) -> str:
+def _common(a: Element, b: Element) -> Element:
+    """The innermost element around both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
+def main_text(page: str, sigma: float = SIGMA) -> str:
     """Blocks of the content region in page order, one per line; empty if there is none."""
-    lines = Lines().finish(page)
+    reader = Lines()
+    lines = reader.finish(page)
     menus = _links_only(lines)
     good = [not line[0].dropped and n not in menus for n, line in enumerate(lines)]
     good = [ok and not named for ok, named in zip(good, _named(lines, good, sigma))]
     upper = _upper(lines, good, sigma)
     if not upper:
         return ""
-    root, children = None, {}
-    for n in upper:
-        for near in _around(lines[n][0]):
-            near.weight += len(lines[n][1])
-            if near.parent is None:
-                root = near
-            else:
-                children.setdefault(id(near.parent), {})[id(near)] = near
-    region, path = root, [root]
-    while children.get(id(region)):
-        largest = max(children[id(region)].values(), key=lambda e: e.weight)
-        # A line's own element is no region, nor is one that leaves much of the content outside.
-        if largest.weight < share * region.weight or largest.tag in ("li", "tr", "td", "th", "dd", "dt", "blockquote", "figure"):
-            break
-        region = largest
-        path.append(region)
-    marked = [e for e in path if e.tag in ("article", "main")]
-    region = marked[-1] if marked else region
+    region = lines[upper[0]][0]
+    for n in upper[1:]:
+        region = _common(region, lines[n][0])
+    # Headings no further before the content than the smoothing reaches belong to it, also with a short lead between;
+    # those before an article or main only if it has none.
+    before = [n for n in range(upper[0]) if good[n]]
+    near = reach = math.ceil(3 * sigma)
+    headed = upper[0] in reader.headings
+    while before and near:
+        n, near = before.pop(), near - 1
+        if n in reader.headings:
+            around = _common(region, lines[n][0])
+            if headed and _marked(region) is not None and _marked(around) is None:
+                break
+            region, near, headed = around, reach, True
+    # A line's own element is no region.
+    while region.parent is not None and (region.tag not in CONTAINERS or region.tag in ("li", "tr", "td", "th", "dd", "dt", "blockquote", "figure")):
+        region = region.parent
+    region = _marked(region) or region
 
     def inside(element: Element) -> bool:
         while element.depth > region.depth:

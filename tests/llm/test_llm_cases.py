@@ -343,6 +343,20 @@ def test_names_that_cover_the_page_together():
     assert pages.main_text(f"<div class=ad>{LONG}</div><article><h1>Title</h1><p>Brief.</p></article>") == "Title\nBrief."
 
 
+def test_regions_of_pages():
+    """The region holds all of the content, its title and its lead, whatever the share of its parts."""
+    paragraphs = [f"{LONG} {n}" for n in range(8)]
+    blocks = [f"<p>{p}</p>" for p in paragraphs]
+    aside = "<div><p>Menu</p><p>Log in</p><p>Help</p><p>Jobs</p></div>"
+    page = f"<body>{aside}<div id=content><h1>Title</h1><p>Lead.</p><div class=entry>{''.join(blocks)}</div></div>{aside}"
+    assert pages.main_text(page) == "\n".join(["Title", "Lead.", *paragraphs])
+    for whole in ("<body>%s<div><div>%s</div><div>%s</div></div>%s", "<body>%s<main><article>%s</article><article>%s</article></main>%s"):
+        assert pages.main_text(whole % (aside, "".join(blocks[:6]), "".join(blocks[6:]), aside)) == "\n".join(paragraphs)
+    assert pages.main_text(f"<body><div><h1>Site</h1></div><article><h1>Title</h1>{blocks[0]}<p>Brief.</p></article>{aside}") == f"Title\n{paragraphs[0]}\nBrief."
+    items = "".join(f"<li>{p}</li>" for p in paragraphs)
+    assert pages.main_text(f"<body>{aside}<div><ul>{items}<li>End</li></ul></div>{aside}") == "\n".join([*paragraphs, "End"])
+
+
 def test_text_to_tag_clusters():
     values = pages.smoothed([0, 0, 9, 9, 9, 0], 1.0)
     assert len(values) == 6 and values[3] > pages.threshold(values) > values[0]
