@@ -136,16 +136,16 @@ class Lines(HTMLParser):
                 self.here = Element(tag, self.here, self.here.dropped or kind, names)
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # browsers read <div/> as <div>
+        if tag not in ("svg", "math"):  # browsers close these two, and read <div/> as <div>
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if self.silent and tag in ("body", "html"):
+            self.silent.clear()
         if self.silent:
             if tag == self.silent[-1]:
                 self.silent.pop()
-            elif tag in ("head", "body", "html") and tag in self.silent:
+            elif tag == "head" and tag in self.silent:
                 self.silent = self.silent[: self.silent.index(tag)]
             return
         if tag in BLOCKS:

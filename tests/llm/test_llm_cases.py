@@ -357,6 +357,13 @@ def test_regions_of_pages():
     assert pages.main_text(f"<body>{aside}<div><ul>{items}<li>End</li></ul></div>{aside}") == "\n".join([*paragraphs, "End"])
 
 
+def test_silent_elements_end():
+    for closed in ("<svg viewBox='0 0 9 9'/>", "<math/>", "<svg><svg/><path d='M0'/></svg>", "<button><svg/></button>"):
+        assert pages.main_text(f"<body><p>{LONG}</p>{closed}<p>{LONG}</p></body>") == f"{LONG}\n{LONG}"
+    for end in ("</body>", "</html>"):
+        assert pages.main_text(f"<body><p>{LONG}</p><svg>icon{end}<p>{LONG}</p>") == f"{LONG}\n{LONG}"
+
+
 def test_text_to_tag_clusters():
     values = pages.smoothed([0, 0, 9, 9, 9, 0], 1.0)
     assert len(values) == 6 and values[3] > pages.threshold(values) > values[0]
