@@ -216,6 +216,23 @@ def test_license_scans(spark, awkward, empty):
     assert licenses.scan_licenses(empty, licenses.default_templates(spark)).count() == 0
 
 
+def test_common_licenses_are_known(spark):
+    """Statements as found in the wild, and the names of whole texts; the SQL writes the templates into quotes."""
+    assert all(t.isascii() and "'" not in t for t in licenses.TEMPLATES.values())
+    wanted = {
+        "This project is licensed under the MIT License - see LICENSE.": {"mit-licensed"}, "MIT License\n\nCopyright (c) 2020 Somebody": {"mit-header"},
+        "# SPDX-License-Identifier: GPL-2.0-or-later": {"spdx-gpl-2.0"}, "distributed under the GNU Lesser General Public License v2.1": {"lgpl-under"},
+        "Released under the GNU Affero General Public License.": {"agpl-under"}, "code is under the ISC license": {"isc"}, "It is under the Unlicense.": {"unlicense"},
+        "under the BSD 3-Clause License": {"bsd-3-under"}, "see https://creativecommons.org/licenses/by-nc-sa/3.0/": {"cc-by-nc-sa-3.0-url"}, "CC0: https://creativecommons.org/publicdomain/zero/1.0/": {"cc0-url"},
+        "Licensed under the Apache License, Version 2.0.": {"apache-2.0"}, "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0"}, "Nothing is said about a license here.": set(),
+    } | {f"Preface. {licenses.TEMPLATES[name]} End.": {name} for name in ["bsd-warranty", "gnu-warranty", "isc-notice", "mit-warranty", "unlicense-dedication", "cc0-deed", "zlib-notice"]}
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    wanted |= {gnu.format(a, b): {f"{c}-notice", f"gnu-{b}-or-later"} for a, c in (("", "gpl"), ("Lesser ", "lgpl"), ("Affero ", "agpl")) for b in ("2", "2.1", "3")}
+    docs = spark.createDataFrame(list(enumerate(wanted)), "doc_id bigint, text string")
+    got = {r["doc_id"]: {m["license"] for m in r["matches"] if m["containment"] == 1} for r in licenses.scan_licenses(docs, licenses.default_templates(spark)).collect()}
+    assert [got[i] for i in range(len(wanted))] == list(wanted.values())
+
+
 def test_license_windows_hold_every_template_and_bands_suffice():
     for n in range(1, 400):
         width, stride = licenses.window_of(n)
