@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclabel.llm.common import Rolling, flat_bytes, fresh, segments, word_spans, word_table
+from doclabel.llm.common import Rolling, flat_bytes, fresh, range_hashes, row_groups, segments, word_spans, word_table
 from doclabel.session import ship_package
 
 SAMPLE = 20_000  # rows at most of each of the two training samples
@@ -43,18 +43,20 @@ def features(texts: pa.Array) -> np.ndarray:
         m = len(rows)
         owner = np.repeat(np.arange(m), np.diff(local))
         np.add.at(counts, rows, np.bincount(owner * k + _code[chunk], minlength=m * k).reshape(m, k))
+    for a, b in row_groups(offsets, Rolling.LIMIT):  # bytes add up over pieces of a long text, its words are counted in one
+        m, chunk, local = b - a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, bounds = word_spans(chunk, local, _INSIDE)
         if not len(starts):
             continue
         row = np.repeat(np.arange(m), np.diff(bounds))
-        hashes = Rolling(chunk).ranges(starts, ends)
+        hashes = range_hashes(chunk, starts, ends)
         distinct = _distinct(row, hashes)
         same1 = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
         same2 = (hashes[2:] == hashes[:-2]) & (row[2:] == row[:-2])
         size = lambda x: np.bincount(x, minlength=m)
-        np.add.at(words, rows, np.stack([
+        words[a:b] = np.stack([
             size(row), np.bincount(row, ends - starts, minlength=m), size(row[ends - starts > 20]),
-            size(row[1:][same1]), size(row[2:][same2]), size(distinct)], axis=1))
+            size(row[1:][same1]), size(row[2:][same2]), size(distinct)], axis=1)
     length, n_words = np.maximum(counts.sum(1, keepdims=True), 1), np.maximum(words[:, :1], 1)
     shares = np.log1p(50 * np.concatenate([counts[:, :-1] / length, words[:, 2:5] / n_words], axis=1))
     byte_shares, word_shares = shares[:, : k - 1], shares[:, k - 1 :]

@@ -260,6 +260,21 @@ def test_quality_scores(spark, awkward, empty):
     assert quality.fit_quality(empty, labels).prior > 0
 
 
+def test_quality_features_of_long_texts():
+    """Words of a text of more than a piece are counted once, and none is cut where pieces meet."""
+    rnd = random.Random(5)
+    long = [f"word{rnd.randrange(3000)}" for _ in range(400_000)]
+    long[10:10] = ["x" * ((1 << 20) - 50)]
+    few = ["same"] * 300_000
+    assert min(len(" ".join(long)), len(" ".join(few))) > 1 << 20
+    got = quality.features(pa.array(["a b", " ".join(long), None, " ".join(few), "c c"]))
+    for x, ws in zip(got, (["a", "b"], long, [], few, ["c", "c"])):
+        n = max(len(ws), 1)
+        shares = [sum(len(w) > 20 for w in ws) / n, sum(map(str.__eq__, ws, ws[1:])) / n, sum(map(str.__eq__, ws, ws[2:])) / n]
+        want = [np.log1p(sum(map(len, ws)) / n), *np.log1p(50 * np.array(shares)), len(set(ws)) / n, np.log1p(len(ws))]
+        assert np.allclose(x[quality.NAMES.index("mean_word") :], want, rtol=1e-12, atol=0)
+
+
 def test_non_negative_risk_separates_with_unlabelled_text_only():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 0.5, (4000, 3)), rng.normal(-1, 0.5, (1000, 3))
