@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclabel.llm import decontaminate, licenses, lines, mixing, neardup, pages, quality, repeats, rules, tokens
+from doclabel.llm import bpe, collocations, decontaminate, licenses, lines, mixing, neardup, pages, quality, repeats, rules, tokens, trie
 from doclabel.llm.common import with_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(keyed, "_key").select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@register
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN), vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # --- SQL --------------------------------------------------------------------------------
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -196,3 +215,44 @@ e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(v, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v WHERE r.root < e.b),
 c AS (SELECT v, min(root) AS component_id FROM r GROUP BY v)
 SELECT c.v AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = c.v AS kept FROM c LEFT JOIN n ON n.doc_id = c.v"""
+
+# crc32 bit by bit: the remainder of the digits' bits by the fixed polynomial.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+ORACLES["op11_conversation_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, p, role, text FROM c JOIN t ON t.conv_id = c.base AND t.p <= c.h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t USING (conv_id) WHERE t.p > c.h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS depth, length(role) || ':' || length(text) || ':' || role || text AS turn,
+    len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM r),
+o AS MATERIALIZED (SELECT conv_id, depth, string_agg(turn, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth) AS key, words FROM d UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS MATERIALIZED (SELECT key, depth, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(words) AS words FROM o GROUP BY key, depth),
+p AS (SELECT n.key, n.depth, u.conv_id AS parent_conv_id, u.key AS parent_key FROM n LEFT JOIN o ON o.conv_id = n.conv_id AND o.depth = n.depth - 1 LEFT JOIN n u ON u.key = o.key AND u.depth = o.depth),
+k AS MATERIALIZED (SELECT n.*, parent_conv_id, coalesce(n_children, 0)::BIGINT AS n_children FROM n JOIN p USING (key, depth)
+  LEFT JOIN (SELECT parent_key AS key, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY ALL) USING (key, depth)),
+s AS (SELECT a.key, a.depth, sum((k.n_children = 0)::INT)::BIGINT AS n_leaves, sum((k.n_convs - 1) * k.words)::BIGINT AS saved_tokens
+  FROM k JOIN o a ON a.conv_id = k.conv_id AND a.depth <= k.depth GROUP BY ALL),
+e AS (SELECT key, depth, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(depth) AS depth FROM o GROUP BY conv_id) JOIN o USING (conv_id, depth) GROUP BY ALL)
+SELECT k.conv_id, k.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM k JOIN s USING (key, depth) LEFT JOIN e USING (key, depth)"""
+
+ORACLES["op12_phrase_collocations"] = rf"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_UP}, {_LOW}), '[.,;:!?
+-
+]')) AS piece FROM documents)),
+g AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, g, f, string_split(g, ' ') AS w FROM g WHERE m >= 2 AND f >= 100),
+x AS (SELECT DISTINCT s.lang, s.g FROM c s JOIN c y ON y.lang = s.lang AND y.m > s.m AND 100 * y.f >= 100 * s.f AND contains(' ' || y.g || ' ', ' ' || s.g || ' ')),
+k AS (SELECT lang, g, m, f AS a, w, unnest(range(1, m)) AS k FROM c ANTI JOIN x USING (lang, g)),
+s AS (SELECT k.lang, k.g, k.a, k.k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.m = k AND l.g = array_to_string(w[1:k], ' ') JOIN g r ON r.lang = k.lang AND r.m = k.m - k AND r.g = array_to_string(w[k + 1 :], ' ') JOIN t ON t.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM b
+QUALIFY rank <= 2000"""
