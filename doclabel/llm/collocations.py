@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -363,6 +363,12 @@ def _first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(2)], ["h", "f"])
 
 
+def quotient() -> Column:
+    """floor(1000 a n / (l r)) by exact division of 38-digit products."""
+    exact = lambda c: f"cast({c} AS decimal(19, 0))"
+    return F.expr(f"(cast(1000 AS decimal(4, 0)) * cast({exact('a')} * {exact('n')} AS decimal(34, 0))) div ({exact('l')} * {exact('r')})")
+
+
 def mine_collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
     """The best phrases of every language: lang, rank, phrase, a, l, r, n, score.
 
@@ -398,9 +404,7 @@ def mine_collocations(docs: DataFrame, least: int = 100, longest: int = 5, top:
     cuts = lookup_join(cuts.withColumn("key", part(F.lit(1), F.col("k"))), found.withColumnRenamed("f", "l"), "key").drop("key")
     cuts = lookup_join(cuts.withColumn("key", part(F.col("k") + 1, F.size("own.codes") - F.col("k"))), found.withColumnRenamed("f", "r"), "key").drop("key")
     cuts = lookup_join(cuts.withColumn("lang", F.col("own.lang")), totals, "lang")
-    exact = lambda c: f"cast({c} AS decimal(19, 0))"
-    score = F.expr(f"(cast(1000 AS decimal(4, 0)) * cast({exact('a')} * {exact('n')} AS decimal(34, 0))) div ({exact('l')} * {exact('r')})")
-    best = cuts.groupBy("own", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    best = cuts.groupBy("own", "a", "n").agg(F.min(F.struct(quotient().alias("score"), "k", "l", "r")).alias("cut"))
     rows = best.select(F.col("own.lang").alias("lang"), F.col("own.codes").alias("codes"), "a", "cut.l", "cut.r", "n", "cut.score")
     strongest = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     chosen = stage(rows.withColumn("place", F.rank().over(strongest)).filter(F.col("place") <= top), "strongest")
