@@ -24,11 +24,11 @@ from pyspark.sql import types as T
 
 from doclabel.session import ship_package
 
-MEMO = 400_000
+MEMO, ROWS = 200_000, 128
 # Pieces of up to so many characters are remembered; those of up to so many bytes are merged many at a time.
 SHORT, TOGETHER = 64, 4096
 # Characters, or pieces, in hand at a time.
-GROUP = 1 << 18
+GROUP = 1 << 16
 # Texts are split by classes of no more code points than they need: the matcher tests small ones faster.
 TIERS = (0x100, 0x10000, 0x110000)
 _PLACE = 40
@@ -214,7 +214,7 @@ class Encoder:
             else:
                 by_width.setdefault((len(data) - 1).bit_length(), []).append((piece, data))
         for bits, group in by_width.items():
-            step = max(1, GROUP >> 4 + bits)
+            step = max(1, (1 << 14) >> bits)
             for start in range(0, len(group), step):
                 part = group[start : start + step]
                 self.known.update(zip([p for p, _ in part], merge_pieces([d for _, d in part], self.pairs)))
@@ -270,6 +270,13 @@ def _table(vocabulary: bytes) -> list[bytes]:
     return _tables[known]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWS rows at a time: Python objects are made of a few texts only."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _shipped(df: DataFrame, vocabulary: str):
     """The file's bytes as a broadcast; the driver reads them."""
     ship_package(df.sparkSession)
@@ -291,7 +298,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value, patterns)
-        for batch in batches:
+        for batch in _slices(batches):
             packed = encoder.encode([text or "" for text in batch.column(1).to_pylist()])
             counts = pa.array([len(p) // 4 for p in packed], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(packed, pa.binary())], [id_col, "n_tokens", "ids"])
@@ -312,7 +319,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids", name: str
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shipped.value)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [b"".join(map(table.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist())) for v in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, name])
 
