@@ -34,6 +34,8 @@ _IS_BREAK = np.isin(np.arange(256), list(BREAKS))
 LIMIT = 1 << 20
 # Words that a task holds before it counts them; bits of the frequent-phrase filter; the most prefixes whose stripes are cut, and the least occurrences of one.
 FLUSH, MAX_BITS, MAX_HEAVY, HEAVY = 1 << 21, 1 << 29, 1 << 18, 1 << 16
+# Occurrences that are merged together.
+SHARD = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,8 +155,11 @@ def _extend(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return mix(hashes * _ODD + codes)
 
 
-def _stripe_maker(level: int, bits: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], clashing: np.ndarray):
-    """Stripes of prefixes of ``level`` words whose hash, like that of the words from the second on, passes the filter."""
+def _stripe_maker(level: int, bits: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], clashing: np.ndarray, shards: int):
+    """Stripes of prefixes of ``level`` words whose hash, like that of the words from the second on, passes the filter.
+
+    The stripes of a shard that a task has counted at a time are packed in one row.
+    """
 
     def passes(hashes: np.ndarray) -> np.ndarray:
         at = hashes & np.uint64(8 * len(bits) - 1)
@@ -191,19 +196,22 @@ def _stripe_maker(level: int, bits: np.ndarray, heavy: tuple[np.ndarray, np.ndar
             cut = np.where(heavy[0][near] == prefix, heavy[1][near], 0).astype(np.uint64)
         # The upper bits of a word's code choose its segment: the same one in every task.
         segment = np.where(cut > 0, following >> (np.uint64(64) - np.maximum(cut, np.uint64(1))), np.uint64(0)).astype(np.int64)
-        order = np.lexsort((segment, prefix))
-        where, prefix, following, counts, segment = where[order], prefix[order], following[order], counts[order], segment[order]
+        shard = mix(prefix + segment.astype(np.uint64) * _ODD) % np.uint64(shards)
+        order = np.lexsort((segment, prefix, shard))
+        where, prefix, following, counts, segment, shard = (c[order] for c in (where, prefix, following, counts, segment, shard))
         edge = (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])
         for k in range(level):
             edge |= codes[where[1:] + k] != codes[where[:-1] + k]
         first = np.flatnonzero(np.append(True, edge))
-        own = np.stack([codes[where[first] + k] for k in range(level)], axis=1).ravel().view(np.int64)
-        offsets = pa.array(np.append(first, len(where)), pa.int32())
+        own = np.stack([codes[where[first] + k] for k in range(level)], axis=1).ravel()
+        rows = np.flatnonzero(np.append(True, shard[first][1:] != shard[first][:-1]))  # by stripe
+        by_stripe, by_entry = np.append(rows, len(first)), np.append(first[rows], len(where))
+        as_lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int64)))
         return pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(first), pa.string()), pa.array(prefix[first].view(np.int64)), pa.array(segment[first]),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * level, pa.int32()), pa.array(own)),
-            pa.ListArray.from_arrays(offsets, pa.array(following.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts)),
-        ], ["lang", "h", "segment", "prefix", "nexts", "counts"])
+            pa.array([lang] * len(rows), pa.string()), pa.array(shard[first[rows]].astype(np.int64)),
+            as_lists(prefix[first], by_stripe), as_lists(own, by_stripe * level), as_lists(np.diff(np.append(first, len(where))), by_stripe),
+            as_lists(following, by_entry), as_lists(counts, by_entry),
+        ], ["lang", "shard", "h", "prefix", "sizes", "nexts", "counts"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -225,20 +233,19 @@ def _stripe_maker(level: int, bits: np.ndarray, heavy: tuple[np.ndarray, np.ndar
     return make
 
 
-_STRIPE = "lang string, h bigint, segment bigint, prefix array<bigint>, nexts array<bigint>, counts array<bigint>"
+_STRIPE = "lang string, shard bigint, h array<bigint>, prefix array<bigint>, sizes array<bigint>, nexts array<bigint>, counts array<bigint>"
 _MERGED = "lang string, prefix array<bigint>, nexts array<bigint>, counts array<bigint>, hashes array<bigint>"
 
 
 def _merge(table: pa.Table, level: int, least: int) -> pa.RecordBatch | None:
     """Add stripes of the same prefix elementwise and keep the words that follow it ``least`` times or more."""
-    table = table.combine_chunks()
+    flat = {c: table.column(c).combine_chunks() for c in ("h", "prefix", "sizes", "nexts", "counts")}
     lang = table.column("lang").combine_chunks().dictionary_encode()
-    of_lang = lang.indices.to_numpy()
-    h = table.column("h").to_numpy().view(np.uint64)
-    prefix = table.column("prefix").combine_chunks().flatten().to_numpy().reshape(-1, level)
-    lists = table.column("nexts").combine_chunks()
-    row = np.repeat(np.arange(len(h)), np.diff(lists.offsets.to_numpy()))
-    following, counts = lists.flatten().to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy()
+    of_lang = np.repeat(lang.indices.to_numpy(), np.diff(flat["h"].offsets.to_numpy()))  # by stripe, as the next two
+    h = flat["h"].flatten().to_numpy().view(np.uint64)
+    prefix = flat["prefix"].flatten().to_numpy().reshape(-1, level)
+    row = np.repeat(np.arange(len(h)), flat["sizes"].flatten().to_numpy())
+    following, counts = flat["nexts"].flatten().to_numpy(), flat["counts"].flatten().to_numpy()
     by_hash = np.argsort(h, kind="stable")
     alike = h[by_hash][1:] == h[by_hash][:-1]
     other = (of_lang[by_hash][1:] != of_lang[by_hash][:-1]) | (prefix[by_hash][1:] != prefix[by_hash][:-1]).any(axis=1)
@@ -260,30 +267,26 @@ def _merge(table: pa.Table, level: int, least: int) -> pa.RecordBatch | None:
     rows = row[starts]
     hashes = _extend(h[row], following.view(np.uint64))
     return pa.RecordBatch.from_arrays([
-        lang.dictionary.take(lang.indices.take(pa.array(rows))),
+        lang.dictionary.take(pa.array(of_lang[rows])),
         pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * level, pa.int32()), pa.array(prefix[rows].ravel())),
         *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (following, sums, hashes.view(np.int64))],
     ], ["lang", "prefix", "nexts", "counts", "hashes"])
 
 
 def _merger(level: int, least: int):
-    """Merged stripes of rows sorted by (h, segment); a segment is merged once its last row has come."""
+    """Merged stripes of rows sorted by shard; a shard is merged once its last row has come."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not len(batch):
-                continue
-            h, segment = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            last = int(np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (segment[1:] != segment[:-1])))[-1])
-            begun = bool(held) and (held[-1].column(1)[-1].as_py(), held[-1].column(2)[-1].as_py()) == (h[0], segment[0])
-            if last == 0 and begun:
-                held.append(batch)
-                continue
-            out = _merge(pa.Table.from_batches([*held, batch.slice(0, last)]), level, least) if held or last else None
-            if out is not None:
-                yield out
-            held = [batch.slice(last)]
+            shard = batch.column(1).to_numpy()
+            borders = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+            for start, end in zip(borders, [*borders[1:], len(shard)]):
+                if held and held[-1].column(1)[-1].as_py() != shard[start]:
+                    if (out := _merge(pa.Table.from_batches(held), level, least)) is not None:
+                        yield out
+                    held = []
+                held.append(batch.slice(start, end - start))
         if held and (out := _merge(pa.Table.from_batches(held), level, least)) is not None:
             yield out
 
@@ -338,8 +341,10 @@ def phrase_stripes(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple
         parts = heavy.column("h").to_numpy().view(np.uint64), np.minimum(heavy.column("cut").to_numpy() + 1, 32)
         order = np.argsort(parts[0])
         sent = spark.sparkContext.broadcast((_bitmap(known, count), (parts[0][order], parts[1][order])))
-        made = docs.mapInArrow(_lazily(level, sent, clashing), _STRIPE)
-        dealt = made.repartition("h", "segment").sortWithinPartitions("h", "segment")
+        # As many shards as keep the occurrences of each within SHARD, and some for every partition.
+        shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+        made = docs.mapInArrow(_lazily(level, sent, clashing, shards), _STRIPE)
+        dealt = made.repartition("shard").sortWithinPartitions("shard")
         merged = stage(dealt.mapInArrow(_merger(level, least), _MERGED), f"stripes-{level}")
         tables.append(merged)
         known = merged.select(F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("counts").alias("f"))).alias("x")).select("x.*")
@@ -349,9 +354,9 @@ def phrase_stripes(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple
     return words, stripes
 
 
-def _lazily(level: int, sent, clashing: np.ndarray):
+def _lazily(level: int, sent, clashing: np.ndarray, shards: int):
     """The stripe maker, built from the broadcast where it runs."""
-    return lambda batches: _stripe_maker(level, *sent.value, clashing)(batches)
+    return lambda batches: _stripe_maker(level, *sent.value, clashing, shards)(batches)
 
 
 def _first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,9 @@ def texts():
 def awkward(spark):
     rows = [(i, t, [None, "en", "de"][k % 3], [None, "s1", "s2", "ü"][k % 4], k) for k, (i, t) in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n bigint").repartition(4)
-    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)]).cache()
+    df = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)]).cache()
+    yield df
+    df.unpersist()
 
 
 @pytest.fixture(scope="module")

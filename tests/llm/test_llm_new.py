@@ -185,10 +185,11 @@ def test_crown_members_are_hashed_piece_by_piece(spark):
 
 def plain_collocations(rows, least, longest, top):
     out = []
-    for lang in sorted({r[0] or "und" for r in rows}):
+    named = lambda own: "und" if own is None else own
+    for lang in sorted({named(r[0]) for r in rows}):
         f = Counter()
         for own, text in rows:
-            if (own or "und") == lang:
+            if named(own) == lang:
                 for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
                     words = re.findall(r"[^\x20\x09]+", piece)
                     f.update(tuple(words[i : i + m]) for m in range(1, longest + 1) for i in range(len(words) - m + 1))
@@ -238,12 +239,12 @@ def test_stripes_with_small_buffers():
     for flush, limit, cut in ((1 << 21, 1 << 20, 0), (13, 64, 0), (50, 1000, 3)):
         collocations.FLUSH, collocations.LIMIT = flush, limit
         try:
-            prefixes = mixed = np.unique(np.concatenate([collocations._begin(c, lang) for lang, c, *_ in collocations._coded([batch], none)]))
-            heavy = (prefixes, np.full(len(mixed), cut)) if cut else (none, none)
-            parts = list(collocations._stripe_maker(1, bits, heavy, none)([batch.slice(0, 20), batch.slice(20)]))
+            prefixes = np.unique(np.concatenate([collocations._begin(c, lang) for lang, c, *_ in collocations._coded([batch], none)]))
+            heavy = (prefixes, np.full(len(prefixes), cut)) if cut else (none, none)
+            parts = list(collocations._stripe_maker(1, bits, heavy, none, 7)([batch.slice(0, 20), batch.slice(20)]))
         finally:
             collocations.FLUSH, collocations.LIMIT = 1 << 21, 1 << 20
-        stripes = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("segment", "ascending")])
+        stripes = pa.Table.from_batches(parts).sort_by("shard")
         merged = list(collocations._merger(1, 1)(stripes.to_batches(max_chunksize=5)))
         got = Counter({(lang, p[0], w): n for b in merged for lang, p, ws, ns, _ in zip(*(c.to_pylist() for c in b.columns)) for w, n in zip(ws, ns)})
         want = want or got

@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from doclabel.llm import quality, rules
 from doclabel.llm.queries import ORACLES, QUERIES, table
+from doclabel.staging import stage
 from suite import check
 
 CONTRACT = {
@@ -17,6 +18,8 @@ CONTRACT = {
     "op3_": "doc_id size source_size target taken", "op4_": "doc_id", "op5_": "doc_id held_out score predicted",
     "op6_": "doc_id n_bytes n_tokens over_limit", "op7_": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op8_": "page_id url text n_chars", "op9_": "doc_id n_lines n_dropped kept_sha256", "op10_": "doc_id n_shingles component_id kept",
+    "op11_": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12_": "lang rank phrase a l r n score",
+    "op13_": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -34,8 +37,8 @@ def test_query_equals_sql(spark, con, sf_dir, name, monkeypatch):
     assert verdict == "ok" and rows > 0
 
 
-def test_ten_queries_with_the_contract_columns(spark, sf_dir):
-    assert len(QUERIES) == 10
+def test_queries_with_the_contract_columns(spark, sf_dir):
+    assert len(QUERIES) == len(CONTRACT) == 13
     for prefix, columns in CONTRACT.items():
         (name,) = [n for n in QUERIES if n.startswith(prefix)]
         if name not in ORACLES:
@@ -154,18 +157,18 @@ def test_pipeline_against_plain_python(spark, sf_dir):
     """Each stage on what the one before kept, against a plain version."""
     from .plain import component_roots, contaminated, frequent_lines
 
-    docs = table(spark, sf_dir, "documents").cache()
+    docs = table(spark, sf_dir, "documents")
     columns = docs.columns
     bench = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "source_mixing"]
     order = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[0])
     steps = dict(corpus_pipeline.STAGES)
 
-    good = steps["quality_classifier"](spark, docs, sf_dir).cache()
+    good = stage(steps["quality_classifier"](spark, docs, sf_dir), "good")
     scored = {r["doc_id"]: r["predicted"] for r in QUERIES["op5_quality_classifier"](spark, sf_dir).collect()}
     assert order(good) == [r for r in order(docs) if scored[r[0]]] and good.columns == columns
 
-    lined = steps["line_dedup"](spark, good, sf_dir).cache()
+    lined = stage(steps["line_dedup"](spark, good, sf_dir), "lined")
     rows = [r.asDict() for r in good.orderBy("doc_id").collect()]
     drop = frequent_lines([r["text"] for r in rows], 10)
     for r in rows:
@@ -174,12 +177,12 @@ def test_pipeline_against_plain_python(spark, sf_dir):
             r |= {"text": "\n".join(kept), "n_chars": len("\n".join(kept))}
     assert order(lined) == [tuple(r[c] for c in columns) for r in rows] and lined.columns == columns
 
-    single = steps["minhash_near_dedup"](spark, lined, sf_dir).cache()
+    single = stage(steps["minhash_near_dedup"](spark, lined, sf_dir), "single")
     roots = component_roots({r["doc_id"]: r["text"] for r in rows}, 75)
     rows = [r for r in rows if roots[r["doc_id"]] == r["doc_id"]]
     assert order(single) == [tuple(r[c] for c in columns) for r in rows] and single.columns == columns
 
-    clean = steps["benchmark_decontamination"](spark, single, sf_dir).cache()
+    clean = stage(steps["benchmark_decontamination"](spark, single, sf_dir), "clean")
     rows = [r for r in rows if not contaminated(r["text"], bench)[3]]
     assert order(clean) == [tuple(r[c] for c in columns) for r in rows] and clean.columns == columns
 
