@@ -7,13 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclabel.functions.arrays import argmax, log_sum_exp, normalise, with_value
+from doclabel.operators.dictionary import added_gains
 from doclabel.operators.lookup import lookup_join, measured_bytes
 from doclabel.staging import stage
 
@@ -61,8 +60,8 @@ def train_unigram(
 class Scorer:
     """A unigram model made ready for scoring: one staged row per vocabulary word.
 
-    ``gains`` is a sparse vector: place 0 counts the word itself, place 1 + label
-    id holds what the word adds to the class. ``size`` is the table's measured size.
+    A row is sparse: the classes (``labels``) in which the word was seen, and what
+    it adds to each (``gains``). ``size`` is the table's measured size.
     """
 
     by_word: DataFrame
@@ -77,35 +76,23 @@ def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear")
     if mode not in ("linear", "log"):
         raise ValueError("mode must be 'linear' or 'log'")
     totals = model.labels.select("n_words").orderBy("label_id").collect()  # one number per class
-    places = len(totals) + 1
-
-    @F.udf(VectorUDT())
-    def sparse(labels, gains):
-        return Vectors.sparse(places, [0, *(i + 1 for i in labels)], [1.0, *gains])
-
     gain = F.col("n") if mode == "linear" else F.log(F.col("n") + 1)
     cell = F.struct(F.col("label_id").cast("int").alias("label_id"), gain.cast("double").alias("gain"))
     per_word = model.cells.groupBy("key").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     cells = F.coalesce("cells", F.array().cast("array<struct<label_id: int, gain: double>>"))
-    # One call per vocabulary word, when the model is prepared.
     by_word = vocab.select("key").join(per_word, "key", "left").select("key", cells.alias("cells"))
-    by_word = stage(by_word.select("key", sparse("cells.label_id", "cells.gain").alias("gains")), "scorer")
+    by_word = stage(by_word.select("key", F.col("cells.label_id").alias("labels"), F.col("cells.gain").alias("gains")), "scorer")
     return Scorer(by_word, [float(r["n_words"] + model.vocab_size) for r in totals], mode, measured_bytes(by_word))
 
 
 def score_classes(docs: DataFrame, scorer: Scorer, id_col: str = "paper_id", words: str = "Abstract") -> DataFrame:
     """``(id_col, p)``: class probabilities of each word list, in label id order.
 
-    Every word brings one sparse vector, and the vectors of a document are added up.
+    A block of documents, as sparse word counts, is multiplied with a block of the
+    scorer's sparse rows where the documents are; no document is shuffled.
     """
-    tokens = docs.select(id_col, F.explode(words).alias("key"))
-    found = lookup_join(tokens, scorer.by_word, "key", size=scorer.size)
-    added = found.groupBy(id_col).agg(Summarizer.metrics("sum").summary(F.col("gains")).alias("_s"))
-    sums = added.select(id_col, vector_to_array("_s.sum").alias("_sums"))
-    joined = docs.select(id_col).join(sums, id_col, "left")
-    sums_or_none = F.coalesce("_sums", F.array_repeat(F.lit(0.0), len(scorer.smoothing) + 1))
-    return joined.select(id_col, sums_or_none.alias("_sums")).select(
-        id_col, _probabilities(F.col("_sums"), scorer.smoothing, scorer.mode).alias("p"))
+    sums = added_gains(docs, scorer.by_word, id_col, words, len(scorer.smoothing), "_sums", scorer.size)
+    return sums.select(id_col, _probabilities(F.col("_sums"), scorer.smoothing, scorer.mode).alias("p"))
 
 
 def class_scores(

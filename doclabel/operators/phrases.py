@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclabel.functions.text import adjacent_pairs
+from doclabel.operators.dictionary import with_ids
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.ordering import with_dense_id
-from doclabel.operators.tokens import Extent, corpus_extent, gather
+from doclabel.operators.tokens import Extent, corpus_extent
 from doclabel.staging import stage
 
 # Share of the vocabulary size kept as phrases, decimals that decide ties.
@@ -31,11 +32,11 @@ def phrase_word_stream(
     start and is left out; documents without an in-vocabulary word have no row.
     """
     extent = extent or corpus_extent(df, id_col, words)
-    tokens = df.select(id_col, F.posexplode(words).alias("pos", "key"))
+    placed = with_ids(df.select(id_col, words), vocab, words, "stream").select(id_col, "stream")
     if extent.last_id is not None:
-        tokens = tokens.filter((F.col(id_col) != extent.last_id) | (F.col("pos") != extent.last_length - 1))
-    known = lookup_join(tokens, vocab.select("key", "id"), "key")
-    return gather(known, "id", id_col, name="stream")
+        shorter = F.slice("stream", F.lit(1), F.greatest(F.size("stream") - 1, F.lit(0)))
+        placed = placed.withColumn("stream", F.when(F.col(id_col) == extent.last_id, shorter).otherwise(F.col("stream")))
+    return placed.withColumn("stream", F.filter("stream", lambda x: x >= 0)).filter(F.size("stream") > 0)
 
 
 def _border_pairs(stream: DataFrame, id_col: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.ordering import with_dense_id
-from doclabel.operators.vocab import PROPER_NOUN, keep_keys
+from doclabel.operators.selection import first_rows, numbers_first, selectable
+from doclabel.operators.vocab import PROPER_NOUN
 from doclabel.staging import stage
 
 # Decimals that decide ties.
@@ -59,29 +60,41 @@ def tfidf(vocab: DataFrame, docs: DataFrame, label: str = "label", words: str =
     return tfidf_from_parts(parts)
 
 
-def _sort_key(container: DataFrame, attribute: str) -> Column:
-    """Scores are compared after rounding: sums of floats depend on their order."""
-    if container.schema[attribute].dataType.typeName() in ("double", "float"):
-        return F.round(attribute, TIE_DECIMALS)
-    return F.col(attribute)
+def _order(container: DataFrame, attribute: str, descending: bool) -> list[Column]:
+    """Keys whose ascending order ranks the rows by the attribute, then by id, both the same way up or down.
+
+    Scores are compared after rounding: sums of floats depend on their order.
+    """
+    fractional = container.schema[attribute].dataType.typeName() in ("double", "float")
+    by = F.round(attribute, TIE_DECIMALS) if fractional else F.col(attribute)
+    return [*numbers_first(by, descending, fractional), F.col("id") if descending else -F.col("id")]
+
+
+def _best(container: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first ``n`` rows of the order: their border is found by counting, and only they go on."""
+    return first_rows(container, order, n) if selectable(container, order) else container
 
 
 def top_n(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
     """The ``n`` highest rows, ``place`` 0 first; ties: lower id first."""
-    keyed = container.withColumn("_by", _sort_key(container, attribute)).withColumn("_id", F.col("id"))
-    ranked = with_dense_id(keyed, F.desc("_by"), "_id", name="place")
+    order = _order(container, attribute, descending=True)
+    ranked = _ranked(_best(container, n, order), order, "place")
     return ranked.filter(F.col("place") < n).select(*container.columns, "place")
 
 
 def bottom_n(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
     """The ``n`` lowest rows, listed from high to low."""
-    keyed = container.withColumn("_by", _sort_key(container, attribute)).withColumn("_id", F.col("id"))
-    ranked = with_dense_id(keyed, F.asc("_by"), F.desc("_id"), name="_rank")
-    ranked = ranked.filter(F.col("_rank") < n)
+    order = _order(container, attribute, descending=False)
+    ranked = _ranked(_best(container, n, order), order, "_rank").filter(F.col("_rank") < n)
     last = ranked.agg(F.max("_rank")).scalar()
     return ranked.withColumn("place", last - F.col("_rank")).select(*container.columns, "place")
 
 
+def _ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    keys = [f"_by{i}" for i in range(len(order))]
+    return with_dense_id(rows.select("*", *[c.alias(k) for c, k in zip(order, keys)]), *keys, name=name)
+
+
 def bottom_n_proper_nouns(container: DataFrame, n: int, attribute: str = "tfidf") -> DataFrame:
     return bottom_n(container.filter(F.col("tag") == PROPER_NOUN), n, attribute)
 
@@ -92,8 +105,11 @@ def bottom_n_others(container: DataFrame, n: int, attribute: str = "tfidf") -> D
 
 def reduce_vocab(vocab: DataFrame, scores: DataFrame, n: int | None = None) -> DataFrame:
     """Keep the ``n`` best words (default all) as a new vocabulary, best first."""
-    size = vocab.count() if n is None else n
-    return keep_keys(vocab, top_n(scores, size), "place")
+    order = _order(scores, "tfidf", descending=True)
+    best = scores if n is None else _best(scores, n, order)
+    keys = [f"_by{i}" for i in range(len(order))]
+    listed = best.select("key", *[c.alias(k) for c, k in zip(order, keys)])
+    return with_dense_id(vocab.drop("id").join(listed, "key"), *keys).select(*vocab.columns)
 
 
 # --- information gain ---------------------------------------------------------

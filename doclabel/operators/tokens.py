@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclabel.functions.text import clean_words, sample_words, whitespace_words, word_candidates
+from doclabel.operators.dictionary import rewritten
 from doclabel.operators.lookup import lookup_join
 
 
@@ -86,20 +87,15 @@ def gather(tokens: DataFrame, item: str, *by: str, order: str = "pos", name: str
 def select_in_vocab(
     df: DataFrame,
     vocab: DataFrame,
-    id_col: str = "paper_id",
     words: str = "Abstract",
     keep_last: bool = False,
 ) -> DataFrame:
     """Rewrite each word list to the in-vocabulary words and phrases, in order.
 
-    Texts without any such word stay, with an empty list.
+    Texts without any such word stay, with an empty list. Each list is rewritten
+    where it is: the vocabulary visits the texts, and no text is shuffled.
     """
-    tokens = selected_tokens(df, vocab.select("key"), id_col, words=words, keep_last=keep_last)
-    lists = gather(tokens, "key", id_col, name="_words")
-    others = [c for c in df.columns if c != words]
-    joined = df.select(*others).join(lists, id_col, "left")
-    chosen = F.coalesce("_words", F.array().cast("array<string>")).alias(words)
-    return joined.select(*[chosen if c == words else c for c in df.columns])
+    return rewritten(df, vocab, words, keep_last)
 
 
 def sample_selected_words(
@@ -112,5 +108,5 @@ def sample_selected_words(
 ) -> DataFrame:
     """Draw ``n_words`` in-vocabulary words of each text, with replacement."""
     split = df.withColumn(text, whitespace_words(F.col(text)))
-    selected = select_in_vocab(split, vocab, id_col, text)
+    selected = select_in_vocab(split, vocab, text)
     return selected.withColumn(text, sample_words(F.col(text), F.col(id_col), n_words, seed))

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclabel.functions.text import whitespace_words
+from doclabel.operators.dictionary import counted
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.tokens import gather, sample_selected_words, select_in_vocab
-from doclabel.operators.vocab import multi_hot
 from doclabel.staging import stage
 
 # Fixed values of the original models.
@@ -106,7 +106,7 @@ def train_svd_vectors(
     ``dim`` largest singular values, the largest entry of each positive.
     """
     width = dim + oversample
-    selected = select_in_vocab(df.select(id_col, words), vocab, id_col, words)
+    selected = select_in_vocab(df.select(id_col, words), vocab, words)
     cells = selected.select(id_col, F.explode(words).alias("word")).groupBy(id_col, "word").agg(F.count("*").cast("double").alias("n"))
     cells = stage(cells, "counts")
     draws = F.array(*[F.xxhash64(F.col(id_col), F.lit(j), F.lit(seed)) / F.lit(float(1 << 63)) for j in range(width)])
@@ -156,5 +156,4 @@ def doc_vector_counts(
 ) -> DataFrame:
     """Sparse count vectors ``(id_col, id, n)`` of the selected words of each raw text."""
     split = df.select(id_col, text).withColumn(text, whitespace_words(F.col(text)))
-    selected = select_in_vocab(split, container, id_col, text)
-    return multi_hot(selected.select(id_col, F.explode(text).alias("key")), container, id_col)
+    return counted(select_in_vocab(split, container, text), container, id_col, text)

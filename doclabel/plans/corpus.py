@@ -66,7 +66,7 @@ def process_corpus(
     cleaned = stage(clean_papers(raw.select(id_col, text, codes), bank, depth, text, codes), "cleaned")
     vocab = build_phrase_vocab(cleaned, tagger, share, id_col, text)
     labelled = cleaned.filter(F.size(codes) > 0)
-    papers = drop_unusable(select_in_vocab(labelled, vocab, id_col, text), codes, text)
+    papers = drop_unusable(select_in_vocab(labelled, vocab, text), codes, text)
     return Corpus(papers, vocab)
 
 

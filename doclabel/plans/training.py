@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doclabel.functions.arrays import normalise
 from doclabel.operators import labels, splits
-from doclabel.operators.vocab import multi_hot
+from doclabel.operators.dictionary import counted
 
 
 def unigram_training_set(processed: DataFrame, id_col: str = "paper_id") -> DataFrame:
@@ -23,7 +23,7 @@ def unigram_test_matrices(
     ``per_code_counts`` counts every word once per code of its paper.
     """
     test = split.filter(F.col("split") == "test")
-    counts = multi_hot(test.select(id_col, F.explode("Abstract").alias("key")), vocab, id_col)
+    counts = counted(test.select(id_col, "Abstract"), vocab, id_col, "Abstract")
     if per_code_counts:
         sizes = test.select(id_col, F.size("MSCs").alias("_codes"))
         counts = counts.join(sizes, id_col).select(id_col, "id", (F.col("n") * F.col("_codes")).alias("n"))

@@ -51,7 +51,7 @@ def label_papers(
 ) -> DataFrame:
     """Clean, select words, score classes and predict labels: ``(id_col, p, y_hat)``."""
     cleaned = papers.select(id_col, clean_words(F.col(text)).alias(text))
-    selected = select_in_vocab(cleaned, vocab, id_col, text)
+    selected = select_in_vocab(cleaned, vocab, text)
     return predict_thresholds(score_classes(selected, scorer, id_col, text), thresholds)
 
 
