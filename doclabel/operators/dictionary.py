@@ -199,6 +199,26 @@ def _pair_counts(places: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return pairs // width, pairs % width, n
 
 
+def with_counts(df: DataFrame, keyed: DataFrame, words: str, n_keys: int, name: str) -> DataFrame:
+    """Add ``name``: how often each of the ``n_keys`` keys (``id`` from 0) is in the list."""
+    place, width = df.columns.index(words), len(df.columns)
+    names, schema = [*df.columns, name], T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+
+    def visit(rows: DataFrame, sent: Broadcast[Block], first: bool, last: bool) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = sent.value.columns["id"].to_numpy()
+            for part, flat, offsets in unfolded(batches, place):
+                row, at, n = _pair_counts(sent.value.places(flat), offsets)
+                counts = np.bincount(row * n_keys + ids[at], n, len(part) * n_keys).astype(np.int32)
+                if not first:
+                    counts += part.column(width).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], lists_of(pa.array(counts), np.arange(len(part) + 1) * n_keys)], names)
+
+        return rows.mapInArrow(count, schema)
+
+    return visited(df, keyed.select("key", F.col("id").cast("bigint").alias("id")), visit)
+
+
 def added_gains(df: DataFrame, keyed: DataFrame, id_col: str, words: str, n_classes: int, name: str = "sums", size: int | None = None) -> DataFrame:
     """``(id_col, name)``: per list the number of known words, then for each class the gains of its words added up.
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclabel.functions.codes import codes_at_depth, split_codes
+from doclabel.operators.dictionary import with_counts
 from doclabel.operators.lookup import lookup_join
+from doclabel.operators.ordering import with_dense_id
 from doclabel.operators.vocab import keep_keys
 from doclabel.staging import stage
 
@@ -96,7 +98,6 @@ def label_index(df: DataFrame, bank: DataFrame, code: str = "code", name: str =
 
 
 def multi_label_vector(df: DataFrame, bank: DataFrame, codes: str = "MSCs", name: str = "y") -> DataFrame:
-    """Add the vector of class counts over the bank (0/1 for distinct codes)."""
-    keys = F.lit(bank_keys(bank))
-    vector = F.transform(keys, lambda key: F.size(F.filter(codes, lambda code: code == key)))
-    return df.withColumn(name, vector)
+    """Add the vector of class counts over the bank, in id order (0/1 for distinct codes)."""
+    places = with_dense_id(bank.select("key", F.col("id").alias("_id")), "_id", name="id").select("key", "id")
+    return with_counts(df, places, codes, places.count(), name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doclabel.functions.arrays import normalise
 from doclabel.operators import labels, splits
+from doclabel.operators.vectors import N_WORDS, doc_vector_concat
 from doclabel.operators.dictionary import counted
 
 
@@ -41,6 +42,25 @@ def t2v_training_set(
     return splits.split_80_10_10(ready, id_col)
 
 
+def t2v_from_papers(
+    papers: DataFrame,
+    vectors: DataFrame,
+    bank: DataFrame,
+    dim: int,
+    n_words: int = N_WORDS,
+    seed: int = 0,
+    id_col: str = "paper_id",
+    text: str = "Abstract",
+    codes: str = "MSCs",
+) -> DataFrame:
+    """From papers (raw texts, lists of codes) to ``(id_col, vector, y, split)``.
+
+    A text's vector is that of its sampled words end to end, ``y`` marks all of its classes.
+    """
+    made = doc_vector_concat(papers.select(id_col, text, codes), vectors, dim, n_words, seed, id_col, text)
+    return t2v_training_set(made.drop(text), bank, "vector", codes, id_col).select(id_col, "vector", "y", "split")
+
+
 def rnn_training_set(
     processed: DataFrame,
     vectors: DataFrame,
@@ -50,9 +70,13 @@ def rnn_training_set(
     selection: list[str] | None = None,
     id_col: str = "paper_id",
     test_limit: int | None = None,
+    primary: bool = True,
 ) -> DataFrame:
     """Sequence samples ``(id_col, x, length, effective_length, y, split)``.
 
+    ``y`` is the class index of the first code or, without ``primary``, the 0/1
+    vector of all codes over the bank.
+
     Papers whose first code is in the bank (restricted to ``selection``) are
     shuffled with a fixed seed and the tail of that order, 10 % or at most
     ``test_limit`` rows, is the test set.
@@ -60,7 +84,8 @@ def rnn_training_set(
     papers = processed
     if selection is not None:
         papers, bank = labels.select_labels(papers, bank, selection)
-    papers = labels.label_index(labels.primary_label(papers, bank), bank)
+    papers = labels.primary_label(papers, bank)
+    papers = labels.label_index(papers, bank) if primary else labels.multi_label_vector(papers, bank)
     papers = splits.split_tail(papers, splits.shuffle_order(id_col), test_limit)
     papers = splits.with_sequence_length(papers.select(id_col, "Abstract", "y", "split"))
     filled = splits.padded_sequence(papers, vectors, dim, n_steps, id_col)

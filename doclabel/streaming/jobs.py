@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from doclabel.functions.text import clean_words
 from doclabel.operators.models import Scorer, score_classes
 from doclabel.operators.thresholds import DEFAULT_THRESHOLD, predict_thresholds
 from doclabel.operators.tokens import select_in_vocab
+from doclabel.sources.harvest import harvest_union
 
 # Fixed value: Spark's state store that keeps keys on disk (and in the checkpoint), not on the heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,6 +46,44 @@ def stream_ingest(stream: DataFrame, out: str, checkpoint: str, id_col: str = "p
         conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+def stream_revisions(stream: DataFrame, out: str, checkpoint: str, id_col: str = "arXiv_id", latest: str = "Date") -> StreamingQuery:
+    """Write the newest record of each paper whenever a newer one arrives; takes all files landed so far, then stops.
+
+    Pages may overlap, repeat and arrive in any order. State holds the newest
+    ``latest`` value of each paper, on disk. What a batch changes is written under
+    its number and replaces an earlier attempt; :func:`current_records` reads the
+    newest of these rows per paper.
+    """
+    columns, place = stream.columns, stream.columns.index(latest)
+
+    def newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, row = state.get[0] if state.exists else None, None
+        for frame in frames:
+            for values in frame.itertuples(index=False, name=None):
+                if values[place] is not None and (best is None or values[place] > best):
+                    best, row = values[place], values
+        if row is not None:
+            state.update((best,))
+            yield pd.DataFrame([row], columns=columns)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    changed = stream.groupBy(id_col).applyInPandasWithState(newest, stream.schema, f"best {stream.schema[latest].dataType.simpleString()}", "update", GroupStateTimeout.NoTimeout)
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.streaming.stateStore.providerClass")
+    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        return changed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    finally:
+        conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def current_records(spark: SparkSession, out: str, id_col: str = "arXiv_id", latest: str = "Date") -> DataFrame:
+    """The newest record of each paper that :func:`stream_revisions` has written."""
+    return harvest_union(spark.read.parquet(out).drop("batch"), id_col, latest)
+
+
 def label_papers(
     papers: DataFrame,
     scorer: Scorer,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from doclabel.operators import labels, metrics, models, phrases, scores, splits,
 from doclabel.operators.ordering import with_dense_id
 from doclabel.plans import experiments, features, training
 from doclabel.plans.corpus import build_phrase_vocab, process_corpus
-from doclabel.plans.stages import AbstractCleaner, CodeCleaner, ColumnSelector
-from doclabel.sources import containers, harvest, tables
+from doclabel.plans.stages import AbstractCleaner, CodeCleaner, ColumnSelector, UsableFilter, VocabSelector
+from doclabel.sources import containers, harvest, months, tables
+from doclabel.sources import models as model_store
 from doclabel.staging import scratch_path, spread, stage
 from doclabel.streaming import jobs
 from suite import fixtures as fx
@@ -108,6 +110,27 @@ def _(spark, d):
     return harvest.harvest_union(harvest.read_oai_records(spark, fx.cumulative_pages(spark, d)), latest="Date")
 
 
+@query("harvest_store_range", f"""SELECT {RECORD_COLUMNS} FROM ({REVISED_SQL}) WHERE "Date" BETWEEN '2010-06-01' AND '2012-03-31'""")
+def _(spark, d):
+    # The cumulative pages come one after another; revised papers move to later months.
+    path = scratch_path(spark, "months")
+    pages = fx.cumulative_pages(spark, d).removesuffix("*")
+    months.write_months(harvest.read_oai_records(spark, f"{pages}1"), path)
+    for page in (2, 3):
+        months.add_pages(harvest.read_oai_records(spark, f"{pages}{page}"), path)
+    return months.read_range(spark, path, "2010-06-01", "2012-03-31")
+
+
+@query("stream_revisions", f"SELECT {RECORD_COLUMNS} FROM ({REVISED_SQL})")
+def _(spark, d):
+    """The last page lands first; the stream stops, starts again and finds older pages with records that are no longer new."""
+    out, checkpoint, pages = scratch_path(spark, "revisions"), scratch_path(spark, "revision-state"), fx.cumulative_pages(spark, d)
+    for landed in (pages.replace("*", "2"), pages):
+        stream = harvest.stream_oai_records(spark, landed, maxFilesPerTrigger="3")
+        jobs.stream_revisions(stream, out, checkpoint).awaitTermination()
+    return jobs.current_records(spark, out)
+
+
 def stored_papers(spark, d) -> str:
     path = scratch_path(spark, "raw-papers")
     fx.papers(spark, d).write.parquet(path)
@@ -175,6 +198,24 @@ def _(spark, d):
     return topics(model)
 
 
+@query("save_load_ml", "SELECT vec_id, 10 AS classes, true AS same FROM embeddings")
+def _(spark, d):
+    """A network predicts the same after it was stored and loaded."""
+    emb, model = trained_mlp(spark, d)
+    path = scratch_path(spark, "network")
+    model_store.save_model(spark, model_store.StoredML(model), path)
+    again = model_store.load_model(spark, path).predict(emb, "vector").select("vec_id", F.col("p").alias("q"))
+    both = models.predict_mlp(emb, model).join(again, "vec_id")
+    return both.select("vec_id", F.size("q").alias("classes"), (F.col("p") == F.col("q")).alias("same"))
+
+
+@query("save_load_unigram_scores", "SELECT paper_id, label_id, round(p, 6) AS p FROM uni_scores")
+def _(spark, d):
+    path = scratch_path(spark, "topics")
+    model_store.save_model(spark, model_store.StoredUnigram(trained_unigram(spark, d), fx.corpus(spark, d).vocab), path)
+    return class_rows(model_store.load_model(spark, path).predict(fx.corpus(spark, d).papers))
+
+
 @query("load_split", "SELECT paper_id, split FROM split8020")
 def _(spark, d):
     path = scratch_path(spark, "training")
@@ -737,6 +778,33 @@ def _(spark, d):
     return samples.select("paper_id", "length", "effective_length", "y", "split", F.size("x").alias("steps"))
 
 
+@query(
+    "rnn_training_set_all_codes",
+    """SELECT s.paper_id, s.split, string_agg(CASE WHEN c.code IS NULL THEN '0' ELSE '1' END, ',' ORDER BY b.id) AS y
+       FROM samples s CROSS JOIN bank b LEFT JOIN codes c ON c.paper_id = s.paper_id AND c.code = b.key GROUP BY s.paper_id, s.split""",
+)
+def _(spark, d):
+    samples = training.rnn_training_set(cleaned_papers(spark, d), fx.word_vectors(spark, d), fx.bank(spark), fx.VECTOR_DIM, primary=False)
+    return samples.select("paper_id", "split", numbers("y").alias("y"))
+
+
+@query(
+    "t2v_from_papers",
+    f"""SELECT p.paper_id, 200 AS dim, round(coalesce(s.total, 0), 4) AS total, coalesce(c.labels, '') AS labels,
+          CASE WHEN rk < n * 80 // 100 THEN 'train' WHEN rk < n * 90 // 100 THEN 'test' ELSE 'validation' END AS split
+        FROM (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS rk, count(*) OVER () AS n FROM papers) p
+        LEFT JOIN (SELECT paper_id, sum(list_sum(v.vector::DOUBLE[])) AS total FROM ({o.drawn_sql('vec_selected', 25, 7)}) d
+          JOIN word_vectors v ON v.word = d.word GROUP BY paper_id) s ON s.paper_id = p.paper_id
+        LEFT JOIN (SELECT paper_id, string_agg(b.id::VARCHAR, ',' ORDER BY b.id) AS labels FROM codes JOIN bank b ON b.key = code GROUP BY paper_id) c ON c.paper_id = p.paper_id""",
+)
+def _(spark, d):
+    papers = labels.clean_codes(fx.raw_texts(spark, d), fx.bank(spark), 2)
+    made = training.t2v_from_papers(papers, fx.word_vectors(spark, d), fx.bank(spark), fx.VECTOR_DIM, seed=7)
+    classes = F.filter(F.transform("y", lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull())
+    return made.select(
+        "paper_id", F.size("vector").alias("dim"), rounded(arrays.array_sum(F.col("vector").cast("array<double>")), "total", 4), numbers(classes).alias("labels"), "split")
+
+
 @query(
     "unigram_training_set",
     """SELECT s.paper_id, t.id, t.n, round(1.0 / c.k, 6) AS weight, c.k FROM split_test s
@@ -1071,6 +1139,17 @@ def flagship(spark, d):
 query("process_corpus", PROCESSED_SQL)(flagship)
 
 
+@query("save_load_pipeline", PROCESSED_SQL)
+def _(spark, d):
+    """The corpus job as a pipeline of stages: stored before fitting, fitted, stored, loaded and applied."""
+    unfitted, fitted = scratch_path(spark, "pipeline"), scratch_path(spark, "pipeline-model")
+    Pipeline(stages=[CodeCleaner(fx.bank(spark), fx.DEPTH), AbstractCleaner(), VocabSelector(tag_rule=fx.TAG_SQL), UsableFilter()]).save(unfitted)
+    raw = fx.raw_texts(spark, d)
+    Pipeline.load(unfitted).fit(raw).save(fitted)
+    papers = PipelineModel.load(fitted).transform(raw)
+    return papers.select("paper_id", joined("MSCs", "|").alias("codes"), joined("Abstract").alias("words"))
+
+
 @query("tfidf_feature_selection", REDUCED_SQL)
 def _(spark, d):
     corpus = fx.corpus(spark, d)

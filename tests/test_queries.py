@@ -44,6 +44,7 @@ def test_no_cross_join_and_no_one_task_window(spark, sf_dir, name):
 
 
 def test_scans_read_only_needed_columns(spark, sf_dir):
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()  # a cached table would stand in for the scan
     text = plan(QUERIES["strip_math"](spark, sf_dir))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
     text = plan(fx.vocab(spark, sf_dir).filter("tag = 'NNP'").select("key"))
