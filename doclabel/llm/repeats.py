@@ -11,8 +11,13 @@ are the suffixes of the array, their gram the initial bucket.
 * Buckets of several classes are refined: their windows are sorted by bucket
   pointers of later offsets, with updates reused at once (``buckets``).
 * Very frequent grams are told by a bounded sample. Their anchors are dealt by
-  class, not by gram, and their windows are settled by a minimum per window, so
-  no task gets a whole hot bucket. The sample steers the plan, not the result.
+  class, not by gram, and refined further first: an anchor's windows fall into
+  parts by how many grams of the window lie before the anchor, and a part's
+  bucket is the anchor's bucket refined by those at all later and earlier offsets
+  that the part's windows hold whole. Equal windows share part and bucket. Equal
+  parts are one again, and the rest of a sub-bucket is refined as any other. A
+  sub-bucket that is still large ends at its last refinement, whole windows.
+  The sample steers the plan, not the result.
 """
 
 from __future__ import annotations
@@ -27,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclabel.llm.buckets import refine
-from doclabel.llm.common import Rolling, flat_bytes, mix, segments
+from doclabel.llm.common import Rolling, flat_bytes, mix, row_groups, segments
 from doclabel.session import ship_package
-from doclabel.staging import scratch_path
+from doclabel.staging import scratch_path, stage
 
 LENGTH, GRAM = 100, 24
 SAMPLE_DOCS, HOT_SHARE = 8192, 5000
@@ -41,11 +46,12 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass
 class Anchors:
-    """Anchors of some rows: row, first and last owned window (bytes from the row's start), gram and class hashes."""
+    """Anchors of some rows: row, first and last owned window and own place (bytes from the row's start), gram and class hashes."""
 
     row: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    at: np.ndarray
     gram: np.ndarray
     context: np.ndarray
 
@@ -60,7 +66,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, base: int,
     n, total = len(data), int(sizes.sum())
     if not total:
         none = np.zeros(0, np.int64)
-        return Anchors(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Anchors(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     rolling = Rolling(data)
     grams = mix(rolling.grams(gram))
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -79,7 +85,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, base: int,
     spread = ((at - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64) + np.uint64(1)
     context = mix(rolling.ranges(first, last + length) ^ mix(spread))
     shift = base - offsets[row[head]]
-    return Anchors(rows[row[head]], first + shift, last + shift, grams[at], context)
+    return Anchors(rows[row[head]], first + shift, last + shift, at + shift, grams[at], context)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[Anchors]:
@@ -98,7 +104,7 @@ def _of_batch(batch_texts: pa.Array, length: int, gram: int) -> tuple[np.ndarray
     """Bytes, offsets, all anchors in order, a number for (row, class), and whether the class came earlier in the row."""
     data, offsets = flat_bytes(batch_texts)
     parts = list(anchors(data, offsets, length, gram)) or [_anchors(data[:0], np.zeros(1, np.int64), np.zeros(0, np.int64), 0, length, gram)]
-    found = Anchors(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "first", "last", "gram", "context")))
+    found = Anchors(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "first", "last", "at", "gram", "context")))
     place = _in_row(found.name, found.row)
     order = np.argsort(place, kind="stable")
     again = np.zeros(len(order), bool)
@@ -131,11 +137,15 @@ def emit_anchors(keyed: DataFrame, key: str, hot: np.ndarray, length: int, gram:
 
 
 def hot_grams(keyed: DataFrame, key: str, length: int, gram: int) -> np.ndarray:
-    """Grams with at least one in ``HOT_SHARE`` anchors of a sample of about ``SAMPLE_DOCS`` documents: ``HOT_SHARE`` at most."""
+    """Grams with one in ``HOT_SHARE`` anchors of a sample of about ``SAMPLE_DOCS`` documents, or, by the sample, ``BUCKET_ROWS`` in all.
+
+    A gram is seen 8 times at least, so the sample's anchors bound their number.
+    """
     n = keyed.count()
     chosen = keyed if n <= SAMPLE_DOCS else keyed.filter(F.pmod(F.xxhash64(key, F.lit("hot")), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / n))
     seen = emit_anchors(chosen, key, np.zeros(0, np.uint64), length, gram).groupBy("q").agg(F.count("*").alias("n"))
-    floor = max(8, (n and seen.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    share = (n and seen.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    floor = max(8, min(share, BUCKET_ROWS * min(SAMPLE_DOCS, n) // max(n, 1)))
     return np.sort(np.array([r["q"] for r in seen.filter(F.col("n") >= floor).collect()], np.int64).view(np.uint64))
 
 
@@ -143,7 +153,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (q, c, d) in, (d, code) out: the class name with what is to happen to its anchor in document d.
 
     Buckets are looked at whole up to ``BUCKET_ROWS`` rows; a larger one is taken
-    piece by piece, and the first of each class is spread over its windows.
+    piece by piece, and the first of each class is refined by its parts.
     """
 
     def judged(q, c, d, hot, opened, big):
@@ -156,7 +166,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = hot | (q == big if big is not None else False)
         code = np.where(new_c, np.where(spread, SPREAD, np.where(classes > 1, REFINE, 0)), np.where(hot, 0, DUPLICATE))
         keep = code > 0
-        name = Anchors(d, d, d, q.view(np.uint64), c.view(np.uint64)).name[keep] | code[keep].astype(np.uint64)
+        name = Anchors(d, d, d, d, q.view(np.uint64), c.view(np.uint64)).name[keep] | code[keep].astype(np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(name.view(np.int64))], ["d", "code"])
 
     rest, opened, big = None, None, None
@@ -200,8 +210,8 @@ def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([*pieces, text[at:]])
 
 
-_SPAN = pa.struct([("q", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())])
-_STATE = "_key bigint, doc_id bigint, done boolean, body binary, n_bytes bigint, spans array<int>, ranges array<int>, refine array<struct<q: bigint, first: int, bytes: binary>>, spread array<struct<q: bigint, first: int, bytes: binary>>"
+_SPAN = pa.struct([("q", pa.int64()), ("first", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
+_STATE = "_key bigint, doc_id bigint, done boolean, body binary, n_bytes bigint, spans array<int>, ranges array<int>, refine array<struct<q: bigint, first: int, at: int, bytes: binary>>, spread array<struct<q: bigint, first: int, at: int, bytes: binary>>"
 
 
 def apply_codes(rows: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame:
@@ -245,7 +255,7 @@ def apply_codes(rows: DataFrame, hot: np.ndarray, length: int, gram: int) -> Dat
                 spans.append([])
                 g = gone[gone_bounds[r] : gone_bounds[r + 1]]
                 ranges.append(np.stack([found.first[g], found.last[g]], 1).ravel().astype(np.int32))
-                made = [(code[i], {"q": int(found.gram[i].view(np.int64)), "first": int(found.first[i]), "bytes": text[found.first[i] : found.last[i] + length]}) for i in mine]
+                made = [(code[i], {"q": int(found.gram[i].view(np.int64)), "first": int(found.first[i]), "at": int(found.at[i]), "bytes": text[found.first[i] : found.last[i] + length]}) for i in mine]
                 refine_.append([m for k, m in made if k == REFINE])
                 spread.append([m for k, m in made if k == SPREAD])
             yield pa.RecordBatch.from_arrays([
@@ -294,13 +304,22 @@ def repeated_windows(spans: list[bytes], keys: np.ndarray, firsts: np.ndarray, l
     return owner[chosen], chosen - begin[owner[chosen]]
 
 
-def refine_buckets(spans: DataFrame, length: int, batch_bytes: int = 1 << 21) -> DataFrame:
-    """Rows (q, d, first, bytes) with all of a bucket in one partition, sorted by q, to (d, first, last) of repeated windows."""
+def refine_buckets(spans: DataFrame, length: int, kept: bool = False, batch_bytes: int = 1 << 21) -> DataFrame:
+    """Rows (q, d, first, bytes) to runs (d, first, last) of their windows: the repeated ones, or the ``kept`` ones.
+
+    A bucket meets in one task, which reads it sorted and refines some buckets at a time.
+    """
 
     def work(held) -> pa.RecordBatch:
         _, keys, firsts, texts = (list(x) for x in zip(*held))
         keys, firsts = np.array(keys, np.int64), np.array(firsts, np.int64)
         span, place = repeated_windows(texts, keys, firsts, length)
+        if kept:
+            n = np.array([len(t) - length + 1 for t in texts])
+            owner, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            stays = np.ones(len(owner), bool)
+            stays[start[span] + place] = False
+            span, place = owner[stays], np.flatnonzero(stays) - start[owner[stays]]
         head = np.flatnonzero(np.r_[True, (span[1:] != span[:-1]) | (place[1:] != place[:-1] + 1)]) if len(span) else np.zeros(0, np.int64)
         tail = np.r_[head[1:], len(span)] - 1 if len(span) else head
         at = firsts[span[head]]
@@ -318,30 +337,74 @@ def refine_buckets(spans: DataFrame, length: int, batch_bytes: int = 1 << 21) ->
         if held:
             yield work(held)
 
-    return spans.repartition("q").sortWithinPartitions("q").mapInArrow(stream, "d bigint, first int, last int")
+    return spans.select("q", "d", "first", "bytes").repartition("q").sortWithinPartitions("q").mapInArrow(stream, "d bigint, first int, last int")
 
 
-def first_windows(spread: DataFrame, length: int) -> DataFrame:
-    """(_key, spread) to (d, first): the first occurrence of every window of the spread anchors, by a minimum per window."""
+def refined_parts(spans: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans (q, d, first, at, bytes) to their parts (q, c, d, first, bytes), q the refined bucket and c the class.
+
+    Part k has the windows in which k whole grams lie before the anchor. Its
+    bucket starts as the anchor's and is refined, offset by offset, by the gram
+    buckets at multiples of ``gram`` bytes before and after the anchor that each
+    of its windows holds; so a sub-bucket agrees in all but less than two grams.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, d, first, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            data, offsets = flat_bytes(batch.column(4))
+            for x, y in row_groups(offsets, Rolling.LIMIT):
+                chunk = data[offsets[x] : offsets[y]]
+                rolling, whole = Rolling(chunk), chunk.tobytes()
+                begin, end = offsets[x:y] - offsets[x], offsets[x + 1 : y + 1] - offsets[x]
+                anchor = begin + at[x:y] - first[x:y]
+                for k in range((length - gram) // gram + 1):
+                    low, high = np.maximum(begin, anchor - gram * (k + 1) + 1), np.minimum(end - length, anchor - gram * k)
+                    i = np.flatnonzero(low <= high)
+                    low, high, place = low[i], high[i], anchor[i]
+                    bucket = mix(q[x:y][i].view(np.uint64) + np.uint64(k + 1))
+                    after = max((length - gram * (k + 2) + 1) // gram, 0)
+                    for j in (*range(1, after + 1), *range(-k, 0)):
+                        bucket = mix(bucket * _ODD ^ mix(rolling.ranges(place + j * gram, place + (j + 1) * gram)))
+                    spread = ((place - low).astype(np.uint64) << np.uint64(32)) + (high - low).astype(np.uint64) + np.uint64(1)
+                    context = mix(rolling.ranges(low, high + length) ^ mix(spread))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(d[x:y][i]), pa.array((first[x:y][i] + low - begin[i]).astype(np.int32)),
+                        pa.array([whole[a:b] for a, b in zip(low.tolist(), (high + length).tolist())], pa.binary())], ["q", "c", "d", "first", "bytes"])
+
+    return spans.select("q", "d", "first", "at", "bytes").mapInArrow(cut, "q bigint, c bigint, d bigint, first int, bytes binary")
+
+
+def first_windows(parts: DataFrame, length: int) -> DataFrame:
+    """Parts (d, first, bytes) to (d, first, last) of each window's first occurrence: buckets refined down to whole windows."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, places = [], []
-                for span in spans:
-                    rolled = Rolling(np.frombuffer(span["bytes"], np.uint8)).grams(length)
-                    hashes.append(rolled)
-                    places.append(span["first"] + np.arange(len(rolled)))
-                hashes, places = np.concatenate(hashes), np.concatenate(places)
-                hashes, at = np.unique(hashes, return_index=True)  # spans are in order: the first place in the document
-                out.append((np.full(len(at), key), mix(hashes), mix(hashes * _ODD + np.uint64(1)), places[at]))
-            if out:
-                d, w1, w2, p = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(d), pa.array(p.astype(np.int32))], ["w1", "w2", "d", "p"])
-
-    rows = spread.filter(F.size("spread") > 0).select("_key", "spread").mapInArrow(windows, "w1 bigint, w2 bigint, d bigint, p int")
-    return rows.groupBy("w1", "w2").agg(F.min("d").alias("d"), F.min_by("p", "d").alias("first")).select("d", "first")
+            d, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            data, offsets = flat_bytes(batch.column(2))
+            for x, y in row_groups(offsets, Rolling.LIMIT):
+                chunk = data[offsets[x] : offsets[y]]
+                n = np.diff(offsets[x : y + 1]) - length + 1
+                owner = np.repeat(np.arange(x, y), n)
+                start = np.arange(len(owner)) + np.repeat(offsets[x:y] - offsets[x] - (np.cumsum(n) - n), n)
+                w1 = Rolling(chunk).grams(length)[start]
+                # Bytes from behind and other numbers for them: a hash of its own.
+                w2 = Rolling(255 - chunk[::-1]).grams(length)[::-1][start]
+                places = first[owner] + start - (offsets[owner] - offsets[x])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(w1).view(np.int64)), pa.array(mix(w2).view(np.int64)), pa.array(d[owner]), pa.array(places.astype(np.int32))], ["w1", "w2", "d", "p"])
+
+    rows = parts.select("d", "first", "bytes").mapInArrow(windows, "w1 bigint, w2 bigint, d bigint, p int")
+    least = rows.groupBy("w1", "w2").agg(F.min(F.struct("d", "p")).alias("m"))
+    return least.select("m.d", F.col("m.p").alias("first"), F.col("m.p").alias("last"))
+
+
+def kept_windows(spread: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans (q, d, first, at, bytes) of hot buckets to the runs (d, first, last) of windows that occur nowhere earlier."""
+    classes = refined_parts(spread, length, gram).groupBy("q", "c").agg(F.min(F.struct("d", "first", "bytes")).alias("m"))
+    parts = stage(classes.select("q", "m.d", "m.first", "m.bytes"), "parts")
+    large = stage(parts.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS).select("q"), "large")
+    kept = refine_buckets(parts.join(large, "q", "left_anti"), length, kept=True)
+    return kept if large.isEmpty() else kept.unionByName(first_windows(parts.join(large, "q", "left_semi"), length))
 
 
 def finish(rows: DataFrame, length: int) -> DataFrame:
@@ -350,11 +413,15 @@ def finish(rows: DataFrame, length: int) -> DataFrame:
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, spans = [], []
-            for text, ranges, spread, refined, firsts in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 6, 7))):
-                pairs = [*zip(ranges[0::2], ranges[1::2]), *((x >> 32, x & 0xFFFFFFFF) for x in refined)]
-                kept = set(firsts)
-                pairs += [(p, p) for s in spread for p in range(s["first"], s["first"] + len(s["bytes"]) - length + 1) if p not in kept]
-                got = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+            for text, ranges, spread, refined, kept in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 6, 7))):
+                packed, stays = np.array(refined, np.int64), np.sort(np.array(kept, np.int64))
+                places = np.concatenate([np.zeros(0, np.int64), *(np.arange(s["first"], s["first"] + len(s["bytes"]) - length + 1) for s in spread)])
+                if len(stays):
+                    run = np.searchsorted(stays >> 32, places, side="right") - 1
+                    places = places[(run < 0) | (places > (stays & 0xFFFFFFFF)[run])]
+                gone = [np.array(ranges, np.int64).reshape(-1, 2), np.stack([packed >> 32, packed & 0xFFFFFFFF], 1), np.stack([places, places], 1)]
+                got = np.concatenate(gone)
+                got = got[np.lexsort((got[:, 1], got[:, 0]))]
                 _, start, stop = _merged(np.zeros(len(got), np.int64), got[:, 0], got[:, 1] + length)
                 bodies.append(_cut(text, start, stop))
                 spans.append(np.stack([start, stop], 1).ravel().astype(np.int32))
@@ -391,12 +458,14 @@ def remove_repeats(keyed: DataFrame, key: str, length: int = LENGTH, gram: int =
     apply_codes(coded, hot, length, gram).write.option("compression", "zstd").parquet(path)
     state = spark.read.schema(_STATE).parquet(path)
     pending = state.filter("NOT done")
-    spans = pending.select(F.col("_key").alias("d"), F.explode("refine").alias("s")).select("s.q", "d", "s.first", "s.bytes")
-    refined = refine_buckets(spans, length).select("d", F.shiftleft(F.col("first").cast("bigint"), 32).bitwiseOR(F.col("last").cast("bigint")).alias("range"), F.lit(None).cast("int").alias("first"))
-    firsts = first_windows(pending, length).select("d", F.lit(None).cast("bigint").alias("range"), "first")
-    found = refined.unionByName(firsts).groupBy(F.col("d").alias("_key")).agg(F.collect_list("range").alias("refined"), F.collect_list("first").alias("firsts"))
+    spans = lambda column: pending.select(F.col("_key").alias("d"), F.explode(column).alias("s")).select("d", "s.*")
+    run = F.shiftleft(F.col("first").cast("bigint"), 32).bitwiseOR(F.col("last").cast("bigint"))
+    none = F.lit(None).cast("bigint")
+    refined = refine_buckets(spans("refine"), length).select("d", run.alias("gone"), none.alias("kept"))
+    kept = kept_windows(spans("spread"), length, gram).select("d", none.alias("gone"), run.alias("kept"))
+    found = refined.unionByName(kept).groupBy(F.col("d").alias("_key")).agg(F.collect_list("gone").alias("gone"), F.collect_list("kept").alias("kept"))
+    empty = F.array().cast("array<bigint>")
     ended = pending.join(found, "_key", "left").select(
-        "_key", "doc_id", "body", "n_bytes", "ranges", "spread",
-        F.coalesce("refined", F.array().cast("array<bigint>")).alias("refined"), F.coalesce("firsts", F.array().cast("array<int>")).alias("firsts"))
+        "_key", "doc_id", "body", "n_bytes", "ranges", "spread", F.coalesce("gone", empty).alias("gone"), F.coalesce("kept", empty).alias("kept"))
     settled = state.filter("done").select("_key", "doc_id", "n_bytes", "spans", F.col("body").alias("kept"))
     return settled.unionByName(finish(ended, length))
