@@ -4,8 +4,9 @@ Each permutation of the shingles gives two signature values, the least and the
 greatest hash, so that one hash evaluation serves two. Equal sets are one class
 from the start; class representatives that share a band are candidates. A band's
 bucket is never unfolded into pairs: its first member is compared with all
-others, and members which that leaves outside become leaders in later rounds
-until no pair of different components is untested.
+others. Buckets which that leaves in several components are compared block by
+block, each member's set sent once per bucket, and only where sizes and rare
+shingles leave a link possible.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from doclabel.staging import stage
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4  # 64 permutations; a pair at 0.75 shares no band with a chance of about 5 in a million
-LEADERS = 16  # further leaders of a bucket in one round,
-MANY_LEADERS, MEDIUM_BUCKET = 64, 1000  # more of them in buckets of this size at most, and all members at once in buckets of up to MANY_LEADERS
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 2_000_000  # members of a bucket, and their shingles, that are compared as one block
 GROUP_BYTES, BLOCK = 1 << 20, 1 << 14
 _INSIDE, _LOW = word_table(b" \t\n\x0b\x0c\r")
+_DEALT = pa.schema([
+    ("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("key", pa.int64()), ("root", pa.int64()),
+    ("n", pa.int64()), ("high", pa.int64()), ("opened", pa.binary()), ("shingles", pa.binary())])
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(64)]
 
 
@@ -184,29 +187,119 @@ def partner_limits(texts: DataFrame, sizes: DataFrame, size: int, percent: int)
     return limits, pairs.distinct()
 
 
-def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    pairs = pairs.distinct()
-    return stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of each slice of ``values`` between two offsets; slices may be empty."""
+    total = np.r_[0, np.cumsum(values, dtype=np.int64)]
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def block_links(bucket: int, same: bool, side, keys, roots, n, high, opened, sets, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of the members of one block, or of two blocks of a bucket.
+
+    A pair without a common rare shingle can be linked only if each size is at
+    most the other's ``high``; then the smaller member's ``high`` is at least its
+    own size, so that only such members lead, each against those not smaller. A
+    pair that shares a smaller bucket is compared there. Every compared pair is
+    compared on its whole sets.
+    """
+    order = np.lexsort((keys, n))
+    side, keys, n, high = side[order], keys[order], n[order], high[order]
+    _, group = np.unique(roots[order], return_inverse=True)
+    flat = lambda rows: (np.unique(np.concatenate(rows), return_inverse=True)[1], np.r_[0, np.cumsum([len(r) for r in rows])])
+    shingle, ends = flat([sets[i] for i in order])
+    earlier, stops = flat([opened[i][opened[i] < bucket] for i in order])
+    has, shares = np.zeros(len(shingle), bool), np.zeros(len(earlier) + 1, bool)
+    links = []
+    for x in np.flatnonzero(high >= n).tolist():
+        y = np.arange(x + 1, np.searchsorted(n, min(high[x], 100 * n[x] // percent), side="right"))
+        y = y[(group[y] != group[x]) & (high[y] >= n[x])]
+        y = y if same else y[side[y] != side[x]]
+        if not len(y):
+            continue
+        first, last = y[0], y[-1] + 1
+        shares[earlier[stops[x] : stops[x + 1]]] = True
+        y = y[_sums(shares[earlier[stops[first] : stops[last]]], stops[first : last + 1] - stops[first])[y - first] == 0]
+        shares[earlier[stops[x] : stops[x + 1]]] = False
+        if not len(y):
+            continue
+        first, last = y[0], y[-1] + 1
+        has[shingle[ends[x] : ends[x + 1]]] = True
+        both = _sums(has[shingle[ends[first] : ends[last]]], ends[first : last + 1] - ends[first])[y - first]
+        has[shingle[ends[x] : ends[x + 1]]] = False
+        for z in y[100 * both >= percent * (n[x] + n[y] - both)].tolist():
+            if group[z] != group[x]:
+                links.append((int(keys[x]), int(keys[z])))
+                group[group == group[z]] = group[x]
+    return links
+
+
+def compared_blocks(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Members (bucket, key, root, n, high) of buckets to the links (a, b) that join their components.
+
+    A bucket is cut into blocks of bounded size, and a task gets two of them at
+    a time. A text is read once; its set goes to the blocks its key is compared in.
+    """
+    width = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = members.groupBy("bucket").agg(width.alias("blocks"))
+    own = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
+    of_key = members.join(blocks, "bucket").groupBy("key").agg(
+        F.first("root").alias("root"), F.first("n").alias("n"), F.first("high").alias("high"), F.sort_array(F.collect_list(F.struct("bucket", "blocks", own.alias("own")))).alias("places"))
+    schema = "bucket bigint, i int, j int, side int, key bigint, root bigint, n bigint, high bigint, opened binary, shingles binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, roots, n, high, places = (batch.column(i).to_pylist() for i in range(1, 6))
+            out, held = [], 0
+            for r, s in enumerate(shingle_sets(batch.column(0), size)):
+                whole = s.tobytes()
+                opened = np.array([x["bucket"] for x in places[r]], np.int64).tobytes()
+                for x in places[r]:
+                    for other in range(x["blocks"]):
+                        out.append((x["bucket"], min(x["own"], other), max(x["own"], other), x["own"], keys[r], roots[r], n[r], high[r], opened, whole))
+                        held += len(whole)
+                        if held >= GROUP_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _DEALT.types)], schema=_DEALT)
+                            out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _DEALT.types)], schema=_DEALT)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows):
+            bucket, i, j = rows[0][:3]
+            numbers = [np.array(c, np.int64) for c in list(zip(*rows))[3:8]]
+            found = block_links(bucket, i == j, *numbers, [np.frombuffer(r[8], np.int64) for r in rows], [np.frombuffer(r[9], np.uint64) for r in rows], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        rows = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[:3] != rows[0][:3]:
+                    yield links(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield links(rows)
+
+    dealt = texts.join(of_key, "key").select("text", "key", "root", "n", "high", "places").mapInArrow(deal, schema)
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a bigint, b bigint")
 
 
 def link_classes(reps: DataFrame, texts_of, size: int, percent: int) -> DataFrame | None:
     """Components (node, root) of class representatives (key, n_shingles, buckets); None without any link.
 
-    ``texts_of(keys)`` gives (key, text) of the candidates. Round one compares
-    the least member of each bucket with the others. Members that are not in the
-    component of their bucket's least member then become leaders, some per bucket
-    and round, and are compared with the members of other components. Pairs that
-    their sizes and rare shingles rule out are not compared; every other pair that
-    shares a bucket is tested or already connected in the end.
+    ``texts_of(keys)`` gives (key, text) of the candidates. First the least
+    member of each bucket is compared with the others. Buckets whose members are
+    then of several components are compared in blocks. Pairs that their sizes and
+    rare shingles rule out are not compared; every other pair that shares a
+    bucket is tested or already connected in the end.
     """
     rows = stage(reps.select("key", F.explode("buckets").alias("bucket")), "bands")
     # Bands of near copies often hold the very same members: one such bucket serves for all.
     heads = (
         rows.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("m1"), F.bit_xor(F.xxhash64("key", F.lit("m"))).alias("m2"))
-        .filter("n > 1").groupBy("head", "n", "m1", "m2").agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "head", F.when(F.col("n") <= MANY_LEADERS, 0).when(F.col("n") <= MEDIUM_BUCKET, MANY_LEADERS).otherwise(LEADERS).cast("bigint").alias("slots"))
+        .filter("n > 1").groupBy("head", "n", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket", "head")
     )
-    members = stage(rows.join(heads, "bucket").select("bucket", "key", "head", "slots"), "members")
+    members = stage(rows.join(heads, "bucket").select("bucket", "key", "head"), "members")
     if members.isEmpty():
         return None
     sizes = stage(reps.join(members.select("key").distinct(), "key", "left_semi").select("key", "n_shingles"), "candidates")
@@ -215,49 +308,30 @@ def link_classes(reps: DataFrame, texts_of, size: int, percent: int) -> DataFram
     for side in ("a", "b"):
         first = first.join(sizes.select(F.col("key").alias(side), F.col("n_shingles").alias(f"n{side}")), side)
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    tested = _untested(first.filter(fits).select("a", "b"), None)
-    links = stage(confirmed(tested, texts, size, percent), "links")
+    links = stage(confirmed(stage(first.filter(fits).select("a", "b"), "pairs"), texts, size, percent), "links")
     roots = None if links.isEmpty() else components(links)
 
-    def placed(open_: DataFrame) -> DataFrame:
-        return _rooted(_rooted(open_, "head", roots).withColumnRenamed("root", "home"), "key", roots)
-
-    outside = (F.col("root") != F.col("home")) & (F.col("key") != F.col("head"))
-    now = stage(placed(members), "placed")
-    now = now.join(now.filter(outside).select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "head", "slots")
+    # Roots are looked up once for a candidate; a bucket of one component is done.
+    rooted = stage(_rooted(sizes, "key", roots), "rooted")
+    placed = stage(members.join(rooted, "key").select("bucket", "key", "root"), "placed")
+    several = placed.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("bucket")
+    now = stage(placed.join(several, "bucket", "left_semi"), "open")
+    if now.isEmpty():
+        return roots
     limits, special = partner_limits(texts.join(now.select("key").distinct(), "key", "left_semi"), sizes, size, percent)
-    limits = stage(limits, "limits")
     for side in ("a", "b"):
-        special = _rooted(special, side, roots).withColumnRenamed("root", f"r{side}")
-        special = special.join(sizes.select(F.col("key").alias(side), F.col("n_shingles").alias(f"n{side}")), side)
-    special = special.filter((F.col("ra") != F.col("rb")) & fits).select("a", "b")
-    now = now.join(limits, "key")
-    least = now.groupBy("bucket").agg(F.min("n").alias("least"))
-    # A member whose partners would have to be smaller than all of the bucket need not lead.
-    led = F.col("high") < F.col("least")
-    open_ = now.join(least, "bucket").select("bucket", "key", "head", "slots", "n", "high", led.alias("led"))
-    while True:
-        here = stage(placed(open_), "open")
-        slot = F.when(F.col("slots") == 0, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.greatest("slots", F.lit(1))))
-        lead = [F.min("key").alias("lead"), *(F.min_by(c, "key").alias(f"lead_{c}") for c in ("n", "high", "root"))]
-        leaders = stage(here.filter(outside & ~F.col("led")).groupBy("bucket", slot.alias("slot")).agg(*lead).drop("slot"), "leaders")
-        if leaders.isEmpty() and special is None:
-            return roots
-        possible = (F.col("n") <= F.col("lead_high")) & (F.col("lead_n") <= F.col("high")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
-        met = here.join(leaders, (here["bucket"] == leaders["bucket"]) & (F.col("root") != F.col("lead_root")) & possible)
-        met = met.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
-        pairs = _untested(met if special is None else met.unionAll(special), tested)
-        special = None
-        tested = tested.unionAll(pairs)
-        found = stage(confirmed(pairs, texts, size, percent), "links")
-        if not found.isEmpty():
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else None
-            roots = components(found if known is None else found.unionAll(known))
-        still = here.join(leaders.select("bucket").distinct(), "bucket", "left_semi")
-        picked = leaders.select("bucket", F.col("lead").alias("key"), F.lit(True).alias("now"))
-        done = (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")
-        # Fewer are left each time, and all must have their turn.
-        open_ = still.join(picked, ["bucket", "key"], "left").select("bucket", "key", "head", F.least(F.col("slots") * 64, F.lit(1 << 40)).alias("slots"), "n", "high", done)
+        special = special.join(rooted.select(F.col("key").alias(side), F.col("root").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}")), side)
+    special = stage(special.filter((F.col("ra") != F.col("rb")) & fits).select("a", "b"), "pairs")
+    now = now.join(limits.filter(100 * F.col("high") >= percent * F.col("n")), "key")
+    # Only members that may have a partner of their own size lead; a bucket without one holds no further link.
+    lead = F.when(F.col("high") >= F.col("n"), F.col("n"))
+    least = now.groupBy("bucket").agg(F.min(lead).alias("least"), F.count("*").alias("members")).filter("members > 1 AND least IS NOT NULL")
+    now = stage(now.join(least, "bucket").filter(F.col("high") >= F.col("least")).select("bucket", "key", "root", "n", "high"), "now")
+    found = stage(compared_blocks(now, texts, size, percent).unionAll(confirmed(special, texts, size, percent)), "links")
+    if found.isEmpty():
+        return roots
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else None
+    return components(found if known is None else found.unionAll(known))
 
 
 def near_duplicates(keyed: DataFrame, key: str, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -446,9 +446,9 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, empty):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_chains_of_near_copies_lose_no_link(spark, monkeypatch, seed):
-    """Copies of copies: members far from a bucket's first are reached through others, in several rounds."""
+    """Copies of copies: members far from a bucket's first are reached through others, in one block or many."""
     rnd = random.Random(seed)
-    monkeypatch.setattr(neardup, "MANY_LEADERS", [32, 2][seed])
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", [1000, 2][seed])
     rows, text = [], [f"t{i}" for i in range(80)]
     for i in range(60):
         if i % 12 == 0:
@@ -461,6 +461,52 @@ def test_chains_of_near_copies_lose_no_link(spark, monkeypatch, seed):
     assert got == plain.component_roots(dict(rows), 75) and len(set(got.values())) < 30
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_of_a_bucket_lose_no_link(seed):
+    """All that sizes and rare shingles allow is found, once over several buckets and pairs of blocks."""
+    rnd = np.random.default_rng(seed)
+    base = np.sort(rnd.choice(10**6, 60, replace=False)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rnd.choice(base, rnd.integers(38, 60), replace=False), rnd.integers(0, 40, rnd.integers(0, 9)).astype(np.uint64)])) for _ in range(50)]
+    n = np.array([len(s) for s in sets])
+    df = {x: sum(x in s for s in map(set, sets)) for x in set(np.concatenate(sets).tolist())}
+    common = np.array([sum(df[x] > 3 for x in s.tolist()) for s in sets])
+    high = common * 100 // 75 - n + common
+    keys, roots = np.arange(50) * 7, rnd.integers(0, 30, 50)
+    held = [np.flatnonzero(rnd.random(6) < 0.6) for _ in sets]  # buckets of each member
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    def joined(pairs):
+        parent.clear()
+        parent.update({int(r): int(r) for r in range(30)})
+        for a, b in pairs:
+            parent[find(int(roots[a // 7]))] = find(int(roots[b // 7]))
+        return {frozenset(r for r in range(30) if find(r) == find(s)) for s in range(30)}
+
+    got = []
+    for bucket in range(6):
+        for i in range(3):
+            for j in range(i, 3):
+                at = np.array([k for k in range(50) if bucket in held[k] and k % 3 in (i, j)])
+                got += neardup.block_links(bucket, i == j, at % 3, keys[at], roots[at], n[at], high[at], [held[k] for k in at], [sets[k] for k in at], 75)
+    want = []
+    for a in range(50):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            shared_rare = any(df[x] <= 3 for x in np.intersect1d(sets[a], sets[b]).tolist())
+            if set(held[a]) & set(held[b]) and 100 * both >= 75 * (n[a] + n[b] - both) and not shared_rare:
+                want.append((keys[a], keys[b]))
+    special = [(keys[a], keys[b]) for a in range(50) for b in range(a) if set(held[a]) & set(held[b]) and any(df[x] <= 3 for x in np.intersect1d(sets[a], sets[b]).tolist())
+               and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+    assert want and joined(got + special) == joined(want + special)
+    for a, b in got:
+        assert 100 * len(np.intersect1d(sets[a // 7], sets[b // 7])) >= 75 * len(np.union1d(sets[a // 7], sets[b // 7]))
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
