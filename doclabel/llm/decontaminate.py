@@ -199,7 +199,12 @@ def judge(matched: DataFrame, names: dict[str, str], share: int = SHARE):
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that are not contaminated."""
+    """The rows of ``docs``, all columns unchanged, that are not contaminated.
+
+    Null and empty texts have no words and stay; repeated rows and rows with null
+    ids are judged each by itself. An empty benchmark removes nothing, and an
+    empty table gives an empty result. Other columns pass, whatever their names.
+    """
     matched, names = match_benchmark(docs, benchmark, window)
     _, bad = judge(matched, names, share)
     return matched.filter(~bad).drop(*names.values())

@@ -71,15 +71,20 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     The added column is ``copy`` (a leading underscore if the table has one).
     Targets and draws as in ``mix_plan``; nothing but the source table is joined.
+
+    Null texts have size 0; null sources, null and repeated ids as in
+    ``mix_plan``. Empty tables give empty results. Other columns pass unchanged,
+    whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
     seed = options.pop("seed", SEED)
     plan = mix_plan(docs, seed=seed, **options).groupBy("source").agg(F.max("source_size").alias("z"), F.max("target").alias("t"))
-    rates = stage(plan, "rates").select(F.col("source").alias("_mix_source"), F.col("z").alias("_mix_z"), F.col("t").alias("_mix_t"))
-    rows = docs.withColumn("_mix_on", F.col("source").cast("string"))
+    on, found, z, t = (fresh(docs, f"_mix_{c}") for c in ("on", "source", "z", "t"))
+    rates = stage(plan, "rates").select(F.col("source").alias(found), F.col("z").alias(z), F.col("t").alias(t))
+    rows = docs.withColumn(on, F.col("source").cast("string"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(text.cast("binary"))))
     draw = F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-    rate = F.when(F.col("_mix_z") > 0, F.col("_mix_t") / F.col("_mix_z")).otherwise(0.0)
+    rate = F.when(F.col(z) > 0, F.col(t) / F.col(z)).otherwise(0.0)
     copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("bigint")).cast("int")
-    joined = rows.join(rates, F.col("_mix_on").eqNullSafe(F.col("_mix_source")))
+    joined = rows.join(rates, F.col(on).eqNullSafe(F.col(found)))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias(fresh(docs, "copy")))

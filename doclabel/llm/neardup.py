@@ -361,7 +361,12 @@ def near_duplicates(keyed: DataFrame, key: str, size: int = SHINGLE, percent: in
 
 
 def dedup_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that are the first of their component."""
+    """The rows of ``docs``, all columns unchanged, that are the first of their component.
+
+    Rows without text or words stay. Of repeated rows one stays; rows with null
+    ids come last in the order. An empty table gives an empty result. Other
+    columns pass unchanged, whatever their names.
+    """
     key = fresh(docs, "_key")
     keyed = with_key(docs, key, *[c for c in docs.columns if c != "doc_id"])
     kept = near_duplicates(keyed, key, **options).filter("kept").select(key)

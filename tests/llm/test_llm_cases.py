@@ -15,7 +15,7 @@ from doclabel.llm.common import with_key
 from . import plain
 
 # Names that the operators use themselves.
-CLASHES = ["_key", "key", "score", "n_words", "hits", "items", "matches", "copy", "size", "target", "drops", "_drops", "lines", "q", "d", "root", "kept", "bucket", "weight"]
+CLASHES = ["_key", "key", "score", "n_words", "hits", "items", "matches", "copy", "size", "target", "drops", "_drops", "lines", "q", "d", "root", "kept", "bucket", "weight", "_mix_on", "_mix_source", "_mix_z", "_mix_t", "_part", "_place"]
 
 
 def words(rnd, n, vocabulary=400):
