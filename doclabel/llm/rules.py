@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclabel.llm.common import WHITE, WORD
+from doclabel.operators.lookup import lookup_join
 from doclabel.staging import stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -110,6 +111,13 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return got.select("g", "s", "n", *[f"mean_{i}" for i in range(len(_NAMES))], *cov)
 
 
+def _beside(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Each row once with each estimate of its group. The estimates, one row per group, go to the rows: no group meets in a task."""
+    others = [c for c in params.columns if c != "g"]
+    per_group = stage(params.groupBy("g").agg(F.sort_array(F.collect_list(F.struct(*others))).alias("e")), "estimates")
+    return lookup_join(rows, per_group, "g").select(*rows.columns, F.explode("e").alias("e")).select(*rows.columns, "e.*")
+
+
 def covariance_estimates(rows: DataFrame, steps: int = STEPS, inner: float = INNER) -> DataFrame:
     """Minimum-covariance-determinant estimate of every group ``g``: size n, mean_i and inverse factor m_ij."""
     width = {x: SCALES[x] / 16 for x in _NAMES}
@@ -124,9 +132,10 @@ def covariance_estimates(rows: DataFrame, steps: int = STEPS, inner: float = INN
     second = _moments(rows.withColumn("s", F.lit(1)), 1.0)
     params = stage(_factored(first.unionByName(second)), "estimates")
     for _ in range(steps):
-        near = rows.join(params, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-9) * 50)).select("g", "s", "bin", *_NAMES)
-        limit = stage(_quantile(near.groupBy("g", "s", "bin").agg(F.count("*").alias("n")), ["g", "s"], inner, "limit"), "limits")
-        params = stage(_factored(_moments(near.join(limit, ["g", "s"]).filter("bin <= limit"), CONSISTENCY)), "estimates")
+        place = F.floor(F.log(_distance() + 1e-9) * 50)
+        counts = _beside(rows, params.drop("n")).groupBy("g", "s", place.alias("bin")).agg(F.count("*").alias("n"))
+        limited = params.drop("n").join(_quantile(stage(counts, "distances"), ["g", "s"], inner, "limit"), ["g", "s"])
+        params = stage(_factored(_moments(_beside(rows, limited).filter(place <= F.col("limit")), CONSISTENCY)), "estimates")
     best = params.groupBy("g").agg(F.min_by("s", "log_det").alias("s"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("rows"))
     return params.join(best, ["g", "s"]).join(sizes, "g").drop("s", "n", "log_det").withColumnRenamed("rows", "n")
@@ -153,7 +162,7 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_R
     ranked = levels.select("g2", F.posexplode(F.array("g2", "g1", "g0")).alias("level", "g")).join(estimates, "g")
     finest = ranked.groupBy("g2").agg(F.min("level").alias("level"))
     chosen = stage(ranked.join(finest, ["g2", "level"]).drop("g", "level", "n"), "chosen")
-    judged = stats.join(chosen, "g2", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = lookup_join(stats, chosen, "g2", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
