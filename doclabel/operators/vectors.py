@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from doclabel.functions.text import whitespace_words
 from doclabel.operators.dictionary import counted
 from doclabel.operators.lookup import lookup_join
+from doclabel.operators.skipgram import train_skipgram
 from doclabel.operators.tokens import gather, sample_selected_words, select_in_vocab
 from doclabel.staging import stage
 
@@ -44,14 +45,14 @@ def train_word2vec(
     """Word vectors ``(word, vector)`` of the vocabulary words, trained by MLlib.
 
     Texts are reduced to the vocabulary first, so the trainer's arrays on the
-    driver have the vocabulary's size, which is checked against ``max_bytes``.
+    driver have the vocabulary's size, which is checked against ``max_bytes``; a
+    larger vocabulary is trained by blocks of words (``train_skipgram``).
     The result depends on ``partitions``, never on the number of cores. Words met
     fewer than ``min_count`` times get no vector (the trainer's own default), and
     texts are cut into sentences of ``max_sentence`` words.
     """
-    needed = 8 * dim * vocab.count()
-    if needed > max_bytes:
-        raise ValueError(f"training holds {needed} bytes on the driver, more than {max_bytes}: reduce the vocabulary or the dimension")
+    if 8 * dim * vocab.count() > max_bytes:
+        return train_skipgram(df, vocab, dim, window, words, min_count, epochs=max_iter, seed=seed)
     tokens = lookup_join(df.select(id_col, F.posexplode(words).alias("pos", "key")), vocab.select("key"), "key")
     model = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter, seed=seed,

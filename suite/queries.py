@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclabel.functions import arrays, codes, text
-from doclabel.operators import labels, metrics, models, phrases, scores, splits, thresholds, tokens, vectors, vocab
+from doclabel.operators import labels, metrics, models, phrases, scores, skipgram, splits, thresholds, tokens, vectors, vocab
 from doclabel.operators.ordering import with_dense_id
 from doclabel.plans import experiments, features, training
 from doclabel.plans.corpus import build_phrase_vocab, process_corpus
@@ -854,6 +854,32 @@ def _(spark, d):
     return trained.select("word", F.size("vector").alias("dim"))
 
 
+NEAR_QUERIES, NEAR_SHARE = 400, 0.8
+
+
+@query(
+    "train_skipgram",
+    """SELECT v.key AS word, 16 AS dim, true AS related FROM vocab v JOIN (SELECT word, count(*) AS n FROM tok GROUP BY word) t ON t.word = v.key
+       WHERE n >= 5""",
+)
+def _(spark, d):
+    """Every word met five times with its vector; the nearest words of the most frequent ones are of their language."""
+    corpus, vocab = fx.words(spark, d), fx.vocab(spark, d)
+    trained = stage(skipgram.train_skipgram(corpus, vocab, dim=16, window=5), "skipgram")
+    return trained.select("word", F.size("vector").alias("dim"), F.lit(language_share(spark, d, corpus, trained) >= NEAR_SHARE).alias("related"))
+
+
+def language_share(spark, d, corpus, trained) -> float:
+    """How many of the most frequent words have a nearest word of the same main language."""
+    langs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "lang")
+    tokens_of = corpus.join(langs, "paper_id").select("lang", F.explode("Abstract").alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
+    main = stage(tokens_of.groupBy("word").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.sum("n").alias("n")), "languages")
+    asked = trained.join(main, "word").orderBy(F.desc("n"), "word").limit(NEAR_QUERIES)
+    near = skipgram.nearest_words(trained, asked)
+    both = near.join(main.select(F.col("word").alias("query"), F.col("lang").alias("own")), "query").join(main.select("word", "lang"), "word")
+    return both.agg(F.avg((F.col("lang") == F.col("own")).cast("double"))).first()[0] or 0.0
+
+
 SVD_DIM = 4
 
 
