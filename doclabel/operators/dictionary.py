@@ -1,9 +1,11 @@
 """Keyed tables sent to the rows: word lists are looked up where they are.
 
 A text's words are looked up in a table with one row per key, such as a
-vocabulary. The table is frozen into Arrow arrays, sent to the executors and
-probed by the vectorised hash lookup of Arrow, some hundred texts at a time. No
-token becomes a row and no text is shuffled, however frequent its words are.
+vocabulary. The table is frozen into Arrow arrays in the order of the keys'
+hashes, sent to the executors and searched by the distinct words of some hundred
+texts at a time; what it finds is compared with the words themselves. The order
+is made once, so a look does not take longer because the table is large. No token
+becomes a row and no text is shuffled, however frequent its words are.
 
 The size is measured first. A table beyond the bound is split by a hash of the
 key into blocks within it; the blocks visit the texts one after another and each
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,41 +35,122 @@ from doclabel.staging import stage
 ROWS = 512
 
 
+# Bytes of words that are hashed at a time.
+HASH_BYTES = 1 << 18
+_FACTOR = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided by
+_BYTES = np.random.default_rng(0).integers(1, 1 << 64, 256, np.uint64)  # what a byte stands for
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` + 1 powers of the factor, and of its inverse, modulo 2^64."""
+    both = (_FACTOR, pow(_FACTOR, -1, 1 << 64))
+    return tuple(np.append(np.uint64(1), np.cumprod(np.full(n, f, np.uint64))) for f in both)
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hash of every word (null: as the empty one): a polynomial of its bytes, read off running sums."""
+    _, places, content = words.buffers()
+    wide = pa.types.is_large_string(words.type)
+    ends = np.frombuffer(places, np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    content = np.frombuffer(content or b"", np.uint8)
+    hashes, start = np.empty(len(words), np.uint64), 0
+    while start < len(words):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HASH_BYTES, side="right")) - 1)
+        part, at = content[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
+        up, down = _powers(max(HASH_BYTES, len(part)))
+        sums = np.append(np.uint64(0), np.cumsum(_BYTES[part] * up[: len(part)]))
+        hashes[start:stop] = (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]]
+        start = stop
+    return hashes
+
+
 @dataclass
 class Block:
-    """Keys in one piece, with the columns that belong to them."""
+    """Keys in one piece, in the order of their hashes, with the columns that belong to them."""
 
     keys: pa.Array
+    hashes: np.ndarray
     columns: dict[str, pa.Array]
 
+    @classmethod
+    def of(cls, table: pa.Table) -> Block:
+        """The rows of a table with a ``key``, but for a null key."""
+        arrays = {c: _one(table.column(c)) for c in table.column_names}
+        keys = arrays["key"]
+        hashes = hashes_of(keys) if len(keys) else np.empty(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        order = pa.array(order[keys.is_valid().to_numpy(zero_copy_only=False)[order]])
+        return cls(arrays.pop("key").take(order), hashes[order.to_numpy()], {c: a.take(order) for c, a in arrays.items()})
+
     def places(self, items: pa.Array) -> np.ndarray:
         """Place of every item among the keys, -1 for unknown and null ones."""
-        found = pc.index_in(items, value_set=self.keys, skip_nulls=True)
-        return pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+        coded = items.dictionary_encode()
+        words = coded.dictionary
+        found = np.append(self._places(words), -1)
+        return found[coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The same for distinct words."""
+        found = np.full(len(words), -1)
+        if not len(words) or not len(self.keys):
+            return found
+        hashes = hashes_of(words)
+        order = np.argsort(hashes)  # neighbours are searched one after another
+        at = np.empty(len(words), np.int64)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
+        left = np.arange(len(words))
+        while True:
+            left = left[at[left] < len(self.hashes)]
+            left = left[self.hashes[at[left]] == hashes[left]]
+            if not len(left):
+                return found
+            same = pc.equal(words.take(pa.array(left)), self.keys.take(pa.array(at[left])).cast(words.type)).to_numpy(zero_copy_only=False)
+            found[left[same]] = at[left[same]]
+            left = left[~same]  # another key of the same hash may follow
+            at[left] += 1
 
 
 # What a block does to the rows: (rows, the block, is it the first, is it the last).
 Visit = Callable[[DataFrame, "Broadcast[Block]", bool, bool], DataFrame]
 
 
-def visited(df: DataFrame, keyed: DataFrame, visit: Visit, size: int | None = None) -> DataFrame:
-    """``df`` after the visit of every block of ``keyed`` (unique ``key`` and further columns).
+@dataclass
+class Sent:
+    """Blocks of a keyed table that stay with the executors, for rows that come in parts, such as a stream's."""
 
-    ``size`` is the measured size of ``keyed``, if it is known.
-    """
-    ship_package(df.sparkSession)
+    blocks: list[Broadcast[Block]]
+
+
+def _blocks(keyed: DataFrame, size: int | None = None) -> Iterator[tuple[Broadcast[Block], int]]:
+    """(a block, number of blocks): one after another, none is made before it is asked for."""
     size = lookup.measured_bytes(keyed) if size is None else size
     n = max(1, -(-size // lookup.BROADCAST_BYTES))
-    rows = df
     for number in range(n):
         part = keyed if n == 1 else keyed.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == number)
         table = part.toArrow().combine_chunks()  # its size was measured
-        arrays = {c: _one(table.column(c)) for c in table.column_names}
-        sent = df.sparkSession.sparkContext.broadcast(Block(arrays.pop("key"), arrays))
+        yield keyed.sparkSession.sparkContext.broadcast(Block.of(table)), n
+
+
+def sent_once(keyed: DataFrame, size: int | None = None) -> Sent:
+    """All blocks of a keyed table, sent."""
+    return Sent([block for block, _ in _blocks(keyed, size)])
+
+
+def visited(df: DataFrame, keyed: DataFrame | Sent, visit: Visit, size: int | None = None) -> DataFrame:
+    """``df`` after the visit of every block of ``keyed`` (unique ``key`` and further columns).
+
+    ``size`` is the measured size of ``keyed``, if it is known.
+    """
+    ship_package(df.sparkSession)
+    kept = isinstance(keyed, Sent)
+    rows = df
+    for number, (sent, n) in enumerate([(b, len(keyed.blocks)) for b in keyed.blocks] if kept else _blocks(keyed, size)):
         rows = visit(rows, sent, number == 0, number == n - 1)
         if number < n - 1:
             rows = stage(rows, "visited")
-            sent.unpersist()
+            if not kept:
+                sent.unpersist()
     return rows
 
 
@@ -126,7 +210,7 @@ def with_ids(df: DataFrame, keyed: DataFrame, words: str, name: str) -> DataFram
 _WORD, _PHRASE = 1, 2
 
 
-def rewritten(df: DataFrame, keyed: DataFrame, words: str, keep_last: bool = False) -> DataFrame:
+def rewritten(df: DataFrame, keyed: DataFrame | Sent, words: str, keep_last: bool = False) -> DataFrame:
     """Replace each word list by its words and phrases that are keys of the table, in order.
 
     Every word is followed by the phrase that it opens. The last word of a text
@@ -156,7 +240,25 @@ def rewritten(df: DataFrame, keyed: DataFrame, words: str, keep_last: bool = Fal
         extra = [] if last else [T.StructField(flags, T.ArrayType(T.ByteType()))]
         return rows.mapInArrow(probe, T.StructType([*df.schema.fields, *extra]))
 
-    return visited(df, keyed.select("key"), visit)
+    return visited(df, keyed if isinstance(keyed, Sent) else keyed.select("key"), visit)
+
+
+def kept_words(df: DataFrame, keyed: DataFrame, words: str) -> DataFrame:
+    """Replace each word list by its words that are keys of the table, in order. Null lists become empty ones."""
+    names, place, n, name = df.columns, df.columns.index(words), len(df.columns), "_ids"
+    while name in names:
+        name = "_" + name
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, ids, offsets in unfolded([batch], n):
+                known = ids.to_numpy(zero_copy_only=False) >= 0
+                columns = part.columns[:n]
+                columns[place] = lists_of(part.column(place).flatten().filter(pa.array(known)), np.append(0, np.cumsum(known))[offsets])
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    found = with_ids(df, keyed.select("key", F.lit(0).alias("id")), words, name)
+    return found.mapInArrow(choose, df.schema)
 
 
 def _chosen(words: pa.Array, phrases: pa.Array, found: np.ndarray, offsets: np.ndarray, keep_last: bool) -> pa.ListArray:
@@ -219,7 +321,7 @@ def with_counts(df: DataFrame, keyed: DataFrame, words: str, n_keys: int, name:
     return visited(df, keyed.select("key", F.col("id").cast("bigint").alias("id")), visit)
 
 
-def added_gains(df: DataFrame, keyed: DataFrame, id_col: str, words: str, n_classes: int, name: str = "sums", size: int | None = None) -> DataFrame:
+def added_gains(df: DataFrame, keyed: DataFrame | Sent, id_col: str, words: str, n_classes: int, name: str = "sums", size: int | None = None) -> DataFrame:
     """``(id_col, name)``: per list the number of known words, then for each class the gains of its words added up.
 
     ``keyed`` has sparse rows: the classes of a key (``labels``, from 0) and their
@@ -247,4 +349,6 @@ def added_gains(df: DataFrame, keyed: DataFrame, id_col: str, words: str, n_clas
 
         return rows.mapInArrow(multiply, schema)
 
-    return visited(df.select(id_col, words), keyed.select("key", F.col("labels").cast("array<int>").alias("labels"), "gains"), visit, size).select(id_col, name)
+    if not isinstance(keyed, Sent):
+        keyed = keyed.select("key", F.col("labels").cast("array<int>").alias("labels"), "gains")
+    return visited(df.select(id_col, words), keyed, visit, size).select(id_col, name)
