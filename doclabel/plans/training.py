@@ -9,6 +9,7 @@ from doclabel.functions.arrays import normalise
 from doclabel.operators import labels, splits
 from doclabel.operators.vectors import N_WORDS, doc_vector_concat
 from doclabel.operators.dictionary import counted
+from doclabel.staging import stage
 
 
 def unigram_training_set(processed: DataFrame, id_col: str = "paper_id") -> DataFrame:
@@ -38,7 +39,7 @@ def t2v_training_set(
 ) -> DataFrame:
     """Document vectors with class vectors ``y``; empty ones dropped, then split 80/10/10."""
     ready = labels.multi_label_vector(vectors, bank, codes)
-    ready = ready.filter((F.size(vector) > 0) & (F.size("y") > 0))
+    ready = stage(ready.filter((F.size(vector) > 0) & (F.size("y") > 0)), "ready")  # the split counts ids in several passes
     return splits.split_80_10_10(ready, id_col)
 
 

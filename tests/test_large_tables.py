@@ -55,3 +55,18 @@ def test_kept_words(spark, monkeypatch, bound):
     assert found.schema == df.schema
     kept = sorted(((r[0] or 0, tuple(r[1])) for r in found.collect()))
     assert kept == [(0, ()), (1, ()), (1, ("a", "c", "a")), (4, ()), (5, ("c",) * 2000)]
+
+
+def test_document_vectors_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def made(i):
+        calls.add(1)
+        return [float(i)]
+
+    ids = spark.range(5000, numPartitions=3).select(F.col("id").alias("paper_id"), F.array(F.lit("X")).alias("MSCs"))
+    bank = spark.createDataFrame([("X", 0, "")], "key string, id int, description string")
+    split = training.t2v_training_set(ids.withColumn("vector", made.asNondeterministic()("paper_id")), bank)
+    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert sizes == {"train": 4000, "test": 500, "validation": 500} and calls.value == 5000
