@@ -49,11 +49,12 @@ def train_unigram(
         .groupBy("key", "label_id")
         .agg(F.count("*").alias("n"))
     )
-    cells = counts.join(vocab.select("key", F.col("id").alias("word_id")), "key")
+    cells = counts.join(vocab.select("key", F.col("id").alias("word_id")), "key").select("label_id", "word_id", "key", "n")
+    cells = stage(cells, "cells")  # the totals, the scorer and whoever stores the model read them
     totals = cells.groupBy("label_id").agg(F.sum("n").alias("n_words"))
     labels = bank.select(F.col("id").alias("label_id"), F.col("key").alias("code")).join(totals, "label_id", "left")
     labels = labels.withColumn("n_words", F.coalesce("n_words", F.lit(0)))
-    return UnigramModel(cells.select("label_id", "word_id", "key", "n"), labels, vocab.count())
+    return UnigramModel(cells, labels, vocab.count())
 
 
 @dataclass

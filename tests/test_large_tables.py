@@ -70,3 +70,25 @@ def test_document_vectors_are_made_once(spark):
     split = training.t2v_training_set(ids.withColumn("vector", made.asNondeterministic()("paper_id")), bank)
     sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     assert sizes == {"train": 4000, "test": 500, "validation": 500} and calls.value == 5000
+
+
+def counting(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(n):
+        calls.add(1)
+        return n
+
+    return calls, seen.asNondeterministic()
+
+
+def test_class_counts_are_made_once(spark):
+    calls, seen = counting(spark)
+    papers = spark.createDataFrame([(i, ["alpha", "beta"], ["X"]) for i in range(20)], "paper_id bigint, Abstract array<string>, MSCs array<string>")
+    vocab = spark.createDataFrame([("alpha", 0), ("beta", 1)], "key string, id bigint")
+    bank = spark.createDataFrame([("X", 0, "")], "key string, id int, description string")
+    model = models.train_unigram(papers.withColumn("paper_id", seen("paper_id")).filter("paper_id >= 0"), vocab, bank)
+    scorer = models.prepare_scorer(model, vocab)
+    assert calls.value == 20 and scorer.smoothing == [42.0]
+    assert sorted((r["key"], r["n"]) for r in model.cells.collect()) == [("alpha", 20), ("beta", 20)] and calls.value == 20
