@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclabel.functions.arrays import argmax, log_sum_exp, normalise, with_value
-from doclabel.operators.dictionary import added_gains
+from doclabel.operators.dictionary import Sent, added_gains, sent_once
 from doclabel.operators.lookup import lookup_join, measured_bytes
 from doclabel.staging import stage
 
@@ -65,11 +65,16 @@ class Scorer:
     it adds to each (``gains``). ``size`` is the table's measured size.
     """
 
-    by_word: DataFrame
+    by_word: DataFrame | Sent
     smoothing: list[float]
     mode: str
     size: int
 
+    def sent(self) -> Scorer:
+        """The same with its table at the executors, for texts that come in parts."""
+        keyed = self.by_word.select("key", F.col("labels").cast("array<int>").alias("labels"), "gains")
+        return Scorer(sent_once(keyed, self.size), self.smoothing, self.mode, self.size)
+
 
 def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear") -> Scorer:
     """``linear`` weighs classes by the sum of P(word | class) over the words (null without

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclabel.functions.text import clean_words, sample_words, whitespace_words, word_candidates
-from doclabel.operators.dictionary import rewritten
+from doclabel.operators.dictionary import Sent, rewritten
 from doclabel.operators.lookup import lookup_join
 
 
@@ -86,7 +86,7 @@ def gather(tokens: DataFrame, item: str, *by: str, order: str = "pos", name: str
 
 def select_in_vocab(
     df: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | Sent,
     words: str = "Abstract",
     keep_last: bool = False,
 ) -> DataFrame:

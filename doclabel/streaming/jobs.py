@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from doclabel.functions.text import clean_words
+from doclabel.operators.dictionary import Sent, sent_once
 from doclabel.operators.models import Scorer, score_classes
 from doclabel.operators.thresholds import DEFAULT_THRESHOLD, predict_thresholds
 from doclabel.operators.tokens import select_in_vocab
@@ -87,7 +88,7 @@ def current_records(spark: SparkSession, out: str, id_col: str = "arXiv_id", lat
 def label_papers(
     papers: DataFrame,
     scorer: Scorer,
-    vocab: DataFrame,
+    vocab: DataFrame | Sent,
     thresholds: list[float] | float = DEFAULT_THRESHOLD,
     id_col: str = "paper_id",
     text: str = "Abstract",
@@ -112,7 +113,9 @@ def stream_label(
     A batch is written under its number and replaces an earlier attempt, so a
     restarted stream leaves each batch labelled once. Copies of a paper within a
     batch are dropped first; run :func:`stream_ingest` before to drop all copies.
+    Vocabulary and model pass the driver once for the stream, not with every batch.
     """
+    scorer, vocab = scorer.sent(), sent_once(vocab.select("key"))
 
     def write(batch: DataFrame, number: int) -> None:
         labelled = label_papers(batch.dropDuplicates([id_col]), scorer, vocab, thresholds, id_col)

@@ -57,6 +57,25 @@ def test_kept_words(spark, monkeypatch, bound):
     assert kept == [(0, ()), (1, ()), (1, ("a", "c", "a")), (4, ()), (5, ("c",) * 2000)]
 
 
+def test_stream_sends_vocabulary_and_model_once(spark, tmp_path, monkeypatch):
+    papers = spark.createDataFrame([(i, ["alpha", "beta"] * (1 + i % 3), ["X"] if i % 2 else ["Y"]) for i in range(12)], "paper_id bigint, Abstract array<string>, MSCs array<string>")
+    vocab = spark.createDataFrame([("alpha", 0), ("beta", 1)], "key string, id bigint")
+    bank = spark.createDataFrame([("X", 0, ""), ("Y", 1, "")], "key string, id int, description string")
+    scorer = models.prepare_scorer(models.train_unigram(papers, vocab, bank), vocab)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 60)  # several blocks each
+    texts = papers.select("paper_id", F.concat_ws(" ", "Abstract").alias("Abstract"))
+    texts.repartition(4, "paper_id").write.parquet(f"{tmp_path}/in")
+    made, plain = [], dictionary.Block.of
+    monkeypatch.setattr(dictionary.Block, "of", lambda table: made.append(len(table)) or plain(table))
+    stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.stream_label(stream, scorer, vocab, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    batches = spark.read.parquet(f"{tmp_path}/out")
+    assert batches.select("batch").distinct().count() > 1 and batches.count() == 12
+    assert sum(made) == 4  # two words in the vocabulary, two in the model
+    whole = jobs.label_papers(texts, scorer, vocab)
+    assert sorted(map(tuple, batches.select("paper_id", "p").collect())) == sorted(map(tuple, whole.select("paper_id", "p").collect()))
+
+
 def test_document_vectors_are_made_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
