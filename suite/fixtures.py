@@ -28,6 +28,8 @@ _stored: dict = {}
 
 DEPTH = 2
 VECTOR_DIM = 8
+# Text of a file of saved pages.
+PAGE_BYTES = 128 << 20
 
 
 def stored(build: Callable) -> Callable:
@@ -194,6 +196,7 @@ def cumulative_pages(spark: SparkSession, sf_dir: str) -> str:
     document number is even, as revised papers do.
     """
     path = scratch_path(spark, "cumulative")
+    held = table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pages = spread(with_authors(spark, sf_dir)).withColumn("n", F.substring("arXiv_id", 6, 7).cast("int"))
     for page in (1, 2, 3):
         revised = (F.col("n") % 2 == 0) & F.lit(page > 1)
@@ -201,5 +204,8 @@ def cumulative_pages(spark: SparkSession, sf_dir: str) -> str:
             "Title": F.when(revised, F.concat("Title", F.lit(" (revised)"))).otherwise(F.col("Title")),
             "Date": F.when(revised, F.date_add(F.col("Date").cast("date"), 400).cast("string")).otherwise(F.col("Date")),
         })
-        write_oai_pages(rows.drop("n").coalesce(4), f"{path}/page{page}")
+        files = max(4, -(-held * page // (3 * PAGE_BYTES)))  # one task reads a file of XML whole
+        parts = rows.rdd.getNumPartitions()
+        rows = rows.coalesce(files) if files <= parts else rows.repartition(files)
+        write_oai_pages(rows.drop("n"), f"{path}/page{page}")
     return f"{path}/page*"

@@ -91,6 +91,16 @@ def test_document_vectors_are_made_once(spark):
     assert sizes == {"train": 4000, "test": 500, "validation": 500} and calls.value == 5000
 
 
+def test_saved_pages_are_files_of_bounded_size(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(fx, "PAGE_BYTES", 20_000)
+    monkeypatch.setattr(fx, "_stored", {})
+    pages = fx.cumulative_pages(spark, sf_dir).removesuffix("*")
+    texts = fx.table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0]
+    for page in (1, 2, 3):
+        files = spark.read.format("binaryFile").load(f"{pages}{page}").select("length").collect()
+        assert len(files) >= texts * page / 3 / 20_000 > 4
+
+
 def counting(spark):
     calls = spark.sparkContext.accumulator(0)
 
