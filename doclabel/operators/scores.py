@@ -33,6 +33,7 @@ def tf_idf_parts(cells: DataFrame, vocab: DataFrame, n_labels: int, label: str =
     A seen label gives every word 0.5 + 0.5 n / max n; the constant halves cancel
     in the score, so ``tf_sum`` holds the sum of n / max n only.
     """
+    cells = stage(cells, "label-words")
     peaks = cells.groupBy(label).agg(F.max("n").alias("peak"))
     per_word = lookup_join(cells, peaks, label).groupBy("id").agg(
         F.count("*").alias("doc_freq"), F.sum(F.col("n") / F.col("peak")).alias("tf_sum")
@@ -55,7 +56,7 @@ def tfidf_from_parts(parts: DataFrame) -> DataFrame:
 def tfidf(vocab: DataFrame, docs: DataFrame, label: str = "label", words: str = "Abstract") -> DataFrame:
     """TF-IDF container ``(key, id, tag, idf, tfidf)`` of single-label documents."""
     n_labels = docs.agg(F.count_distinct(label)).first()[0]
-    cells = stage(label_word_counts(docs, vocab, label, words), "label-words")
+    cells = label_word_counts(docs, vocab, label, words)
     parts = stage(tf_idf_parts(cells, vocab, n_labels, label), "tfidf-parts")
     return tfidf_from_parts(parts)
 

@@ -121,3 +121,11 @@ def test_class_counts_are_made_once(spark):
     scorer = models.prepare_scorer(model, vocab)
     assert calls.value == 20 and scorer.smoothing == [42.0]
     assert sorted((r["key"], r["n"]) for r in model.cells.collect()) == [("alpha", 20), ("beta", 20)] and calls.value == 20
+
+
+def test_tf_idf_parts_count_cells_once(spark):
+    calls, seen = counting(spark)
+    cells = spark.createDataFrame([(i, label, 1 + i) for i in range(10) for label in (0, 1)], "id bigint, label int, n bigint")
+    vocab = spark.createDataFrame([(f"w{i}", i, "NN") for i in range(11)], "key string, id bigint, tag string")
+    parts = {r["id"]: r for r in scores.tf_idf_parts(cells.withColumn("n", seen("n")), vocab, 2).collect()}
+    assert calls.value == 20 and parts[9]["tf_sum"] == 2.0 and parts[10]["doc_freq"] == 0
