@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclabel.functions.text import whitespace_words, word_candidates
+from doclabel.functions.text import whitespace_words
 from doclabel.operators import scores
 from doclabel.operators.labels import describe_codes, explode_labels
+from doclabel.operators.tokens import select_in_vocab
 from doclabel.sources.tables import at_depth
 
 
@@ -26,7 +27,8 @@ def information_gain(
 ) -> DataFrame:
     """Information gain of the vocabulary over raw texts with one label each."""
     split = texts.select(label, text).withColumn(text, whitespace_words(F.col(text)))
-    # Counted before the join: a word meets the vocabulary at most once per label.
-    seen = split.select(label, F.explode(word_candidates(F.col(text), False)).alias("key")).groupBy("key", label).agg(F.count("*").alias("n"))
+    # Words and phrases are looked up in the row: only those of the vocabulary are counted and shuffled, once per label.
+    chosen = select_in_vocab(split, vocab, text)
+    seen = chosen.select(label, F.explode(text).alias("key")).groupBy("key", label).agg(F.count("*").alias("n"))
     cells = seen.join(vocab.select("key", "id"), "key").select("id", label, "n")
     return scores.information_gain(texts, cells, vocab, label, normalized)

@@ -129,3 +129,14 @@ def test_tf_idf_parts_count_cells_once(spark):
     vocab = spark.createDataFrame([(f"w{i}", i, "NN") for i in range(11)], "key string, id bigint, tag string")
     parts = {r["id"]: r for r in scores.tf_idf_parts(cells.withColumn("n", seen("n")), vocab, 2).collect()}
     assert calls.value == 20 and parts[9]["tf_sum"] == 2.0 and parts[10]["doc_freq"] == 0
+
+
+def test_gain_counts_only_words_of_the_vocabulary(spark, monkeypatch):
+    texts = spark.createDataFrame([("x", "a b c a b"), ("y", "a d b"), ("y", None), (None, "a b a")], "label string, Abstract string")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("a_b", 2), ("zz", 3)], "key string, id bigint")
+    met = []
+    monkeypatch.setattr(scores, "information_gain", lambda docs, cells, *_: met.append(cells) or cells)
+    features.information_gain(texts, vocab)
+    assert sorted(((r["id"], r["label"] or "", r["n"]) for r in met[0].collect())) == [(0, "", 1), (0, "x", 2), (0, "y", 1), (1, "", 1), (1, "x", 1), (2, "", 1), (2, "x", 2)]
+    plan = met[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("MapInArrow")  # looked up before words are counted and shuffled
