@@ -29,7 +29,7 @@ _stored: dict = {}
 DEPTH = 2
 VECTOR_DIM = 8
 # Text of a file of saved pages.
-PAGE_BYTES = 128 << 20
+PAGE_BYTES = 256 << 20
 
 
 def stored(build: Callable) -> Callable:
