@@ -105,3 +105,43 @@ def test_nearest_words_against_brute_force(spark):
     assert len(got) == 20 and got["w00"] == "w99"
     with pytest.raises(ValueError, match="ask in parts"):
         skipgram.nearest_words(df, df, max_bytes=10)
+
+
+def test_packed_pairs_are_the_pairs_both_ways(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([([int(x) for x in draw.integers(-1, 9, 50)],) for _ in range(6)], "ids array<bigint>")
+    want = {(r["t"], r["c"]): r["n"] for r in skipgram.pair_counts(df, "ids", 3).collect()}
+    monkeypatch.setattr(skipgram, "PIECE", 5)
+    for blocks in (1, 4):
+        got, order = {}, {}
+        for r in sorted(skipgram.packed_pairs(skipgram.unordered_counts(df, "ids", 3), blocks).collect(), key=lambda r: (r["at"], r["shift"], r["piece"])):
+            t, c = (np.frombuffer(r[k], np.int32) for k in "tc")
+            assert 0 < len(t) <= 5
+            other = (r["at"] + r["shift"]) % blocks
+            got |= {(int(a) * blocks + r["at"], int(b) * blocks + other): int(n) for a, b, n in zip(t, c, np.frombuffer(r["n"], np.int64))}
+            order.setdefault((r["at"], other), []).extend(zip(t.tolist(), c.tolist()))
+        assert got == want and sum(map(len, order.values())) == len(want) and all(v == sorted(v) for v in order.values())
+
+
+def test_a_large_meeting_has_larger_batches_not_more():
+    class Draw:
+        calls, source = 0, np.random.default_rng(0)
+
+        def permutation(self, n):
+            return self.source.permutation(n)
+
+        def random(self, n):
+            self.calls += 1
+            return self.source.random(n)
+
+    t, c = (x.ravel() for x in np.meshgrid(np.arange(400), np.arange(400)))
+    sides = [(np.full((400, 2), 0.1, np.float32), np.zeros(400, np.float32), np.ones(400, np.int64)) for _ in range(2)]
+    draw = Draw()
+    skipgram.meet(*sides, (t, c, np.ones(len(t), np.float32)), draw, 5, 0.05)
+    assert draw.calls == skipgram.STEPS == 64 and all(np.isfinite(s[0]).all() and (s[1] > 0).all() for s in sides)
+
+
+def test_no_pairs_leave_the_first_vectors(spark):
+    df = spark.createDataFrame([(1, ["a"]), (2, ["a"]), (3, ["b"])], SCHEMA)
+    got = skipgram.train_skipgram(df, spark.createDataFrame([("a",), ("b",)], "key string"), 3, 2, min_count=1, epochs=1).collect()
+    assert sorted(r["word"] for r in got) == ["a", "b"]
