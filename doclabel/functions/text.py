@@ -20,14 +20,15 @@ SPACES = f"[{WHITESPACE}]+"
 
 
 def strip_math(text: Column) -> Column:
-    """Replace dollar math and bracket math by spaces."""
-    return F.regexp_replace(F.regexp_replace(text, DOLLAR_MATH, " "), BRACKET_MATH, " ")
+    """Replace dollar math and bracket math by spaces. Texts without their signs are not searched for them."""
+    found = F.contains(text, F.lit("$")) | F.contains(text, F.lit("\\["))
+    return F.when(found, F.regexp_replace(F.regexp_replace(text, DOLLAR_MATH, " "), BRACKET_MATH, " ")).otherwise(text)
 
 
 def strip_non_alphas(text: Column) -> Column:
     """Dashes and apostrophes become spaces, other non-letters vanish, newlines become spaces."""
     spaced = F.regexp_replace(text, DASHES_APOSTROPHES, " ")
-    return F.translate(F.regexp_replace(spaced, NON_ALPHAS, ""), "\n", " ")
+    return F.replace(F.regexp_replace(spaced, NON_ALPHAS, ""), F.lit("\n"), F.lit(" "))
 
 
 def clean_text(text: Column) -> Column:

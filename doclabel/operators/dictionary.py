@@ -172,7 +172,7 @@ def lists_of(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _last_words(offsets: np.ndarray) -> np.ndarray:
+def last_words(offsets: np.ndarray) -> np.ndarray:
     """Places of the last word of every text that has any."""
     return offsets[1:][np.diff(offsets) > 0] - 1
 
@@ -182,7 +182,7 @@ def _phrases(words: pa.Array, offsets: np.ndarray) -> pa.Array:
     if not len(words):
         return words
     last = np.zeros(len(words), bool)
-    last[_last_words(offsets)] = True
+    last[last_words(offsets)] = True
     after = pa.concat_arrays([words.slice(1), pa.nulls(1, words.type)])
     return pc.if_else(pa.array(last), pa.scalar(None, words.type), pc.binary_join_element_wise(words, after, "_"))
 
@@ -264,7 +264,7 @@ def kept_words(df: DataFrame, keyed: DataFrame, words: str) -> DataFrame:
 def _chosen(words: pa.Array, phrases: pa.Array, found: np.ndarray, offsets: np.ndarray, keep_last: bool) -> pa.ListArray:
     """Word, phrase, word, phrase, ... of each text, as far as they were found."""
     if not keep_last:
-        found[_last_words(offsets)] &= ~_WORD
+        found[last_words(offsets)] &= ~_WORD
     wanted = np.empty(2 * len(found), bool)
     wanted[0::2], wanted[1::2] = found & _WORD > 0, found & _PHRASE > 0
     at = np.flatnonzero(wanted)

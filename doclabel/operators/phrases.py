@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclabel.functions.text import adjacent_pairs
-from doclabel.operators.dictionary import with_ids
+from doclabel.operators.dictionary import last_words, unfolded, with_ids
 from doclabel.operators.lookup import lookup_join
 from doclabel.operators.ordering import with_dense_id
 from doclabel.operators.tokens import Extent, corpus_extent
+from doclabel.session import ship_package
 from doclabel.staging import stage
 
 # Share of the vocabulary size kept as phrases, decimals that decide ties.
 PHRASE_SHARE = 0.7
 TIE_DECIMALS = 9
 SKETCH_ACCURACY = 1000
+# Pairs that a task holds before it adds them up.
+HELD = 1 << 22
 
 
 def phrase_word_stream(
@@ -54,17 +60,47 @@ def _border_pairs(stream: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def _inside_pairs(stream: DataFrame) -> DataFrame:
+    """Counts of neighbours within the documents ``(id1, id2, freq)``, added up over as many texts as ``HELD`` allows."""
+    ship_package(stream.sparkSession)
+
+    def batch_of(firsts: list[np.ndarray], seconds: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(firsts), np.concatenate(seconds)
+        order = np.argsort((a << 32) | b) if b.max() < 1 << 31 and a.max() < 1 << 31 else np.lexsort((b, a))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), pa.array(np.diff(np.append(starts, len(a))))], ["id1", "id2", "freq"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, seconds, held = [], [], 0
+        for _, flat, offsets in unfolded(batches, 0):
+            ids = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+            opens = np.ones(len(ids), bool)
+            opens[last_words(offsets)] = False
+            at = np.flatnonzero(opens)
+            if len(at):
+                firsts.append(ids[at])
+                seconds.append(ids[at + 1])
+                held += len(at)
+            if held >= HELD:
+                yield batch_of(firsts, seconds)
+                firsts, seconds, held = [], [], 0
+        if held:
+            yield batch_of(firsts, seconds)
+
+    return stream.select("stream").mapInArrow(count, "id1 bigint, id2 bigint, freq bigint")
+
+
 def pair_counts(stream: DataFrame, cross_document: bool = True, id_col: str = "paper_id") -> DataFrame:
     """Counts of neighbouring vocabulary ids ``(id1, id2, freq)`` in the stream.
 
     With ``cross_document`` the last word of a document meets the first word of
     the next document that has any.
     """
-    inside = stream.select(F.explode(adjacent_pairs(F.col("stream"))).alias("p")).select(
-        F.col("p.first").alias("id1"), F.col("p.second").alias("id2")
-    )
-    pairs = inside.unionByName(_border_pairs(stream, id_col)) if cross_document else inside
-    return pairs.groupBy("id1", "id2").agg(F.count("*").alias("freq"))
+    pairs = _inside_pairs(stream)
+    if cross_document:
+        pairs = pairs.unionByName(_border_pairs(stream, id_col).withColumn("freq", F.lit(1).cast("bigint")))
+    return pairs.groupBy("id1", "id2").agg(F.sum("freq").alias("freq"))
 
 
 def with_words(pairs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from doclabel.functions import text
 from doclabel.operators import lookup, phrases, tokens, vocab
 from doclabel.operators.ordering import with_dense_id
 from doclabel.plans.corpus import build_phrase_vocab, tag_by
@@ -186,3 +187,27 @@ def test_tagging(spark):
 
     papers = spark.createDataFrame([(1, ["Bob", "eats"])], "paper_id bigint, Abstract array<string>")
     assert rows(tokens.tag_sentences(papers, tagger, "paper_id"), "pos", "word", "tag") == [(0, "Bob", "NNP"), (1, "eats", "NN")]
+
+
+def test_neighbours_are_added_up_before_they_are_shuffled(spark, monkeypatch):
+    lists = [[1, 2] * 50, [], [7], None, [2, 1, 1 << 40, 1 << 40, 1 << 40], [2] * 20]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "paper_id bigint, stream array<bigint>").coalesce(1)
+    want = {}
+    for x in lists:
+        for pair in zip(x or [], (x or [])[1:]):
+            want[pair] = want.get(pair, 0) + 1
+    rows = phrases._inside_pairs(df).collect()
+    assert len(rows) == len(want) and {(r["id1"], r["id2"]): r["freq"] for r in rows} == want
+    monkeypatch.setattr(phrases, "HELD", 1)
+    assert {(r["id1"], r["id2"]): r["freq"] for r in phrases.pair_counts(df, cross_document=False).collect()} == want
+
+
+def test_texts_without_math_are_not_searched_for_it(spark):
+    texts = ["a $x$ b", "a \\[x\\] b", "\\$y$[z] c", "plain\ntext", "one $ sign", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select(text.strip_math(F.col("t")).alias("m"), text.clean_words(F.col("t")).alias("w"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower() and "translate" not in plan
+    rows = got.collect()
+    assert [r["m"] for r in rows] == ["a   b", "a   b", "\\ [z] c", *texts[3:]]
+    assert [r["w"] for r in rows] == [["a", "b"], ["a", "b"], ["z", "c"], ["plain", "text"], ["one", "sign"], [], None]
