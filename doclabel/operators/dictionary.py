@@ -8,9 +8,9 @@ is made once, so a look does not take longer because the table is large. No toke
 becomes a row and no text is shuffled, however frequent its words are.
 
 The size is measured first. A table beyond the bound is split by a hash of the
-key into blocks within it; the blocks visit the texts one after another and each
-adds what it knows, with the texts written in between, so that one block is in
-memory at a time.
+key into blocks within it. A task holds some megabytes of texts, with their
+distinct words, and the blocks visit these one after another, so that one block is
+in memory at a time. Texts are read once and never written, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ from pyspark.sql import types as T
 
 from doclabel.operators import lookup
 from doclabel.session import ship_package
-from doclabel.staging import stage
 
-# Texts that a task unfolds at a time.
-ROWS = 512
+# Texts that a task unfolds at a time, and bytes of words that it holds while several blocks visit them.
+ROWS, HELD_BYTES = 512, 32 << 20
+# Bytes of full rows that a task multiplies at a time.
+DENSE_BYTES = 32 << 20
 
 
 # Bytes of words that are hashed at a time.
@@ -85,20 +86,17 @@ class Block:
 
     def places(self, items: pa.Array) -> np.ndarray:
         """Place of every item among the keys, -1 for unknown and null ones."""
-        coded = items.dictionary_encode()
-        words = coded.dictionary
-        found = np.append(self._places(words), -1)
-        return found[coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)]
+        asked = Asked(items)
+        return asked.each(self.found(asked), -1)
 
-    def _places(self, words: pa.Array) -> np.ndarray:
-        """The same for distinct words."""
+    def found(self, asked: Asked) -> np.ndarray:
+        """The same for the distinct words."""
+        words, hashes = asked.words, asked.hashes
         found = np.full(len(words), -1)
         if not len(words) or not len(self.keys):
             return found
-        hashes = hashes_of(words)
-        order = np.argsort(hashes)  # neighbours are searched one after another
         at = np.empty(len(words), np.int64)
-        at[order] = np.searchsorted(self.hashes, hashes[order])
+        at[asked.order] = np.searchsorted(self.hashes, hashes[asked.order])  # neighbours are searched one after another
         left = np.arange(len(words))
         while True:
             left = left[at[left] < len(self.hashes)]
@@ -111,8 +109,19 @@ class Block:
             at[left] += 1
 
 
-# What a block does to the rows: (rows, the block, is it the first, is it the last).
-Visit = Callable[[DataFrame, "Broadcast[Block]", bool, bool], DataFrame]
+class Asked:
+    """Words to be looked up: the distinct ones, hashed once for all blocks, and where each stands."""
+
+    def __init__(self, items: pa.Array):
+        coded = items.dictionary_encode()
+        self.words = coded.dictionary
+        self.codes = coded.indices.fill_null(len(self.words)).to_numpy(zero_copy_only=False)
+        self.hashes = hashes_of(self.words) if len(self.words) else np.empty(0, np.uint64)
+        self.order = np.argsort(self.hashes)
+
+    def each(self, values: np.ndarray, nothing) -> np.ndarray:
+        """For every item the value of its word, ``nothing`` for a null."""
+        return np.append(values, np.array([nothing], values.dtype))[self.codes]
 
 
 @dataclass
@@ -122,36 +131,70 @@ class Sent:
     blocks: list[Broadcast[Block]]
 
 
-def _blocks(keyed: DataFrame, size: int | None = None) -> Iterator[tuple[Broadcast[Block], int]]:
-    """(a block, number of blocks): one after another, none is made before it is asked for."""
+def sent_once(keyed: DataFrame, size: int | None = None) -> Sent:
+    """All blocks of a keyed table, sent. One after another passes the driver."""
     size = lookup.measured_bytes(keyed) if size is None else size
     n = max(1, -(-size // lookup.BROADCAST_BYTES))
+    blocks = []
     for number in range(n):
         part = keyed if n == 1 else keyed.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == number)
         table = part.toArrow().combine_chunks()  # its size was measured
-        yield keyed.sparkSession.sparkContext.broadcast(Block.of(table)), n
+        blocks.append(keyed.sparkSession.sparkContext.broadcast(Block.of(table)))
+    return Sent(blocks)
 
 
-def sent_once(keyed: DataFrame, size: int | None = None) -> Sent:
-    """All blocks of a keyed table, sent."""
-    return Sent([block for block, _ in _blocks(keyed, size)])
+# Some rows, the words of a list column in one array, offsets of the rows.
+Part = tuple[pa.RecordBatch, pa.Array, np.ndarray]
+
+
+class Look:
+    """What is asked for some rows: every block is shown to it, then it tells the rows."""
 
+    def __init__(self, rows: pa.RecordBatch, words: pa.Array, offsets: np.ndarray):
+        self.rows, self.offsets, self.asked = rows, offsets, Asked(words)
 
-def visited(df: DataFrame, keyed: DataFrame | Sent, visit: Visit, size: int | None = None) -> DataFrame:
-    """``df`` after the visit of every block of ``keyed`` (unique ``key`` and further columns).
+    def see(self, block: Block) -> None:
+        raise NotImplementedError
 
-    ``size`` is the measured size of ``keyed``, if it is known.
+    def tell(self) -> pa.RecordBatch:
+        raise NotImplementedError
+
+
+def visited(df: DataFrame, keyed: DataFrame | Sent, look: Callable[[pa.RecordBatch, pa.Array, np.ndarray], Look], place: int, schema: T.StructType, size: int | None = None) -> DataFrame:
+    """What the looks tell of ``df`` after every block of ``keyed`` (unique ``key`` and further columns) was shown to them.
+
+    ``place`` is the column of the word lists, ``size`` the measured size of ``keyed``, if it is known.
     """
     ship_package(df.sparkSession)
-    kept = isinstance(keyed, Sent)
-    rows = df
-    for number, (sent, n) in enumerate([(b, len(keyed.blocks)) for b in keyed.blocks] if kept else _blocks(keyed, size)):
-        rows = visit(rows, sent, number == 0, number == n - 1)
-        if number < n - 1:
-            rows = stage(rows, "visited")
-            if not kept:
-                sent.unpersist()
-    return rows
+    blocks = (keyed if isinstance(keyed, Sent) else sent_once(keyed, size)).blocks
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _held(unfolded(batches, place), HELD_BYTES if len(blocks) > 1 else 0):
+            looks = [look(*part) for part in parts]
+            for sent in blocks:
+                block = sent.value
+                for one in looks:
+                    one.see(block)
+                if len(blocks) > 1:
+                    del block
+                    sent.__dict__.pop("_value", None)  # the worker reads it again from its file
+            for one in looks:
+                yield one.tell()
+
+    return df.mapInArrow(visit, schema)
+
+
+def _held(parts: Iterator[Part], most: int) -> Iterator[list[Part]]:
+    """Parts in a row with ``most`` bytes of words, or just above."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part[1].nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
@@ -187,24 +230,44 @@ def _phrases(words: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(last), pa.scalar(None, words.type), pc.binary_join_element_wise(words, after, "_"))
 
 
+class _Ids(Look):
+    """The id of every word, -1 for unknown ones."""
+
+    def __init__(self, rows: pa.RecordBatch, words: pa.Array, offsets: np.ndarray):
+        super().__init__(rows, words, offsets)
+        self.ids = np.full(len(self.asked.words), -1, np.int64)
+
+    def see(self, block: Block) -> None:
+        self.ids = np.maximum(self.ids, np.append(block.columns["id"].to_numpy(), -1)[block.found(self.asked)])  # place -1: no id
+
+
+def _with_id(keyed: DataFrame) -> DataFrame:
+    return keyed.select("key", F.col("id").cast("bigint").alias("id"))
+
+
 def with_ids(df: DataFrame, keyed: DataFrame, words: str, name: str) -> DataFrame:
     """Add the new column ``name``: the ``id`` (0 or more) of every word of the list, -1 for words not in the table."""
-    place, n = df.columns.index(words), len(df.columns)
-    names, schema = [*df.columns, name], T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+
+    class Added(_Ids):
+        def tell(self) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*self.rows.columns, lists_of(pa.array(self.asked.each(self.ids, -1)), self.offsets)], schema.names)
+
+    return visited(df, _with_id(keyed), Added, df.columns.index(words), schema)
+
 
-    def visit(rows: DataFrame, sent: Broadcast[Block], first: bool, last: bool) -> DataFrame:
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            known = np.append(block.columns["id"].to_numpy(), -1)  # place -1: no id
-            for part, flat, offsets in unfolded(batches, place):
-                ids = known[block.places(flat)]
-                if not first:
-                    ids = np.maximum(ids, part.column(n).flatten().to_numpy())
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], lists_of(pa.array(ids, pa.int64()), offsets)], names)
+def known_ids(df: DataFrame, keyed: DataFrame, words: str) -> DataFrame:
+    """Replace each word list by the ``id`` (0 or more) of its words that are keys of the table, in order. Null lists become empty ones."""
+    place = df.columns.index(words)
+    schema = T.StructType([T.StructField(words, T.ArrayType(T.LongType())) if f.name == words else f for f in df.schema.fields])
 
-        return rows.mapInArrow(probe, schema)
+    class Known(_Ids):
+        def tell(self) -> pa.RecordBatch:
+            ids, columns = self.asked.each(self.ids, -1), self.rows.columns
+            columns[place] = lists_of(pa.array(ids[ids >= 0]), np.append(0, np.cumsum(ids >= 0))[self.offsets])
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return visited(df, keyed.select("key", F.col("id").cast("bigint").alias("id")), visit)
+    return visited(df, _with_id(keyed), Known, place, schema)
 
 
 _WORD, _PHRASE = 1, 2
@@ -216,49 +279,46 @@ def rewritten(df: DataFrame, keyed: DataFrame | Sent, words: str, keep_last: boo
     Every word is followed by the phrase that it opens. The last word of a text
     stands for itself only with ``keep_last``. Null lists become empty ones.
     """
-    place, n, flags = df.columns.index(words), len(df.columns), "_flags"
-    while flags in df.columns:
-        flags = "_" + flags
+    place, schema = df.columns.index(words), df.schema
 
-    def visit(rows: DataFrame, sent: Broadcast[Block], first: bool, last: bool) -> DataFrame:
-        names = df.columns if last else [*df.columns, flags]
+    class Chosen(Look):
+        def __init__(self, rows: pa.RecordBatch, flat: pa.Array, offsets: np.ndarray):
+            super().__init__(rows, flat, offsets)
+            self.flat, self.phrases = flat, _phrases(flat, offsets)
+            self.both = [self.asked, Asked(self.phrases)]
+            self.known = [np.zeros(len(asked.words), bool) for asked in self.both]
 
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for part, flat, offsets in unfolded(batches, place):
-                phrases = _phrases(flat, offsets)
-                found = (np.where(block.places(flat) >= 0, _WORD, 0) | np.where(block.places(phrases) >= 0, _PHRASE, 0)).astype(np.int8)
-                if not first:
-                    found |= part.column(n).flatten().to_numpy()
-                columns = part.columns[:n]
-                if last:
-                    columns[place] = _chosen(flat, phrases, found, offsets, keep_last)
-                else:
-                    columns.append(lists_of(pa.array(found, pa.int8()), offsets))
-                yield pa.RecordBatch.from_arrays(columns, names)
+        def see(self, block: Block) -> None:
+            for asked, known in zip(self.both, self.known):
+                known |= block.found(asked) >= 0
 
-        extra = [] if last else [T.StructField(flags, T.ArrayType(T.ByteType()))]
-        return rows.mapInArrow(probe, T.StructType([*df.schema.fields, *extra]))
+        def tell(self) -> pa.RecordBatch:
+            word, phrase = (asked.each(known, False) for asked, known in zip(self.both, self.known))
+            found, columns = (np.where(word, _WORD, 0) | np.where(phrase, _PHRASE, 0)).astype(np.int8), self.rows.columns
+            columns[place] = _chosen(self.flat, self.phrases, found, self.offsets, keep_last)
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return visited(df, keyed if isinstance(keyed, Sent) else keyed.select("key"), visit)
+    return visited(df, keyed if isinstance(keyed, Sent) else keyed.select("key"), Chosen, place, schema)
 
 
 def kept_words(df: DataFrame, keyed: DataFrame, words: str) -> DataFrame:
     """Replace each word list by its words that are keys of the table, in order. Null lists become empty ones."""
-    names, place, n, name = df.columns, df.columns.index(words), len(df.columns), "_ids"
-    while name in names:
-        name = "_" + name
+    place, schema = df.columns.index(words), df.schema
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, ids, offsets in unfolded([batch], n):
-                known = ids.to_numpy(zero_copy_only=False) >= 0
-                columns = part.columns[:n]
-                columns[place] = lists_of(part.column(place).flatten().filter(pa.array(known)), np.append(0, np.cumsum(known))[offsets])
-                yield pa.RecordBatch.from_arrays(columns, names)
+    class Kept(Look):
+        def __init__(self, rows: pa.RecordBatch, flat: pa.Array, offsets: np.ndarray):
+            super().__init__(rows, flat, offsets)
+            self.flat, self.known = flat, np.zeros(len(self.asked.words), bool)
 
-    found = with_ids(df, keyed.select("key", F.lit(0).alias("id")), words, name)
-    return found.mapInArrow(choose, df.schema)
+        def see(self, block: Block) -> None:
+            self.known |= block.found(self.asked) >= 0
+
+        def tell(self) -> pa.RecordBatch:
+            known, columns = self.asked.each(self.known, False), self.rows.columns
+            columns[place] = lists_of(self.flat.filter(pa.array(known)), np.append(0, np.cumsum(known))[self.offsets])
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return visited(df, keyed.select("key"), Kept, place, schema)
 
 
 def _chosen(words: pa.Array, phrases: pa.Array, found: np.ndarray, offsets: np.ndarray, keep_last: bool) -> pa.ListArray:
@@ -272,83 +332,98 @@ def _chosen(words: pa.Array, phrases: pa.Array, found: np.ndarray, offsets: np.n
     return lists_of(values, np.append(0, np.cumsum(wanted))[2 * offsets])
 
 
+class _Counts(_Ids):
+    """How often each row has each of its words: (row, word, count), and the ids of the words."""
+
+    def __init__(self, rows: pa.RecordBatch, words: pa.Array, offsets: np.ndarray):
+        super().__init__(rows, words, offsets)
+        self.row, self.word, self.n = _pair_counts(self.asked.codes, offsets, len(self.asked.words))
+
+
+def _pair_counts(codes: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, count) of the words of each row, but for nulls (``n_words``)."""
+    rows, width = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), max(n_words, 1)
+    valid = codes < n_words
+    pairs, n = np.unique(rows[valid] * width + codes[valid], return_counts=True)
+    return pairs // width, pairs % width, n
+
+
 def counted(df: DataFrame, keyed: DataFrame, id_col: str, words: str) -> DataFrame:
     """Sparse count vectors ``(id_col, id, n)`` of the words of each list that are keys of the table."""
+    schema = T.StructType([df.schema[id_col], T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
 
-    def visit(rows: DataFrame, sent: Broadcast[Block], first: bool, last: bool) -> DataFrame:
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = sent.value.columns["id"]
-            for part, flat, offsets in unfolded(batches, 1):
-                row, place, n = _pair_counts(sent.value.places(flat), offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), known.take(pa.array(place)), pa.array(n)], [id_col, "id", "n"])
-
-        return rows.mapInArrow(probe, T.StructType([df.schema[id_col], T.StructField("id", T.LongType()), T.StructField("n", T.LongType())]))
-
-    ids = keyed.select("key", F.col("id").cast("bigint").alias("id"))
-    size = lookup.measured_bytes(ids)
-    if size <= lookup.BROADCAST_BYTES:
-        return visited(df.select(id_col, words), ids, visit, size)
-    placed = with_ids(df.select(id_col, words), ids, words, "_ids")  # several blocks: their ids first, counts afterwards
-    return placed.select(id_col, F.explode("_ids").alias("id")).filter("id >= 0").groupBy(id_col, "id").agg(F.count("*").alias("n"))
-
-
-def _pair_counts(places: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, count) of the known words of each row."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    known = places >= 0
-    width = int(places.max(initial=0)) + 1
-    pairs, n = np.unique(rows[known] * width + places[known], return_counts=True)
-    return pairs // width, pairs % width, n
+    class Counted(_Counts):
+        def tell(self) -> pa.RecordBatch:
+            ids = self.ids[self.word]
+            known = ids >= 0
+            return pa.RecordBatch.from_arrays([self.rows.column(0).take(pa.array(self.row[known])), pa.array(ids[known]), pa.array(self.n[known])], schema.names)
+
+    return visited(df.select(id_col, words), _with_id(keyed), Counted, 1, schema)
 
 
 def with_counts(df: DataFrame, keyed: DataFrame, words: str, n_keys: int, name: str) -> DataFrame:
     """Add ``name``: how often each of the ``n_keys`` keys (``id`` from 0) is in the list."""
-    place, width = df.columns.index(words), len(df.columns)
-    names, schema = [*df.columns, name], T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
-    def visit(rows: DataFrame, sent: Broadcast[Block], first: bool, last: bool) -> DataFrame:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = sent.value.columns["id"].to_numpy()
-            for part, flat, offsets in unfolded(batches, place):
-                row, at, n = _pair_counts(sent.value.places(flat), offsets)
-                counts = np.bincount(row * n_keys + ids[at], n, len(part) * n_keys).astype(np.int32)
-                if not first:
-                    counts += part.column(width).flatten().to_numpy()
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], lists_of(pa.array(counts), np.arange(len(part) + 1) * n_keys)], names)
+    class Counted(_Counts):
+        def tell(self) -> pa.RecordBatch:
+            ids = self.ids[self.word]
+            known, n = ids >= 0, len(self.rows)
+            counts = np.bincount(self.row[known] * n_keys + ids[known], self.n[known], n * n_keys).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*self.rows.columns, lists_of(pa.array(counts), np.arange(n + 1) * n_keys)], schema.names)
 
-        return rows.mapInArrow(count, schema)
+    return visited(df, _with_id(keyed), Counted, df.columns.index(words), schema)
 
-    return visited(df, keyed.select("key", F.col("id").cast("bigint").alias("id")), visit)
 
-
-def added_gains(df: DataFrame, keyed: DataFrame | Sent, id_col: str, words: str, n_classes: int, name: str = "sums", size: int | None = None) -> DataFrame:
+def added_gains(df: DataFrame, keyed: DataFrame | Sent, id_col: str, words: str, n_classes: int, name: str = "sums", size: int | None = None, log: bool = False) -> DataFrame:
     """``(id_col, name)``: per list the number of known words, then for each class the gains of its words added up.
 
     ``keyed`` has sparse rows: the classes of a key (``labels``, from 0) and their
-    ``gains``. A block of lists times a block of keys is one sparse product.
+    ``gains``, with ``log`` counts n that gain log(n + 1). A block of lists times a
+    block of keys is one sparse product.
     """
     width = n_classes + 1
-    schema = T.StructType([*df.select(id_col, words).schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-
-    def visit(rows: DataFrame, sent: Broadcast[Block], first: bool, last: bool) -> DataFrame:
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = sent.value
+    schema = T.StructType([df.schema[id_col], T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    class Added(Look):
+        def __init__(self, rows: pa.RecordBatch, flat: pa.Array, offsets: np.ndarray):
+            super().__init__(rows, flat, offsets)
+            self.row, self.word, self.n = _pair_counts(self.asked.codes, offsets, len(self.asked.words))
+            self.sums = np.zeros(len(rows) * width)
+
+        def see(self, block: Block) -> None:
+            place = block.found(self.asked)  # of every distinct word
+            known = place[self.word] >= 0
+            self.sums[::width] += np.bincount(self.row[known], self.n[known], len(self.rows))
             starts = block.columns["labels"].offsets.to_numpy().astype(np.int64)
             labels, gains = (block.columns[c].values.to_numpy() for c in ("labels", "gains"))
-            for part, flat, offsets in unfolded(batches, 1):
-                row, place, n = _pair_counts(block.places(flat), offsets)
-                sizes = starts[place + 1] - starts[place]
-                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts[place], sizes)
-                cell = np.repeat(row * width + 1, sizes) + labels[at]
-                sums = np.bincount(cell, np.repeat(n, sizes) * gains[at], len(part) * width).astype(np.float64)
-                sums[::width] += np.bincount(row, n, len(part))
-                if not first:
-                    sums += part.column(2).flatten().to_numpy()
-                lists = lists_of(pa.array(sums), np.arange(len(part) + 1) * width)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], lists], schema.names)
-
-        return rows.mapInArrow(multiply, schema)
-
-    if not isinstance(keyed, Sent):
-        keyed = keyed.select("key", F.col("labels").cast("array<int>").alias("labels"), "gains")
-    return visited(df.select(id_col, words), keyed, visit, size).select(id_col, name)
+            sizes = np.where(place >= 0, starts[place + 1] - starts[place], 0)
+
+            def cells(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """(which of the words, class, gain) of their sparse rows."""
+                of = np.repeat(np.arange(len(words)), sizes[words])
+                at = np.arange(len(of)) + np.repeat(starts[place[words]] - np.cumsum(sizes[words]) + sizes[words], sizes[words])
+                return of, labels[at], np.log(gains[at] + 1.0) if log else gains[at]
+
+            # Words of many classes are met as full rows, some thousand pairs at a time, the others cell by cell.
+            wide = np.flatnonzero(sizes * 8 >= n_classes)[: DENSE_BYTES // (8 * n_classes)]
+            line = np.full(len(place), -1)
+            line[wide] = np.arange(len(wide))
+            of, label, gain = cells(wide)
+            full = np.bincount(of * n_classes + label, gain, len(wide) * n_classes).reshape(len(wide), n_classes)
+            at = line[self.word]
+            row, at, n = self.row[at >= 0], at[at >= 0], self.n[at >= 0]
+            table, step = self.sums.reshape(-1, width), max(1, DENSE_BYTES // (64 * n_classes))
+            for start in range(0, len(row), step):
+                own = slice(start, start + step)
+                firsts = np.flatnonzero(np.append(True, np.diff(row[own]) > 0))
+                table[row[own][firsts], 1:] += np.add.reduceat(full[at[own]] * n[own, None], firsts, axis=0)
+            few = known & (line[self.word] < 0)
+            row, n = self.row[few], self.n[few]
+            of, label, gain = cells(self.word[few])
+            self.sums += np.bincount(row[of] * width + 1 + label, n[of] * gain, len(self.sums))
+
+        def tell(self) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([self.rows.column(0), lists_of(pa.array(self.sums), np.arange(len(self.rows) + 1) * width)], schema.names)
+
+    return visited(df.select(id_col, words), keyed if isinstance(keyed, Sent) else keyed.select("key", "labels", "gains"), Added, 1, schema, size)

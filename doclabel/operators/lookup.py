@@ -18,6 +18,8 @@ from doclabel.staging import stage
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 10_000
 SAMPLE = 0.01
+# Bytes of an array's elements that have fewer than 8.
+ELEMENT_BYTES = {"byte": 1, "short": 2, "integer": 4}
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -30,7 +32,7 @@ def measured_bytes(df: DataFrame) -> int:
         elif isinstance(field.dataType, T.ArrayType) and not isinstance(
             field.dataType.elementType, (T.StringType, T.ArrayType, T.StructType, T.MapType)
         ):
-            size = F.size(value) * 8
+            size = F.size(value) * ELEMENT_BYTES.get(field.dataType.elementType.typeName(), 8)
         elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
             size = F.octet_length(F.to_json(F.struct(value)))
         else:

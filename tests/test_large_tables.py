@@ -6,6 +6,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from doclabel import staging
 from doclabel.operators import dictionary, lookup, models, scores
 from doclabel.plans import features, training
 from doclabel.streaming import jobs
@@ -140,3 +141,57 @@ def test_gain_counts_only_words_of_the_vocabulary(spark, monkeypatch):
     assert sorted(((r["id"], r["label"] or "", r["n"]) for r in met[0].collect())) == [(0, "", 1), (0, "x", 2), (0, "y", 1), (1, "", 1), (1, "x", 1), (2, "", 1), (2, "x", 2)]
     plan = met[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("MapInArrow")  # looked up before words are counted and shuffled
+
+
+def written(monkeypatch):
+    """Names of the tables written to the scratch folder from now on."""
+    names, plain = [], staging.scratch_path
+    monkeypatch.setattr(staging, "scratch_path", lambda spark, name: names.append(name) or plain(spark, name))
+    return names
+
+
+SMALL = [(i, ["alpha", "beta", "gamma"] * (1 + i % 3), ["X"] if i % 2 else ["Y", "X", "Y", "?"]) for i in range(12)]
+
+
+def small(spark):
+    papers = spark.createDataFrame(SMALL, "paper_id bigint, Abstract array<string>, MSCs array<string>")
+    vocab = spark.createDataFrame([("alpha", 0), ("beta", 1), ("gamma", 5)], "key string, id bigint")
+    return papers, vocab, spark.createDataFrame([("X", 0, ""), ("Y", 1, "")], "key string, id int, description string")
+
+
+@pytest.mark.parametrize("mode", ["linear", "log"])
+def test_scoring_by_blocks_writes_no_texts(spark, monkeypatch, mode):
+    papers, vocab, bank = small(spark)
+    scorer = models.prepare_scorer(models.train_unigram(papers, vocab, bank), vocab, mode)
+    whole = models.score_classes(papers, scorer).collect()
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 30)  # several blocks
+    names = written(monkeypatch)
+    for a, b in zip(sorted(models.score_classes(papers, scorer).collect()), sorted(whole), strict=True):
+        assert a["paper_id"] == b["paper_id"] and a["p"] == pytest.approx(b["p"])
+    assert names == []
+
+
+def test_stream_by_blocks_writes_only_its_batches(spark, tmp_path, monkeypatch):
+    papers, vocab, bank = small(spark)
+    scorer = models.prepare_scorer(models.train_unigram(papers, vocab, bank), vocab)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 30)
+    texts = papers.select("paper_id", F.concat_ws(" ", "Abstract").alias("Abstract"))
+    texts.repartition(3, "paper_id").write.parquet(f"{tmp_path}/in")
+    names = written(monkeypatch)
+    stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.stream_label(stream, scorer, vocab, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert names == [] and spark.read.parquet(f"{tmp_path}/out").count() == 12
+
+
+@pytest.mark.parametrize("dense", [1, 600, 1 << 20])
+@pytest.mark.parametrize("bound", [600, 1 << 20])
+def test_wide_and_narrow_rows_are_added_alike(spark, monkeypatch, dense, bound):
+    monkeypatch.setattr(dictionary, "DENSE_BYTES", dense)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", bound)
+    draw = np.random.default_rng(1)
+    rows = {f"w{i}": {int(c): float(draw.integers(1, 9)) / 4 for c in draw.choice(12, i % 13, replace=False)} for i in range(20)}
+    lists = [(i, [f"w{k}" for k in draw.integers(0, 25, int(draw.integers(0, 40)))]) for i in range(30)] + [(30, None)]
+    keyed = spark.createDataFrame([(k, list(v), list(v.values())) for k, v in rows.items()], "key string, labels array<int>, gains array<double>")
+    df = spark.createDataFrame(lists, "paper_id bigint, Abstract array<string>").coalesce(1)
+    got = sorted((r["paper_id"], r["sums"]) for r in dictionary.added_gains(df, keyed, "paper_id", "Abstract", 12).collect())
+    assert got == [(i, [float(sum(w in rows for w in ws or []))] + [sum(rows.get(w, {}).get(c, 0.0) for w in ws or []) for c in range(12)]) for i, ws in lists]
