@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -12,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclabel.functions.arrays import argmax, log_sum_exp, normalise, with_value
-from doclabel.operators.dictionary import Sent, added_gains, sent_once
+from doclabel.operators.dictionary import Sent, added_gains, known_ids, sent_once, unfolded
 from doclabel.operators.lookup import lookup_join, measured_bytes
 from doclabel.staging import stage
 
+# Words that a task holds before it adds up their counts per class.
+HELD = 1 << 23
+
 
 @dataclass
 class UnigramModel:
@@ -41,15 +46,10 @@ def train_unigram(
     docs: DataFrame, vocab: DataFrame, bank: DataFrame, words: str = "Abstract", codes: str = "MSCs"
 ) -> UnigramModel:
     """Count words per class; a paper counts for each of its codes, unknown ones are skipped."""
-    classes = bank.select(F.col("key").alias("code"), F.col("id").alias("label_id"))
-    # Classes are joined map-side: the word lists stay where they are, however common a class is.
-    labelled = lookup_join(docs.select(F.explode(codes).alias("code"), words), classes, "code")
-    counts = (
-        labelled.select("label_id", F.explode(words).alias("key"))
-        .groupBy("key", "label_id")
-        .agg(F.count("*").alias("n"))
-    )
-    cells = counts.join(vocab.select("key", F.col("id").alias("word_id")), "key").select("label_id", "word_id", "key", "n")
+    ids = known_ids(known_ids(docs.select(codes, words), vocab, words), bank, codes)
+    counts = _class_counts(ids, codes, words, (bank.agg(F.max("id")).first()[0] or 0) + 1)
+    cells = counts.join(vocab.select("key", F.col("id").alias("word_id")), "word_id")
+    cells = cells.select(F.col("label_id").cast(bank.schema["id"].dataType).alias("label_id"), F.col("word_id").cast(vocab.schema["id"].dataType).alias("word_id"), "key", "n")
     cells = stage(cells, "cells")  # the totals, the scorer and whoever stores the model read them
     totals = cells.groupBy("label_id").agg(F.sum("n").alias("n_words"))
     labels = bank.select(F.col("id").alias("label_id"), F.col("key").alias("code")).join(totals, "label_id", "left")
@@ -57,12 +57,45 @@ def train_unigram(
     return UnigramModel(cells, labels, vocab.count())
 
 
+def _class_counts(ids: DataFrame, labels: str, words: str, n_labels: int) -> DataFrame:
+    """``(label_id, word_id, n)``: a word counts once for each label of its text.
+
+    Counts are added up within a task, over as many words as ``HELD`` allows, before they are shuffled.
+    """
+
+    def summed(codes: list[np.ndarray]) -> pa.RecordBatch:
+        code = np.sort(np.concatenate(codes))
+        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        code, n = code[starts], np.diff(np.append(starts, len(code)))
+        return pa.RecordBatch.from_arrays([pa.array(code % n_labels), pa.array(code // n_labels), pa.array(n)], ["label_id", "word_id", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held = [], 0
+        for rows, flat, offsets in unfolded(batches, 1):
+            word, sizes = flat.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets)
+            label, many = rows.column(0).flatten().to_numpy(zero_copy_only=False), rows.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            own, first = np.repeat(np.arange(len(rows)), sizes), np.cumsum(many) - many
+            for k in range(many.max(initial=0)):  # the k-th label of every text that has one
+                has = many[own] > k
+                codes.append(word[has] * n_labels + label[(first + k)[own[has]]])
+                held += len(codes[-1])
+            if held >= HELD:
+                yield summed(codes)
+                codes, held = [], 0
+        if held:
+            yield summed(codes)
+
+    rows = ids.select(labels, words).mapInArrow(count, "label_id bigint, word_id bigint, n bigint")
+    return rows.groupBy("word_id", "label_id").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class Scorer:
     """A unigram model made ready for scoring: one staged row per vocabulary word.
 
-    A row is sparse: the classes (``labels``) in which the word was seen, and what
-    it adds to each (``gains``). ``size`` is the table's measured size.
+    A row is sparse: the classes (``labels``) in which the word was seen, and how
+    often (``gains``; in log mode the logarithm is taken when a text meets the
+    word). ``size`` is the table's measured size.
     """
 
     by_word: DataFrame | Sent
@@ -72,8 +105,7 @@ class Scorer:
 
     def sent(self) -> Scorer:
         """The same with its table at the executors, for texts that come in parts."""
-        keyed = self.by_word.select("key", F.col("labels").cast("array<int>").alias("labels"), "gains")
-        return Scorer(sent_once(keyed, self.size), self.smoothing, self.mode, self.size)
+        return Scorer(sent_once(self.by_word.select("key", "labels", "gains"), self.size), self.smoothing, self.mode, self.size)
 
 
 def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear") -> Scorer:
@@ -82,10 +114,12 @@ def prepare_scorer(model: UnigramModel, vocab: DataFrame, mode: str = "linear")
     if mode not in ("linear", "log"):
         raise ValueError("mode must be 'linear' or 'log'")
     totals = model.labels.select("n_words").orderBy("label_id").collect()  # one number per class
-    gain = F.col("n") if mode == "linear" else F.log(F.col("n") + 1)
-    cell = F.struct(F.col("label_id").cast("int").alias("label_id"), gain.cast("double").alias("gain"))
+    # As narrow as the numbers allow: every task reads the whole table.
+    label = "tinyint" if len(totals) < 1 << 7 else "smallint" if len(totals) < 1 << 15 else "int"
+    gain = "int" if all(r["n_words"] < 1 << 31 for r in totals) else "bigint"
+    cell = F.struct(F.col("label_id").cast(label).alias("label_id"), F.col("n").cast(gain).alias("gain"))
     per_word = model.cells.groupBy("key").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    cells = F.coalesce("cells", F.array().cast("array<struct<label_id: int, gain: double>>"))
+    cells = F.coalesce("cells", F.array().cast(f"array<struct<label_id: {label}, gain: {gain}>>"))
     by_word = vocab.select("key").join(per_word, "key", "left").select("key", cells.alias("cells"))
     by_word = stage(by_word.select("key", F.col("cells.label_id").alias("labels"), F.col("cells.gain").alias("gains")), "scorer")
     return Scorer(by_word, [float(r["n_words"] + model.vocab_size) for r in totals], mode, measured_bytes(by_word))
@@ -97,7 +131,7 @@ def score_classes(docs: DataFrame, scorer: Scorer, id_col: str = "paper_id", wor
     A block of documents, as sparse word counts, is multiplied with a block of the
     scorer's sparse rows where the documents are; no document is shuffled.
     """
-    sums = added_gains(docs, scorer.by_word, id_col, words, len(scorer.smoothing), "_sums", scorer.size)
+    sums = added_gains(docs, scorer.by_word, id_col, words, len(scorer.smoothing), "_sums", scorer.size, scorer.mode == "log")
     return sums.select(id_col, _probabilities(F.col("_sums"), scorer.smoothing, scorer.mode).alias("p"))
 
 

@@ -171,6 +171,13 @@ def test_scoring_by_blocks_writes_no_texts(spark, monkeypatch, mode):
     assert names == []
 
 
+def test_scorer_holds_narrow_numbers(spark):
+    papers, vocab, bank = small(spark)
+    scorer = models.prepare_scorer(models.train_unigram(papers, vocab, bank), vocab, "log")
+    assert dict(scorer.by_word.dtypes) == {"key": "string", "labels": "array<tinyint>", "gains": "array<int>"}
+    assert scorer.size == sum(16 + len(k) + 2 * (1 + 4) for k in ("alpha", "beta", "gamma"))
+
+
 def test_stream_by_blocks_writes_only_its_batches(spark, tmp_path, monkeypatch):
     papers, vocab, bank = small(spark)
     scorer = models.prepare_scorer(models.train_unigram(papers, vocab, bank), vocab)
@@ -183,6 +190,26 @@ def test_stream_by_blocks_writes_only_its_batches(spark, tmp_path, monkeypatch):
     assert names == [] and spark.read.parquet(f"{tmp_path}/out").count() == 12
 
 
+@pytest.mark.parametrize("held", [1, 1 << 23])
+def test_class_counts_shuffle_numbers(spark, monkeypatch, held):
+    monkeypatch.setattr(models, "HELD", held)
+    papers, vocab, bank = small(spark)
+    odd = [(20, None, ["X"]), (21, ["alpha"], None), (22, [], ["X"]), (23, ["zz", None, "beta"], ["Y"]), (24, ["alpha"], ["?"])]
+    plans = []
+    monkeypatch.setattr(models, "stage", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    model = models.train_unigram(papers.unionByName(spark.createDataFrame(odd, papers.schema)), vocab, bank)
+    want = {}
+    for _, words, codes in SMALL + odd:
+        for code in codes or []:
+            for word in words or []:
+                if code != "?" and word in ("alpha", "beta", "gamma"):
+                    want[code, word] = want.get((code, word), 0) + 1
+    ids = {"X": 0, "Y": 1, "alpha": 0, "beta": 1, "gamma": 5}
+    assert {tuple(r) for r in model.cells.collect()} == {(ids[c], ids[w], w, n) for (c, w), n in want.items()}
+    assert [t for _, t in model.cells.dtypes] == ["int", "bigint", "string", "bigint"]
+    assert "Generate" not in plans[0]  # no row of its own for a word
+
+
 @pytest.mark.parametrize("dense", [1, 600, 1 << 20])
 @pytest.mark.parametrize("bound", [600, 1 << 20])
 def test_wide_and_narrow_rows_are_added_alike(spark, monkeypatch, dense, bound):
