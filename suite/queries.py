@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclabel.functions import arrays, codes, text
-from doclabel.operators import labels, metrics, models, phrases, scores, skipgram, splits, thresholds, tokens, vectors, vocab
+from doclabel.operators import labels, metrics, models, phrases, scores, skipgram, splits, subspace, thresholds, tokens, vectors, vocab
+from doclabel.operators.dictionary import known_ids
 from doclabel.operators.ordering import with_dense_id
 from doclabel.plans import experiments, features, training
 from doclabel.plans.corpus import build_phrase_vocab, process_corpus
@@ -899,15 +901,17 @@ def _(spark, d):
 
 def svd_residual(corpus, vocab, trained) -> float:
     """How far counts x counts' leaves the span of the vectors: |A A' u - s s u| / s s, the largest of all columns."""
+    numbered = stage(with_dense_id(vocab.select("key").distinct(), "key"), "numbered")
     selected = tokens.select_in_vocab(corpus.select("paper_id", "Abstract"), vocab)
-    cells = stage(selected.select("paper_id", F.explode("Abstract").alias("word")).groupBy("paper_id", "word").agg(F.count("*").alias("n")), "cells")
-    long = trained.select("word", F.posexplode("vector").alias("j", "x"))
-    texts = cells.join(long, "word").groupBy("paper_id", "j").agg(F.sum(F.col("n") * F.col("x")).alias("y"))
-    back = stage(cells.join(texts, "paper_id").groupBy("word", "j").agg(F.sum(F.col("n") * F.col("y")).alias("z")), "back")
-    both = long.join(back, ["word", "j"], "left").select("j", "x", F.coalesce("z", F.lit(0.0)).alias("z"))
-    value = both.groupBy("j").agg(F.sum(F.col("x") * F.col("z")).alias("s"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    cells = subspace.cells_of(stage(known_ids(selected, numbered, "Abstract"), "texts"), "paper_id", "Abstract")
+    tiles = stage(subspace.packed(cells.withColumn("none", F.array_repeat(F.lit(0.0), SVD_DIM)), "Abstract", "none"), "cells")
+    own = trained.join(numbered, F.col("word") == F.col("key")).select("id", "vector")
+    u = stage(subspace.block_of(own, SVD_DIM), "vectors")
+    z = stage(subspace.multiplied(tiles, subspace.Sent(u, SVD_DIM, np.eye(SVD_DIM)), SVD_DIM), "back")
+    s, zz = (np.diag(subspace.inner_products(z, other, SVD_DIM)) for other in (u, z))
     # |z - s u|^2 = z z - s^2 for a unit vector u.
-    return value.agg(F.max(F.sqrt(F.greatest(F.col("zz") - F.col("s") * F.col("s"), F.lit(0.0))) / F.col("s"))).first()[0]
+    s, zz = s[s != 0], zz[s != 0]
+    return float((np.sqrt(np.maximum(zz - s * s, 0.0)) / s).max(initial=0.0))
 
 
 @query(
