@@ -14,7 +14,7 @@ from doclabel.operators.lookup import lookup_join
 from doclabel.operators.ordering import with_dense_id
 from doclabel.operators.tokens import Extent, corpus_extent
 from doclabel.session import ship_package
-from doclabel.staging import stage
+from doclabel.staging import passing, stage
 
 # Share of the vocabulary size kept as phrases, decimals that decide ties.
 PHRASE_SHARE = 0.7
@@ -175,6 +175,7 @@ def top_phrases(scored: DataFrame, vocab: DataFrame, n_phrases: int) -> DataFram
     return with_dense_id(ranked.drop("_rank", "_score", "id1", "id2"), "w1", "w2").select(*columns)
 
 
+@passing
 def build_phrases(
     df: DataFrame,
     vocab: DataFrame,
@@ -185,7 +186,10 @@ def build_phrases(
     words: str = "Abstract",
     extent: Extent | None = None,
 ) -> DataFrame:
-    """Phrases of a corpus: the best ``int(share * vocabulary size)`` pairs."""
+    """Phrases of a corpus: the best ``int(share * vocabulary size)`` pairs.
+
+    The tables of pairs on the way, larger than the texts, do not stay in the scratch folder.
+    """
     stream = phrase_word_stream(df, vocab, id_col, words, extent)
     if cross_document:
         stream = stage(stream, "stream")

@@ -1,5 +1,7 @@
 """What must not grow with a keyed table, a stream's batches or the texts."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclabel import staging
-from doclabel.operators import dictionary, lookup, models, scores
+from doclabel.operators import dictionary, lookup, models, phrases, scores
 from doclabel.plans import features, training
 from doclabel.streaming import jobs
 from suite import fixtures as fx
@@ -222,3 +224,34 @@ def test_wide_and_narrow_rows_are_added_alike(spark, monkeypatch, dense, bound):
     df = spark.createDataFrame(lists, "paper_id bigint, Abstract array<string>").coalesce(1)
     got = sorted((r["paper_id"], r["sums"]) for r in dictionary.added_gains(df, keyed, "paper_id", "Abstract", 12).collect())
     assert got == [(i, [float(sum(w in rows for w in ws or []))] + [sum(rows.get(w, {}).get(c, 0.0) for w in ws or []) for c in range(12)]) for i, ws in lists]
+
+
+def test_phrases_leave_no_pairs_behind(spark, monkeypatch):
+    paths, plain = [], staging.scratch_path
+    monkeypatch.setattr(staging, "scratch_path", lambda spark, name: paths.append(plain(spark, name)) or paths[-1])
+    texts = spark.createDataFrame([(i, ["a", "b", "c", "d", "a", "b"][i % 3 :]) for i in range(40)], "paper_id bigint, Abstract array<string>")
+    vocab = staging.stage(spark.createDataFrame([(w, i, "NN", 9) for i, w in enumerate("abcd")], "key string, id bigint, tag string, freq bigint"), "vocab")
+    found = phrases.build_phrases(texts, vocab)
+    left = [p for p in paths if Path(p).exists()]
+    assert len(left) == 2 and left[0] == paths[0] and left[1] == paths[-1]  # what was given, and what the result reads
+    assert len(paths) > 5 and found.count() == 2 and vocab.count() == 4
+
+
+def test_a_result_keeps_what_it_reads(spark):
+    outer = []
+
+    @staging.passing
+    def inner(df):
+        first = staging.stage(df, "first")
+        outer.append(first)
+        return staging.stage(first.filter("id > 2"), "second").union(staging.stage(df, "third"))
+
+    @staging.passing
+    def both(df):
+        return staging.stage(inner(df), "last")
+
+    kept = inner(spark.range(5))
+    assert kept.count() == 7
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        outer[0].count()
+    assert both(spark.range(5)).count() == 7
