@@ -279,13 +279,22 @@ def rewritten(df: DataFrame, keyed: DataFrame | Sent, words: str, keep_last: boo
     Every word is followed by the phrase that it opens. The last word of a text
     stands for itself only with ``keep_last``. Null lists become empty ones.
     """
-    place, schema = df.columns.index(words), df.schema
+    place, schema, n, flags = df.columns.index(words), df.schema, len(df.columns), "_flags"
+    while flags in df.columns:
+        flags = "_" + flags
+    sent = keyed if isinstance(keyed, Sent) else sent_once(keyed.select("key"))
+    several = len(sent.blocks) > 1
+
+    def with_words(rows: pa.RecordBatch, flat: pa.Array, phrases: pa.Array, found: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        columns = rows.columns[:n]
+        columns[place] = _chosen(flat, phrases, found, offsets, keep_last)
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
     class Chosen(Look):
         def __init__(self, rows: pa.RecordBatch, flat: pa.Array, offsets: np.ndarray):
             super().__init__(rows, flat, offsets)
-            self.flat, self.phrases = flat, _phrases(flat, offsets)
-            self.both = [self.asked, Asked(self.phrases)]
+            phrases = _phrases(flat, offsets)
+            self.flat, self.phrases, self.both = flat, None if several else phrases, [self.asked, Asked(phrases)]
             self.known = [np.zeros(len(asked.words), bool) for asked in self.both]
 
         def see(self, block: Block) -> None:
@@ -294,11 +303,20 @@ def rewritten(df: DataFrame, keyed: DataFrame | Sent, words: str, keep_last: boo
 
         def tell(self) -> pa.RecordBatch:
             word, phrase = (asked.each(known, False) for asked, known in zip(self.both, self.known))
-            found, columns = (np.where(word, _WORD, 0) | np.where(phrase, _PHRASE, 0)).astype(np.int8), self.rows.columns
-            columns[place] = _chosen(self.flat, self.phrases, found, self.offsets, keep_last)
-            return pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return visited(df, keyed if isinstance(keyed, Sent) else keyed.select("key"), Chosen, place, schema)
+            found = (np.where(word, _WORD, 0) | np.where(phrase, _PHRASE, 0)).astype(np.int8)
+            if several:
+                return pa.RecordBatch.from_arrays([*self.rows.columns, lists_of(pa.array(found), self.offsets)], [*schema.names, flags])
+            return with_words(self.rows, self.flat, self.phrases, found, self.offsets)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, flat, offsets in unfolded(batches, place):
+            yield with_words(rows, flat, _phrases(flat, offsets), rows.column(n).flatten().to_numpy().copy(), offsets)
+
+    if not several:
+        return visited(df, sent, Chosen, place, schema)
+    # While several blocks visit them, texts are held with flags of one byte a word and without their phrases.
+    flagged = visited(df, sent, Chosen, place, T.StructType([*schema.fields, T.StructField(flags, T.ArrayType(T.ByteType()))]))
+    return flagged.mapInArrow(choose, schema)
 
 
 def kept_words(df: DataFrame, keyed: DataFrame, words: str) -> DataFrame:
